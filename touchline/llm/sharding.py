@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -21,12 +21,11 @@ HEAVY = 0.02
 
 @dataclass
 class Node:
-    """A node of the tree: which rows come to it, for how many leaves."""
+    """A node of the tree: how many leaves it is for, the first of them, and its bytes."""
 
-    path: list = field(default_factory=list)  # (dim, cut, part of the cut's key, goes left)
-    leaves: int = 1
+    leaves: int
+    first: int
     bytes: int = 0
-    first: int = 0
 
 
 def _key(dim: int) -> Column:
@@ -34,26 +33,16 @@ def _key(dim: int) -> Column:
     return F.shiftleft(F.col(f"d{dim}"), 32) + F.col("crc")
 
 
-def _left(dim: int, cut: int, part: float) -> Column:
-    key = _key(dim)
-    return (key < F.lit(cut)) | ((key == F.lit(cut)) & (F.col("u") < F.lit(part)))
+def _pick(values: list, kind: str) -> Column:
+    """The value for the row's node, from one literal array."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("node") + 1)
 
 
-def _node_column(nodes: list[Node]) -> Column:
-    """Index of the node that a row comes to, as one expression over the cuts so far."""
+def _node_key(dims: list[int], n_dims: int) -> Column:
+    return F.element_at(F.array(*[_key(d) for d in range(n_dims + 1)]), _pick(dims, "int") + 1)
 
-    def build(members: list[tuple[int, Node]], depth: int) -> Column:
-        if len(members) == 1 and len(members[0][1].path) == depth:
-            return F.lit(members[0][0])
-        dim, cut, part, _ = members[0][1].path[depth]
-        left = [m for m in members if m[1].path[depth][3]]
-        right = [m for m in members if not m[1].path[depth][3]]
-        return F.when(_left(dim, cut, part), build(left, depth + 1)).otherwise(build(right, depth + 1))
 
-    return build(list(enumerate(nodes)), 0)
-
-
-def _cuts(rows: DataFrame, nodes: list[Node], dims: dict[int, int], bounds: dict[int, tuple[int, int]]) -> dict[int, tuple[int, float]]:
+def _cuts(rows: DataFrame, n_dims: int, nodes: list[Node], dims: dict[int, int], bounds: dict[int, tuple[int, int]]) -> dict[int, tuple[int, float]]:
     """Weighted quantile of each open node along its dimension: {node: (cut, part)}.
 
     Histogram descent: the bytes of at most BINS bins of the node's key
@@ -63,16 +52,15 @@ def _cuts(rows: DataFrame, nodes: list[Node], dims: dict[int, int], bounds: dict
     want = {i: nodes[i].bytes * (nodes[i].leaves // 2) / nodes[i].leaves for i in dims}
     state = {i: (*bounds[i], 0.0) for i in dims}  # least key, greatest key, bytes below
     found: dict[int, tuple[int, float]] = {}
-    node_of = _node_column(nodes)
+    each = range(len(nodes))
     while state:
         step = {i: max(1, -(-(hi - lo + 1) // BINS)) for i, (lo, hi, _) in state.items()}
-        pick = lambda f: F.coalesce(*[F.when(F.col("node") == i, f(i)) for i in state])
         hist: dict[int, list[tuple[int, int]]] = {i: [] for i in state}
         binned = (
-            rows.withColumn("node", node_of)
+            rows.where(F.col("node").isin(*state))
             .select(
-                "node", "size", pick(lambda i: _key(dims[i])).alias("key"), pick(lambda i: F.lit(step[i])).cast("long").alias("step"),
-                pick(lambda i: F.lit(state[i][0])).cast("long").alias("lo"), pick(lambda i: F.lit(state[i][1])).cast("long").alias("hi"),
+                "node", "size", _node_key([dims.get(i, 0) for i in each], n_dims).alias("key"), _pick([step.get(i, 1) for i in each], "bigint").alias("step"),
+                _pick([state.get(i, (0, 0))[0] for i in each], "bigint").alias("lo"), _pick([state.get(i, (0, 0))[1] for i in each], "bigint").alias("hi"),
             )
             .where("key between lo and hi")
             .groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("bytes"))
@@ -152,15 +140,15 @@ def shard(
     rows = materialise(
         rows.join(materialise(heavy, "shard-heavy"), ["crc", "size"], "left")
         .withColumn("d0", F.lit(2**30) - F.least(F.expr(f"coalesce(g, 0) div {unit_bytes}"), F.lit(2**30))).drop("g")
-        .withColumn("u", unit(seeded_hash(seed + 1, F.col("id")))),
+        .withColumn("u", unit(seeded_hash(seed + 1, F.col("id")))).withColumn("node", F.lit(0)),
         "shard-rows",
     )
-    nodes = [Node([], leaves, all_bytes, 0)]
+    nodes = [Node(leaves, 0)]
     spread: dict[int, int] = {}
     while n and any(x.leaves > 1 for x in nodes):
         stats = {
             r["node"]: r
-            for r in rows.groupBy(_node_column(nodes).alias("node")).agg(
+            for r in rows.groupBy("node").agg(
                 F.sum("size").alias("bytes"),
                 *[f(_key(d)).alias(f"{w}{d}") for d in range(n_dims + 1) for w, f in (("lo", F.min), ("hi", F.max))],
             ).collect()
@@ -176,19 +164,22 @@ def shard(
             heaviest = (2**30 - (r["lo0"] >> 32)) * unit_bytes
             dim = 0 if heaviest > HEAVY * x.bytes else max(width, key=lambda d: (width[d] / max(1, spread[d]), -d))
             dims[i], bounds[i] = dim, (r[f"lo{dim}"], r[f"hi{dim}"])
-        cut = _cuts(rows, nodes, dims, bounds)
+        cut = _cuts(rows, n_dims, nodes, dims, bounds)
         grown: list[Node] = []
+        base: list[int] = []
         for i, x in enumerate(nodes):
+            base.append(len(grown))
             if i in cut:
                 k = x.leaves // 2
-                step = (dims[i], *cut[i])
-                grown += [Node([*x.path, (*step, True)], k, 0, x.first), Node([*x.path, (*step, False)], x.leaves - k, 0, x.first + k)]
+                grown += [Node(k, x.first), Node(x.leaves - k, x.first + k)]
             else:
-                x.leaves = 1
-                grown.append(x)
+                grown.append(Node(1, x.first, x.bytes))
+        at, each = _node_key([dims.get(i, 0) for i in range(len(nodes))], n_dims), range(len(nodes))
+        edge, part = _pick([cut[i][0] if i in cut else 2**63 - 1 for i in each], "bigint"), _pick([cut[i][1] if i in cut else 0.0 for i in each], "double")
+        right = ~((at < edge) | ((at == edge) & (F.col("u") < part)))
+        rows = materialise(rows.withColumn("node", _pick(base, "int") + right.cast("int")), "shard-rows")
         nodes = grown
-    leaf = F.element_at(F.array(*[F.lit(x.first) for x in nodes]), _node_column(nodes) + 1)
-    placed = rows.select("id", "size", "crc", "h", leaf.cast("int").alias("shard"))
+    placed = rows.select("id", "size", "crc", "h", _pick([x.first for x in nodes], "int").alias("shard"))
     # Buckets of about this many rows; both they and their number grow with the root of the table.
     per_bucket = max(32, math.isqrt(n) // 4)
     placed = placed.withColumn("bucket", F.floor(unit(F.col("h")) * F.lit(max(1, n // leaves // per_bucket))))

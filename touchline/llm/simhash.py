@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, shared_dir
 
 #: Shingles hashed at a time, that a very long text needs no more memory.
 BLOCK = 1 << 16
@@ -41,6 +41,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed:
             f = np.array([fingerprint(t, words, seed) for t in b["text"]], np.uint64)
             yield pd.DataFrame({"id": b["id"], "fp": f.view(np.int64)})
 
+    shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
