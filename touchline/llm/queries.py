@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import embed_dedup, langid, warc
 from .mixing import mix
+from .packing import pack
 from .secrets import report
 from .sharding import shard
 from .simhash import near_duplicates
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,24 +25,53 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~apart))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
+    "op7_topk": op7_topk,
+    "op8_embed_dedup": op8_embed_dedup,
     "op10_simhash": op10_simhash,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,14 +36,14 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t, words, seed) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"id": b["id"], "fp": f.view(np.int64)})
+            f = np.array([fingerprint(t.as_py(), words, seed) for t in b.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(f.view(np.int64))], names=["id", "fp"])
 
     shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
