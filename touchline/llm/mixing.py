@@ -48,41 +48,23 @@ def water_fill(sources: DataFrame, share: float = 1.0, max_epochs: float = 3.0)
     return s.select(*sources.columns, target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    share: float = 1.0,
-    max_epochs: int = 3,
-    seed: int = 1,
-) -> DataFrame:
-    """Per row: id, size, source, source_size, target (its source's), reps and taken = reps * size.
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    """A row's own part in the mix: size, source and place in the seeded order."""
+    return [
+        word_count(F.col(text_col)).alias("__size"), F.col(source_col).alias("__source"), F.col(id_col).cast("string").alias("__id"),
+        seeded_hash(seed, F.col(id_col)).alias("__h"),
+    ]
 
-    Sources, by code point with null last, take the weights in turn. Each
-    document is taken floor(target / source_size) times, and a seeded part
-    of the source once more: whole slices of the seeded order while they
-    fit the rest of the budget, then kept fillers of falling size that fit
-    what is left of it. All native, one pass over the texts; the words of a source
-    are summed in partial aggregates, so a hot source is never gathered.
 
-    Null text: size 0, never taken. Null source: a source of its own. Null
-    ids and repeated rows: rows with equal id and size are decided alike,
-    so the fill may overshoot by their repeats. Empty table: no rows. Other
-    columns, whatever their names, are not carried.
-    """
-    rows = materialise(
-        docs.select(
-            F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"),
-            seeded_hash(seed, F.col(id_col)).alias("h"),
-        ),
-        "mix-rows",
-    )
-    slice_of = F.floor(unit(F.col("h")) * SLICES).cast("int")
+def _slice_of(h: Column) -> Column:
+    return F.floor(unit(h) * SLICES).cast("int")
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int) -> DataFrame:
+    """Per source of _rows(): source_size, target, whole repetitions, the last slice taken once more (cut), and fillers."""
+    size, source, h = F.col("__size"), F.col("__source"), F.col("__h")
     ranked = (
-        rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        rows.groupBy(source.alias("source")).agg(F.sum(size).alias("source_size"))
         .withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     )
     cycle = F.array(*[F.lit(float(w)) for w in weights])
@@ -95,50 +77,99 @@ def mix(
         .withColumn("budget", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))),
         "mix-sources",
     )
-    # Words of each slice and the least hash of each (size class, lane), in one partial aggregation.
-    slices = rows.groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("words"))
-    upto = W.partitionBy("source").orderBy("slice")
+    # Words of each slice, in one partial aggregation; a source has at most SLICES of them.
+    slices = rows.groupBy(source.alias("s"), _slice_of(h).alias("slice")).agg(F.sum(size).alias("words"))
+    upto = W.partitionBy("s").orderBy("slice")
+    same = F.col("source").eqNullSafe(F.col("s"))
     cuts = (
-        slices.withColumn("run", F.sum("words").over(upto))
-        .join(sources.select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s")))
-        .where("run <= budget")
-        .groupBy("source").agg(F.max("slice").alias("cut"), F.max("run").alias("met"))
+        slices.withColumn("run", F.sum("words").over(upto)).join(sources.select("source", "budget"), same).where("run <= budget")
+        .groupBy("s").agg(F.max("slice").alias("cut"), F.max("run").alias("met"))
     )
     cuts = materialise(
-        sources.join(cuts.select(F.col("source").alias("s"), "cut", "met"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        sources.join(cuts, same, "left").drop("s")
         .withColumn("cut", F.coalesce("cut", F.lit(-1))).withColumn("rest", F.col("budget") - F.coalesce("met", F.lit(0))),
         "mix-cuts",
     )
-    key = lambda: F.col("source").eqNullSafe(F.col("s"))
-    named = lambda df, *cols: df.select(F.col("source").alias("s"), *cols)
     fillers = (
-        rows.where("size > 0 and id is not null").join(named(cuts, "cut", "rest"), key())
-        .where((slice_of > F.col("cut")) & (F.col("size") <= F.col("rest")))
-        .groupBy("source", F.length(F.bin("size")).alias("class"), F.pmod("h", F.lit(FILLERS)).alias("lane"))
-        .agg(F.min(F.struct("h", "size", "id")).alias("f"), F.first("rest").alias("rest"))
+        rows.where((size > 0) & F.col("__id").isNotNull()).join(cuts.select("source", "cut", "rest"), F.col("source").eqNullSafe(source))
+        .where((_slice_of(h) > F.col("cut")) & (size <= F.col("rest")))
+        .groupBy("source", F.length(F.bin(size)).alias("class"), F.pmod(h, F.lit(FILLERS)).alias("lane"))
+        .agg(F.min(F.struct(h.alias("h"), size.alias("size"), F.col("__id").alias("id"))).alias("f"), F.first("rest").alias("rest"))
     )
     # At most FILLERS structs for each bit length of a size, so the array is small.
-    pool = fillers.groupBy("source").agg(
+    pool = fillers.groupBy(F.col("source").alias("s")).agg(
         F.reverse(F.array_sort(F.collect_list(F.struct(F.col("f.size").alias("size"), F.col("f.h").alias("h"), F.col("f.id").alias("id"))))).alias("pool"),
-        F.first("rest").alias("rest"),
+        F.first("rest").alias("left"),
     )
+    kind = "array<struct<id:string,size:bigint>>"
     take = F.aggregate(
         "pool",
-        F.struct(F.col("rest").alias("left"), F.expr("cast(array() as array<struct<id: bigint, size: bigint>>)").alias("ids")),
+        F.struct(F.col("left"), F.array().cast(kind).alias("ids")),
         lambda acc, x: F.when(
             x["size"] <= acc["left"],
-            F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["ids"], F.array(F.struct(x["id"].cast("bigint").alias("id"), x["size"].alias("size")))).alias("ids")),
+            F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["ids"], F.array(F.struct(x["id"].alias("id"), x["size"].alias("size"))).cast(kind)).alias("ids")),
         ).otherwise(acc),
     )
-    plan = materialise(
-        cuts.join(named(pool.withColumn("fill", take["ids"]), "fill"), key(), "left").drop("s", "rest", "met", "budget"), "mix-plan"
-    )
-    once = (slice_of <= F.col("cut")) | F.coalesce(
-        F.array_contains("fill", F.struct(F.col("id").cast("bigint").alias("id"), F.col("size").alias("size"))), F.lit(False)
+    return materialise(cuts.join(pool.select("s", take["ids"].alias("fill")), same, "left").select("source", "source_size", "target", "whole", "cut", "fill"), "mix-plan")
+
+
+def _joined(rows: DataFrame, plans: DataFrame, max_epochs: int) -> DataFrame:
+    """rows with the plan of their source as __source_size and __target, and __reps."""
+    p = plans.select(*[F.col(c).alias(f"__plan_{c}") for c in plans.columns])
+    size = F.col("__size")
+    once = (_slice_of(F.col("__h")) <= F.col("__plan_cut")) | F.coalesce(
+        F.exists("__plan_fill", lambda x: (x["id"] == F.col("__id")) & (x["size"] == size)), F.lit(False)
     )
-    reps = F.when(F.col("size") > 0, F.least(F.col("whole") + once.cast("int"), F.lit(max_epochs))).otherwise(0)
-    joined = rows.join(named(plan, "source_size", "target", "whole", "cut", "fill"), key())
-    return joined.select(
-        F.col("id").alias(id_col), "size", F.col("source").alias("source"), "source_size", "target",
-        reps.cast("int").alias("reps"), (reps * F.col("size")).cast("long").alias("taken"),
+    reps = F.when(size > 0, F.least(F.col("__plan_whole") + once.cast("int"), F.lit(max_epochs))).otherwise(0)
+    return rows.join(p, F.col("__source").eqNullSafe(F.col("__plan_source"))).withColumn("__reps", reps.cast("int"))
+
+
+def mix(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.0,
+    max_epochs: int = 3,
+    seed: int = 1,
+) -> DataFrame:
+    """Per row: id, size, source, source_size, target (its source's), reps and taken = reps * size.
+
+    Sources, by code point with null last, take the weights in turn. Each
+    document is taken floor(target / source_size) times, and a seeded part
+    of the source once more: whole slices of the seeded order while they
+    fit the rest of the budget, then kept fillers of falling size that fit
+    what is left of it. All native, one pass over the texts; the words of a source
+    are summed in partial aggregates, so a hot source is never gathered.
+
+    Null text: size 0, never taken. Null source: a source of its own. Null
+    ids and repeated rows: rows with equal id and size are decided alike,
+    so the fill may overshoot by their repeats. Empty table: no rows. Other
+    columns, whatever their names, are not carried.
+    """
+    rows = materialise(docs.select(F.col(id_col).alias("__key"), *_rows(docs, id_col, text_col, source_col, seed)), "mix-rows")
+    out = _joined(rows, plan(rows, weights, share, max_epochs), max_epochs)
+    return out.select(
+        F.col("__key").alias(id_col), F.col("__size").alias("size"), F.col("__source").alias("source"), F.col("__plan_source_size").alias("source_size"),
+        F.col("__plan_target").alias("target"), F.col("__reps").alias("reps"), (F.col("__reps") * F.col("__size")).cast("long").alias("taken"),
     )
+
+
+def mixed(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.0,
+    max_epochs: int = 3,
+    seed: int = 1,
+) -> DataFrame:
+    """The rows of docs, all their columns, as often as mix() takes them. The texts are not shuffled: only the small plan is joined to them."""
+    own = _rows(docs, id_col, text_col, source_col, seed)
+    plans = plan(materialise(docs.select(*own), "mix-rows"), weights, share, max_epochs)
+    out = _joined(docs.select("*", *own), plans, max_epochs).where("__reps > 0")
+    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(docs.columns)

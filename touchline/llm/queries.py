@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_dedup, langid, warc
+from . import chat, embed_dedup, langid, warc
 from .mixing import mix
 from .packing import pack
 from .secrets import report
@@ -59,6 +59,19 @@ def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: A conversation whose texts are control strings, formatted with those of the table.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_back(*chat.tree(rows))
+    return back.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op7_topk": op7_topk,
     "op8_embed_dedup": op8_embed_dedup,
+    "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
 }
 
