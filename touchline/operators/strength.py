@@ -275,7 +275,7 @@ def walk_forward(matches: DataFrame, candidates=CANDIDATES, *, n_folds: int = 5,
     shared = spark.sparkContext.broadcast(table)
     tasks = spark.createDataFrame([(float(c), str(s)) for c in candidates for s in held], "half_life_days double, season string")
 
-    def run(key, _: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         season = next(s for s in held if str(s) == key[1])
         total, n = _fold_likelihood(shared.value, season, key[0], test_days, pairs_from)
         return pd.DataFrame({"half_life_days": [key[0]], "ll": [total], "n": [n]})
