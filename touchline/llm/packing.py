@@ -129,8 +129,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     lengths, the sums of two and the sums of three; a combination that
     fills it exactly is used as often as all of its lengths last, which
     uses up at least one length, so there are at most capacity such
-    kinds of bins. What finds no exact complement goes best-fit decreasing into
-    the fullest bin that holds it, equal bins together.
+    kinds of bins. What finds no exact complement goes best-fit decreasing.
+    Exact fills can use up the short items that few items need more, so that
+    the plain best fit is planned too and the plan of fewer bins is taken.
     """
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -174,9 +175,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             bins.append((used, times))
             for x in used:
                 have[x] -= times
+    exact = bins + best_fit({x: int(n) for x, n in enumerate(have) if n}, capacity)
+    plain = best_fit(counts, capacity)
+    return min(exact, plain, key=lambda kinds: sum(n for _, n in kinds))
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing: the longest first, each into the fullest bin that holds it, equal bins together."""
     open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for length in range(capacity, 0, -1):
-        left = int(have[length])
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
         while left:
             gap = min((g for g in open_bins if g >= length), default=None)
             if gap is None:
@@ -193,7 +201,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 del open_bins[gap]
             open_bins.setdefault(gap - length, []).append(((*used, length), take))
             left -= take
-    return bins + [b for kinds in open_bins.values() for b in kinds]
+    return [b for kinds in open_bins.values() for b in kinds]
 
 
 def pack(
