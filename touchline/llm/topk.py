@@ -97,7 +97,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     broadcast, and gives k rows for each query. Rows whose vector is null or holds null or
     non-finite components, or whose id is null, take no part; shorter vectors count as filled up with zeros. A query id that repeats
     asks with its least vector; a row of the query's own id is never its
-    answer. Fewer than k candidates: all. Empty table: no rows.
+    answer. Scores beyond a long are held at its bounds. Fewer than k candidates: all. Empty table: no rows.
     """
     shared_dir(vectors.sparkSession)
     rows = materialise(
