@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -89,4 +90,36 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+_GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_TEXT, _ROLE = "coalesce(text, '')", "coalesce(role, '')"
+#: The control strings as one pattern of RE2.
+_MARKS = "|".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", c) for c in chat.CONTROL)
+
+
+def _escaped(text: str) -> str:
+    """Length of an escaped text: one more for each backslash and control string."""
+    return f"(length({text}) + length({text}) - length(replace({text}, '\\', '')) + len(regexp_extract_all({text}, '{_MARKS}')))"
+
+
+_TEMPLATE = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+
+ORACLES: dict[str, str] = {
+    "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+        f AS (SELECT body, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY body)
+        SELECT page_id, n AS payload_bytes, sha256(p.body) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.body = f.body""",
+    "op7_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_GOOD}),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_embed_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT a AS id, b AS other FROM l UNION SELECT r.id, l.b FROM reach AS r JOIN l ON r.other = l.a),
+        c AS (SELECT id, min(other) AS least FROM reach GROUP BY id), n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.id = vec_id""",
+    "op9_chat": f"""WITH t AS (SELECT conv_id, turn, {_ROLE} AS role, {_TEXT} AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+        CAST(sum({_TEMPLATE} + {_escaped("role")} + {_escaped("text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+}
