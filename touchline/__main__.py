@@ -1,4 +1,4 @@
-"""python -m touchline COMMAND: refresh, prices, movers, risks, league, tables, decide."""
+"""python -m touchline COMMAND: refresh, prices, project, backtest, reconcile, movers, risks, league, brief, tables, decide."""
 
 from __future__ import annotations
 
@@ -6,21 +6,32 @@ import argparse
 import datetime as dt
 import sys
 
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from .operators.rates import STATS
 from .session import session
 
 
+def _so_far(store) -> DataFrame:
+    """Counts of the running season by player."""
+    return store.load("game/live_stats").groupBy(F.col("element").alias("id")).agg(*[F.sum(c).alias(c) for c in STATS])
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="touchline")
-    parser.add_argument("command", choices=("refresh", "prices", "movers", "risks", "league", "tables", "decide"))
+    parser.add_argument("command", choices=("refresh", "prices", "project", "backtest", "reconcile", "movers", "risks", "league", "brief", "tables", "decide"))
     parser.add_argument("--root", required=True, help="folder of the stored tables")
     parser.add_argument("--landed", help="folder of landed documents")
     parser.add_argument("--gws", default="", help="gameweeks, as 1,2,3")
     parser.add_argument("--entry", type=int, help="the user's entry")
+    parser.add_argument("--season", help="season of a backtest, as 2025-26")
+    parser.add_argument("--sims", type=int, default=2000)
     parser.add_argument("--out", help="file to write")
     a = parser.parse_args(argv)
     from . import report
-    from .operators import league, monitor, optimise
-    from .plans import refresh
+    from .operators import bonus, league, monitor, optimise, reconcile
+    from .plans import projection, refresh
     from .sources import payloads as P
     from .sources.catalog import Catalog
 
@@ -37,6 +48,32 @@ def main(argv: list[str] | None = None) -> int:
         return code
     if a.command == "tables":
         text = "\n".join(f"{n:40s} {rows:>10d} rows {cols:>4d} columns" for n, rows, cols in store.describe()) + "\n"
+    elif a.command == "project":
+        played = store.load("game/live_stats").agg(P.F.max("gw").alias("g")).first()["g"] or 0
+        out = projection.project(
+            store.load("game/elements").join(_so_far(store), "id", "left").na.fill(0), store.load("game/teams"), store.load("game/fixtures"), store.load("game/live_stats").select("element", "minutes", "starts"),
+            store.load("history/merged_gw"), gws, pd.Timestamp(now), n_gws=int(played), n_sims=a.sims,
+        )
+        name = f"projections/gw{min(gws)}-{max(gws)}"
+        store.save(out, name)
+        text = report.text_block(name, store.load(name).orderBy(P.F.desc("ep"), "player_id").select("player_id", "gw", "ep", "sd", "p10", "p90").limit(25))
+    elif a.command == "backtest":
+        done = projection.run_backtest(store.load("history/merged_gw"), [(a.season, g) for g in gws], n_sims=a.sims)
+        text = report.text_report({"Errors": done["errors"], "Calibration": done["calibration"]})
+    elif a.command == "reconcile":
+        both = reconcile.rebuilt_points(store.load("game/live_explain"), store.load("game/live_stats"))
+        scores = bonus.bonus_from_fixture_stats(store.load("game/fixture_stats"))
+        given = store.load("game/fixture_stats").where("identifier = 'bonus'").select("fixture", "element", P.F.col("value").alias("bonus"))
+        text = report.text_report({
+            "Points that do not add up": both.where("total_points <> rebuilt"), "Fixtures by bonus": reconcile.reconcile_bonus(scores.drop("bonus"), given).groupBy("agrees").count(),
+        })
+    elif a.command == "brief":
+        panel = lambda name, f: f(store.load(name)) if store.exists(name) else None
+        text = report.html_report("Brief", {
+            "Price movers": panel("prices/history", lambda df: monitor.movers(monitor.latest_snapshot(df)).select("web_name", "now_cost", "proj_pct_today", "direction")),
+            "Risks": panel("game/elements", lambda df: monitor.scan_risks(df.withColumn("team", P.F.col("team_short")), len(gws)).select("severity", "web_name", "team", "kind", "detail").limit(20)),
+            "Projections": panel(store.newest("projections") or "projections/none", lambda df: df.orderBy(P.F.desc("ep"), "player_id").limit(25)),
+        })
     elif a.command == "movers":
         text = report.text_block("Price movers", monitor.movers(monitor.latest_snapshot(store.load("prices/history"))).select("web_name", "now_cost", "proj_pct_today", "direction"))
     elif a.command == "risks":
