@@ -37,7 +37,9 @@ SCRIPT_SHARE = 0.005
 #: What changing the language between two words costs, and the most that one word says, in nats.
 SWITCH, CLAMP = 10.0, 8.0
 #: Words whose scores a worker remembers, and text handled together.
-REMEMBERED, GROUP_CHARS = 400_000, 8 << 20
+REMEMBERED, GROUP_CHARS = 250_000, 3 << 20
+#: New words scored at a time.
+LEARNED = 1 << 14
 
 
 def script_of(word: str) -> int:
@@ -181,10 +183,11 @@ class Labeller:
     def _learn(self, words: set[str]) -> None:
         fresh = list(words)
         clean = [letters_of(w) for w in fresh]
-        some = [w for w in clean if w]
         found = np.zeros((len(fresh), self.scores.shape[1]), np.float32)
-        if some:
-            found[[bool(w) for w in clean]] = self.model.score(some)
+        for lo in range(0, len(fresh), LEARNED):
+            part = clean[lo : lo + LEARNED]
+            if some := [w for w in part if w]:
+                found[lo : lo + LEARNED][[bool(w) for w in part]] = self.model.score(some)
         self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
         self.scores = np.vstack([self.scores, found])
         self.weight = np.concatenate([self.weight, [len(w) for w in clean]]).astype(np.int64)
@@ -201,6 +204,7 @@ class Labeller:
         order = order[lengths[order] > 0]
         get = self.at.__getitem__
         index = np.fromiter((i for d in order for i in map(get, words[d])), np.int64, int(lengths.sum()))
+        del words
         path = viterbi(self.scores, index, lengths[order], self.switch)
         n_lang = self.scores.shape[1]
         ends = np.cumsum(lengths[order])

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import materialise, shared_dir
 
 #: Words whose ids a Python worker remembers; beyond it starts again.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Texts encoded together, about this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 _encoders: dict[str, "WordEncoder"] = {}
 _TAIL = b".,;:!?"
