@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm.embed_dedup import near_duplicates
+from touchline.llm.embed_dedup import near_duplicates, passes_for
 
 
 def brute(rows):
@@ -41,3 +43,27 @@ def test_odd_rows(spark):
     assert got[1] == (3, 1, True) and got[2] == got[3] == got[8] == (3, 1, False) and got[9] == (0, 9, True)
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 10)) and got[None] == (0, None, True)
     assert near_duplicates(df.where("vec_id > 99")).count() == 0
+
+
+@pytest.mark.parametrize("n, topics", [(4_000, 0), (40_000, 0), (24_000, 12)], ids=("small", "large", "topics"))
+def test_isolated_pairs_near_the_threshold(spark, n, topics):
+    """Each of 600 pairs at cosine 0.905, alone or among rows of a topic at mutual cosines of about 0.6, is found at any size."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, 64)))
+    if topics:
+        x = unit(np.sqrt(0.6) * unit(rng.standard_normal((topics, 64)))[np.arange(n) % topics] + np.sqrt(0.4) * x)
+    aside = rng.standard_normal((600, 64))
+    aside = unit(aside - (aside * x[:600]).sum(1, keepdims=True) * x[:600])
+    x = np.concatenate([x, 0.905 * x[:600] + np.sqrt(1 - 0.905**2) * aside])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = {r.vec_id: r for r in near_duplicates(df).where(f"vec_id >= {n}").collect()}
+    assert len(got) == 600 and np.mean([not got[n + i].kept and got[n + i].n_links >= 1 for i in range(600)]) >= 0.995
+
+
+def test_passes_follow_the_size():
+    p = 1 - np.arccos(0.9) / np.pi
+    for n in (0, 1, 1_000, 10**5, 10**7, 10**9):
+        bits, passes = passes_for(n, 0.9)
+        assert 1 - (1 - p**bits) ** passes >= 0.999 and (bits > 0 or passes == 1)
+    assert passes_for(1_000, 0.9) == (0, 1) and passes_for(10**7, 0.9)[0] > passes_for(10**5, 0.9)[0] > 0

@@ -1,9 +1,9 @@
-"""Embedding near-duplicates by sorted projection passes."""
+"""Embedding near-duplicates by passes over groups of equal projection signs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, cos
+from math import acos, ceil, cos, log, log1p, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import connected_components, materialise, shared_dir
 from .topk import usable
 
-#: Passes over differently hashed orders, and how many rows on each row is compared with.
-PASSES, NEIGHBOURS = 12, 32
-BITS = 63
-#: Rows of a block where members outside a component's ball are compared one by one.
+#: What share of isolated pairs exactly at the threshold the passes must meet, whatever the table's size.
+RECALL = 0.999
+#: Handing a vector to a task costs about as much as so many comparisons.
+COPY = 2000
+#: Rows of a block where a group's vectors, and members outside a component's ball, are compared one by one.
 BLOCK = 2048
 
 
@@ -41,60 +42,114 @@ def _least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def projection_links(nodes: DataFrame, width: int, threshold: float, passes: int, neighbours: int, seed: int) -> DataFrame:
-    """Edges (a, b) that join the nodes(id, v) as all verified pairs of all passes do.
+def passes_for(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, passes) of the least work that meets a pair at the threshold with probability recall at least.
 
-    A pass orders the vectors by the signs of BITS random projections,
-    read as one string of bits, ties by a hash of the id; vectors a small angle apart
-    share long prefixes. Each is compared in full with the next `neighbours`.
-    All passes are one range partitioning by (pass, bits, hash), so
-    that equal bits spread over partitions too. A task links the rows it has
-    verified by their least one, an edge a row at most, rather than give all pairs.
+    A random plane leaves two vectors of angle a on one side with
+    probability p = 1 - a / pi, so that a pass of k bits meets them with
+    p ** k, however the other vectors lie, and
+    log(1 - recall) / log(1 - p ** k) passes suffice; pairs above the
+    threshold are met more often. A pass hands out each vector once and
+    again for each further block of its group (of n / 2 ** k vectors), and compares
+    it with half of the group. No bits are one pass over all pairs.
     """
+    p, best = 1.0 - acos(min(1.0, max(-1.0, threshold))) / pi, (float("inf"), 0, 1)
+    for k in range(max(0, ceil(log2(max(n, 1)))) + 1):
+        met = p**k
+        if met < 1e-9:
+            break
+        passes = 1 if met == 1.0 else ceil(log(1.0 - recall) / log1p(-met))
+        group = n / 2**k
+        best = min(best, (passes * (COPY * (1 + group / BLOCK) + group / 2), k, passes))
+    return best[1], best[2]
+
+
+def projection_links(nodes: DataFrame, width: int, threshold: float, bits: int, passes: int, seed: int) -> DataFrame:
+    """Edges (a, b) that join the nodes(id, v) as all pairs at the threshold in a group of any pass do.
+
+    A group of a pass holds the vectors with the same signs of `bits`
+    random projections, and all of its pairs are compared in full. Groups
+    of more than BLOCK vectors are dealt as pairs of blocks, so that no task holds
+    more than two blocks. A task links the rows it has verified by
+    their least one, an edge a row at most, rather than give all pairs.
+    """
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    planes = lambda: [np.random.default_rng((seed, p)).standard_normal((width, bits)) for p in range(passes)]
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = planes()
+        for b in batches:
+            x = unit_rows(b["v"], width)
+            for p in range(passes):
+                signs, n = np.unique(((x @ own[p]) > 0) @ weights, return_counts=True)
+                yield pd.DataFrame({"turn": np.int32(p), "signs": signs.astype(np.int64), "n": n.astype(np.int64)})
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = [np.random.default_rng((seed, p)).standard_normal((width, BITS)) for p in range(passes)]
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        own = planes()
         for b in batches:
             x = unit_rows(b["v"], width)
             for p in range(passes):
-                yield b.assign(turn=np.int32(p), bits=((x @ planes[p]) > 0).astype(np.int64) @ weights)
+                yield b.assign(turn=np.int32(p), signs=(((x @ own[p]) > 0) @ weights).astype(np.int64))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        held: list[pd.DataFrame] = []
+
+        def links() -> pd.DataFrame:
+            g = pd.concat(held)
+            ids, x, left = g["id"].to_numpy(), unit_rows(g["v"], width), (g["block"] == g["i"]).to_numpy()
+            if g["i"].iat[0] == g["j"].iat[0]:
+                a, c = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+            else:
+                one, other = np.flatnonzero(left), np.flatnonzero(~left)
+                a, c = np.nonzero(x[one] @ x[other].T >= threshold)
+                a, c = one[a], other[c]
+            label = _least_labels(a, c, len(ids))
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved]})
+
         for b in batches:
             if not len(b):
                 continue
-            ids, turn, x = b["id"].to_numpy(), b["turn"].to_numpy(), unit_rows(b["v"], width)
-            if held:
-                ids, turn, x = (np.concatenate(pair) for pair in zip(held, (ids, turn, x)))
-            found = []
-            for k in range(1, min(neighbours, len(ids) - 1) + 1):
-                near = np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold
-                found.append((at := np.flatnonzero(near & (turn[:-k] == turn[k:])), at + k))
-            if found:
-                a, c = (np.concatenate(f) for f in zip(*found))
-                label = _least_labels(a, c, len(ids))
-                moved = np.flatnonzero(label != np.arange(len(ids)))
-                if len(moved):
-                    yield pd.DataFrame({"a": ids[label[moved]], "b": ids[moved]})
-            held = ids[-neighbours:], turn[-neighbours:], x[-neighbours:]
-
-    keyed = nodes.select("id", "v").mapInPandas(hashed, f"id bigint, v {nodes.schema['v'].dataType.simpleString()}, turn int, bits bigint")
-    order = ["turn", "bits", F.xxhash64("id")]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(linked, "a bigint, b bigint").where("a <> b").distinct()
+            keys = b[key].to_numpy(np.int64)
+            if held and (held[-1][key].iloc[-1].to_numpy(np.int64) != keys[0]).any():
+                yield links()
+                held = []
+            *starts, last = [0, *np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1]
+            for lo, hi in zip(starts, [*starts[1:], last]):
+                held.append(b.iloc[lo:hi])
+                yield links()
+                held = []
+            held.append(b.iloc[last:])
+        if held:
+            yield links()
+
+    kind = nodes.schema["v"].dataType.simpleString()
+    key = ["turn", "signs", "i", "j"]
+    crowded = materialise(
+        nodes.select("v").mapInPandas(counted, "turn int, signs bigint, n bigint").groupBy("turn", "signs").agg(F.sum("n").alias("n"))
+        .where(F.col("n") > BLOCK).select("turn", "signs", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        "crowded",
+    )
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = (
+        nodes.select("id", "v").mapInPandas(hashed, f"id bigint, v {kind}, turn int, signs bigint").join(crowded, ["turn", "signs"], "left")
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("id", "v", "turn", "signs", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(linked, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def near_duplicates(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9,
-    passes: int = PASSES, neighbours: int = NEIGHBOURS, seed: int = 8,
+    recall: float = RECALL, seed: int = 8,
 ) -> DataFrame:
     """Per row: id, n_links (other rows at cosine >= threshold), component_id (least id reachable) and kept.
 
     Equal vectors are one node with a number of copies. Components
-    come from projection_links(), which compares few pairs and may miss
-    some; links are then counted inside each component without regard to what
-    the passes met. Members within half the threshold's angle of
+    come from projection_links(), whose bits and passes follow from the number
+    of vectors: a pair is missed with probability 1 - recall at most,
+    and never where all pairs are less work; links are then counted inside each
+    component without regard to what the passes met. Members within half the threshold's angle of
     the component's least member are a ball, in which any two
     are linked, so that it is counted and not compared; only members outside are
     compared, in blocks, with all of their component.
@@ -108,8 +163,9 @@ def near_duplicates(
     good = F.coalesce(F.col(id_col).isNotNull() & usable(v) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.when(good, v).alias("v"))
     nodes = materialise(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
-    width = nodes.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
-    parts = connected_components(projection_links(nodes, width, threshold, passes, neighbours, seed))
+    shape = nodes.agg(F.max(F.size("v")).alias("w"), F.count("*").alias("n")).first()
+    width = shape["w"] or 1
+    parts = connected_components(projection_links(nodes, width, threshold, *passes_for(shape["n"], threshold, recall), seed))
     members = materialise(nodes.join(parts.withColumnRenamed("node", "id"), "id"), "members")
     heart = members.where("id = component").groupBy("component").agg(F.min("v").alias("heart"))
     # cos(half of the angle), with room for rounding: any two in the ball are then at the threshold or above.
