@@ -55,3 +55,19 @@ def test_odd_rows(odd, none):
     assert mixed(none).count() == 0
     taken = sum(r.reps for r in got)
     assert out.select(F.count("*")).first()[0] == taken
+
+
+@pytest.mark.parametrize("kind", ["long text", "null ids", "one id", "equal rows"])
+def test_nothing_keeps_the_rest_out(spark, kind):
+    """A source with a part that does not fit its budget is still filled until no document left fits."""
+    rows = [(i, f"{i} " + "w " * ((i * 7919) % 600), "a") for i in range(500)] + [(1000, "x " * 20_000, "b"), (1001, "y " * 400_000, "c")]
+    odd = {
+        "long text": [(900 + k, "w " * 150_000, "a") for k in range(2)], "null ids": [(None, f"n{k} " * 100, "a") for k in range(2000)],
+        "one id": [(900, f"n{k} " * 100, "a") for k in range(2000)], "equal rows": [(900, "n " * 100, "a")] * 2000,
+    }[kind]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, source string")
+    for seed in range(3):
+        got = mix(df, weights=(1.0, 20.0, 1.9), seed=seed).where("source = 'a'").collect()
+        least = min(r.reps for r in got)
+        rest = got[0].target - sum(r.taken for r in got)
+        assert 0 <= rest < min(r.size for r in got if r.reps == least) and rest < 0.01 * got[0].target, (kind, seed, rest)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import materialise, seeded_hash, unit
 
 #: Words are runs of anything but these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's seeded order; the budget is met to one slice, then filled up.
+#: Bins of a source's seeded order that a round of filling its budget looks at; together they hold about twice what is left of it, or all.
 SLICES = 1024
-#: Documents kept for filling up, for each source and power of two of the size.
-FILLERS = 4
+#: A round: documents of at most limit words are hashed into bins, and those in the taken bins are taken.
+ROUNDS = "array<struct<turn:int,limit:double,bins:double,taken:array<bigint>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -49,20 +51,75 @@ def water_fill(sources: DataFrame, share: float = 1.0, max_epochs: float = 3.0)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
-    """A row's own part in the mix: size, source and place in the seeded order."""
-    return [
-        word_count(F.col(text_col)).alias("__size"), F.col(source_col).alias("__source"), F.col(id_col).cast("string").alias("__id"),
-        seeded_hash(seed, F.col(id_col)).alias("__h"),
-    ]
+    """A row's own part in the mix: size, source and place in the seeded order, of id and text."""
+    return [word_count(F.col(text_col)).alias("__size"), F.col(source_col).alias("__source"), seeded_hash(seed, F.col(id_col), F.col(text_col)).alias("__h")]
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """The places (__again) of rows with words that several rows of _rows() have."""
+    return materialise(rows.where("__size > 0").groupBy(F.col("__h").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mix-repeats")
+
+
+def _apart(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """rows, those of equal id and text numbered and each given a place of its own; the others are not shuffled."""
+    if repeats.isEmpty():
+        return rows
+    marked = rows.join(repeats, F.col("__h") == F.col("__again"), "left")
+    copy = F.row_number().over(W.partitionBy("__again").orderBy("__again"))
+    many = marked.where("__again is not null").withColumn("__h", seeded_hash(0, F.col("__h"), copy))
+    return marked.where("__again is null").unionByName(many).drop("__again")
+
+
+def _bin(h: Column, turn: Column, bins: Column) -> Column:
+    """A row's bin in a round."""
+    return F.floor(unit(F.xxhash64(h, turn)) * bins).cast("bigint")
+
+
+def _taken(rounds: Column) -> Column:
+    """Whether one of its source's rounds takes a row."""
+    return F.exists(rounds, lambda x: (F.col("__size") <= x["limit"]) & F.array_contains(x["taken"], _bin(F.col("__h"), x["turn"], x["bins"])))
 
 
-def _slice_of(h: Column) -> Column:
-    return F.floor(unit(h) * SLICES).cast("int")
+def _filled(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """state(source, rest, ...) plus the rounds that take rows of at most rest words of each source, until no row left fits the rest.
+
+    A round hashes the rows that still fit into so many bins that the first
+    SLICES hold about twice the rest, and takes those bins in turn that
+    fit what is then left of it. A bin that does not fit is left
+    out and its rows are hashed anew in the next round, by then without those too
+    large, so that no long text or large bin keeps others out.
+    """
+    size, h, same = F.col("__size"), F.col("__h"), F.col("source").eqNullSafe(F.col("s"))
+    state = materialise(state.withColumn("rounds", F.array().cast(ROUNDS)), "mix-state")
+    for turn in count():
+        live = lambda state, *more: (
+            rows.where(size > 0).join(state.select("source", "rest", "rounds", *more), F.col("source").eqNullSafe(F.col("__source"))).where((size <= F.col("rest")) & ~_taken(F.col("rounds")))
+        )
+        words = live(state).groupBy(F.col("source").alias("s")).agg(F.sum(size).alias("words"))
+        state = materialise(
+            state.join(words, same, "left").drop("s").withColumn("bins", F.greatest(F.lit(float(SLICES)), F.col("words") / F.col("rest") * (SLICES / 2))), "mix-state"
+        )
+        if state.where("words > 0").isEmpty():
+            return state.drop("words", "bins")
+        # At most SLICES sums of a source, in one partial aggregation.
+        slices = live(state, "bins").withColumn("bin", _bin(h, F.lit(turn), F.col("bins"))).where(F.col("bin") < SLICES).groupBy("source", "bin").agg(F.sum(size).alias("words"))
+        inside = slices.groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("slices"))
+        fits = F.aggregate(
+            "slices", F.struct(F.col("rest").alias("rest"), F.array().cast("array<bigint>").alias("taken")),
+            lambda acc, x: F.when(x["words"] <= acc["rest"], F.struct((acc["rest"] - x["words"]).alias("rest"), F.concat(acc["taken"], F.array(x["bin"])).alias("taken"))).otherwise(acc),
+        )
+        own = F.struct(F.lit(turn).alias("turn"), F.col("rest").alias("limit"), "bins", F.col("fits.taken").alias("taken"))
+        state = materialise(
+            state.join(inside, same, "left").withColumn("fits", F.when(F.col("slices").isNotNull(), fits))
+            .withColumn("rounds", F.when(F.size("fits.taken") > 0, F.concat("rounds", F.array(own).cast(ROUNDS))).otherwise(F.col("rounds")))
+            .withColumn("rest", F.coalesce("fits.rest", "rest")).drop("s", "slices", "fits", "words", "bins"),
+            "mix-state",
+        )
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int) -> DataFrame:
-    """Per source of _rows(): source_size, target, whole repetitions, the last slice taken once more (cut), and fillers."""
-    size, source, h = F.col("__size"), F.col("__source"), F.col("__h")
+    """Per source of _rows(): source_size, target, whole repetitions, and the rounds that take rows once more."""
+    size, source = F.col("__size"), F.col("__source")
     ranked = (
         rows.groupBy(source.alias("source")).agg(F.sum(size).alias("source_size"))
         .withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
@@ -72,54 +129,16 @@ def plan(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs:
         ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") - 1) % len(weights) + 1)), share, max_epochs
     )
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = materialise(
-        sources.withColumn("whole", F.least(F.floor(ratio + 1e-12), F.lit(max_epochs)).cast("int"))
-        .withColumn("budget", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))),
-        "mix-sources",
-    )
-    # Words of each slice, in one partial aggregation; a source has at most SLICES of them.
-    slices = rows.groupBy(source.alias("s"), _slice_of(h).alias("slice")).agg(F.sum(size).alias("words"))
-    upto = W.partitionBy("s").orderBy("slice")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    cuts = (
-        slices.withColumn("run", F.sum("words").over(upto)).join(sources.select("source", "budget"), same).where("run <= budget")
-        .groupBy("s").agg(F.max("slice").alias("cut"), F.max("run").alias("met"))
-    )
-    cuts = materialise(
-        sources.join(cuts, same, "left").drop("s")
-        .withColumn("cut", F.coalesce("cut", F.lit(-1))).withColumn("rest", F.col("budget") - F.coalesce("met", F.lit(0))),
-        "mix-cuts",
-    )
-    fillers = (
-        rows.where((size > 0) & F.col("__id").isNotNull()).join(cuts.select("source", "cut", "rest"), F.col("source").eqNullSafe(source))
-        .where((_slice_of(h) > F.col("cut")) & (size <= F.col("rest")))
-        .groupBy("source", F.length(F.bin(size)).alias("class"), F.pmod(h, F.lit(FILLERS)).alias("lane"))
-        .agg(F.min(F.struct(h.alias("h"), size.alias("size"), F.col("__id").alias("id"))).alias("f"), F.first("rest").alias("rest"))
-    )
-    # At most FILLERS structs for each bit length of a size, so the array is small.
-    pool = fillers.groupBy(F.col("source").alias("s")).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.col("f.size").alias("size"), F.col("f.h").alias("h"), F.col("f.id").alias("id"))))).alias("pool"),
-        F.first("rest").alias("left"),
-    )
-    kind = "array<struct<id:string,size:bigint>>"
-    take = F.aggregate(
-        "pool",
-        F.struct(F.col("left"), F.array().cast(kind).alias("ids")),
-        lambda acc, x: F.when(
-            x["size"] <= acc["left"],
-            F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["ids"], F.array(F.struct(x["id"].alias("id"), x["size"].alias("size"))).cast(kind)).alias("ids")),
-        ).otherwise(acc),
-    )
-    return materialise(cuts.join(pool.select("s", take["ids"].alias("fill")), same, "left").select("source", "source_size", "target", "whole", "cut", "fill"), "mix-plan")
+    sources = sources.withColumn("whole", F.least(F.floor(ratio + 1e-12), F.lit(max_epochs)).cast("int"))
+    budget = F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
+    return _filled(rows, sources.select("source", "source_size", "target", "whole", budget.alias("rest"))).drop("rest")
 
 
 def _joined(rows: DataFrame, plans: DataFrame, max_epochs: int) -> DataFrame:
     """rows with the plan of their source as __source_size and __target, and __reps."""
     p = plans.select(*[F.col(c).alias(f"__plan_{c}") for c in plans.columns])
     size = F.col("__size")
-    once = (_slice_of(F.col("__h")) <= F.col("__plan_cut")) | F.coalesce(
-        F.exists("__plan_fill", lambda x: (x["id"] == F.col("__id")) & (x["size"] == size)), F.lit(False)
-    )
+    once = _taken(F.col("__plan_rounds"))
     reps = F.when(size > 0, F.least(F.col("__plan_whole") + once.cast("int"), F.lit(max_epochs))).otherwise(0)
     return rows.join(p, F.col("__source").eqNullSafe(F.col("__plan_source"))).withColumn("__reps", reps.cast("int"))
 
@@ -139,17 +158,18 @@ def mix(
 
     Sources, by code point with null last, take the weights in turn. Each
     document is taken floor(target / source_size) times, and a seeded part
-    of the source once more: whole slices of the seeded order while they
-    fit the rest of the budget, then kept fillers of falling size that fit
-    what is left of it. All native, one pass over the texts; the words of a source
+    of the source once more, until no document that was left out fits the
+    rest of the budget. All native, one pass over the texts; the words of a source
     are summed in partial aggregates, so a hot source is never gathered.
 
     Null text: size 0, never taken. Null source: a source of its own. Null
-    ids and repeated rows: rows with equal id and size are decided alike,
-    so the fill may overshoot by their repeats. Empty table: no rows. Other
+    ids and repeated rows: decided by their text too, and each of several equal
+    rows by itself. Empty table: no rows. Other
     columns, whatever their names, are not carried.
     """
     rows = materialise(docs.select(F.col(id_col).alias("__key"), *_rows(docs, id_col, text_col, source_col, seed)), "mix-rows")
+    if not (repeats := _repeats(rows)).isEmpty():
+        rows = materialise(_apart(rows, repeats), "mix-rows")
     out = _joined(rows, plan(rows, weights, share, max_epochs), max_epochs)
     return out.select(
         F.col("__key").alias(id_col), F.col("__size").alias("size"), F.col("__source").alias("source"), F.col("__plan_source_size").alias("source_size"),
@@ -168,8 +188,10 @@ def mixed(
     max_epochs: int = 3,
     seed: int = 1,
 ) -> DataFrame:
-    """The rows of docs, all their columns, as often as mix() takes them. The texts are not shuffled: only the small plan is joined to them."""
+    """The rows of docs, all their columns, as often as mix() takes them. The texts are not shuffled, but for those of repeated rows: only the small plan is joined to them."""
     own = _rows(docs, id_col, text_col, source_col, seed)
-    plans = plan(materialise(docs.select(*own), "mix-rows"), weights, share, max_epochs)
-    out = _joined(docs.select("*", *own), plans, max_epochs).where("__reps > 0")
+    rows = materialise(docs.select(*own), "mix-rows")
+    repeats = _repeats(rows)
+    plans = plan(_apart(rows, repeats), weights, share, max_epochs)
+    out = _joined(_apart(docs.select("*", *own), repeats), plans, max_epochs).where("__reps > 0")
     return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(docs.columns)
