@@ -65,7 +65,8 @@ def _apart(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     if repeats.isEmpty():
         return rows
     marked = rows.join(repeats, F.col("__h") == F.col("__again"), "left")
-    copy = F.row_number().over(W.partitionBy("__again").orderBy("__again"))
+    # By source, that a source's copies have the same places whenever they are numbered.
+    copy = F.row_number().over(W.partitionBy("__again", "__source").orderBy("__again"))
     many = marked.where("__again is not null").withColumn("__h", seeded_hash(0, F.col("__h"), copy))
     return marked.where("__again is null").unionByName(many).drop("__again")
 
@@ -85,7 +86,8 @@ def _filled(rows: DataFrame, state: DataFrame) -> DataFrame:
 
     A round hashes the rows that still fit into so many bins that the first
     SLICES hold about twice the rest, and takes those bins in turn that
-    fit what is then left of it. A bin that does not fit is left
+    fit what is then left of it, the few large ones before the others use up
+    what would fill the gaps between them. A bin that does not fit is left
     out and its rows are hashed anew in the next round, by then without those too
     large, so that no long text or large bin keeps others out.
     """
@@ -104,15 +106,23 @@ def _filled(rows: DataFrame, state: DataFrame) -> DataFrame:
         # At most SLICES sums of a source, in one partial aggregation.
         slices = live(state, "bins").withColumn("bin", _bin(h, F.lit(turn), F.col("bins"))).where(F.col("bin") < SLICES).groupBy("source", "bin").agg(F.sum(size).alias("words"))
         inside = slices.groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("slices"))
+        # Bins above a hundredth of the rest come first, up to their part of the rest or what the others cannot fill.
+        heavy = lambda x: x["words"] > F.col("rest") / 100
+        total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x["words"])
+        large, light = F.filter("slices", heavy), F.filter("slices", lambda x: ~heavy(x))
+        wanted = F.greatest(F.col("rest") * F.col("large") / (F.col("large") + F.col("light")), F.col("rest") - F.col("light"))
         fits = F.aggregate(
-            "slices", F.struct(F.col("rest").alias("rest"), F.array().cast("array<bigint>").alias("taken")),
-            lambda acc, x: F.when(x["words"] <= acc["rest"], F.struct((acc["rest"] - x["words"]).alias("rest"), F.concat(acc["taken"], F.array(x["bin"])).alias("taken"))).otherwise(acc),
+            F.concat(large, light), F.struct(F.col("rest").alias("rest"), F.array().cast("array<bigint>").alias("taken")),
+            lambda acc, x: F.when(
+                (x["words"] <= acc["rest"]) & (~heavy(x) | (F.col("rest") - acc["rest"] < F.col("wanted"))),
+                F.struct((acc["rest"] - x["words"]).alias("rest"), F.concat(acc["taken"], F.array(x["bin"])).alias("taken")),
+            ).otherwise(acc),
         )
         own = F.struct(F.lit(turn).alias("turn"), F.col("rest").alias("limit"), "bins", F.col("fits.taken").alias("taken"))
         state = materialise(
-            state.join(inside, same, "left").withColumn("fits", F.when(F.col("slices").isNotNull(), fits))
+            state.join(inside, same, "left").withColumn("large", total(large)).withColumn("light", total(light)).withColumn("wanted", wanted).withColumn("fits", F.when(F.col("slices").isNotNull(), fits))
             .withColumn("rounds", F.when(F.size("fits.taken") > 0, F.concat("rounds", F.array(own).cast(ROUNDS))).otherwise(F.col("rounds")))
-            .withColumn("rest", F.coalesce("fits.rest", "rest")).drop("s", "slices", "fits", "words", "bins"),
+            .withColumn("rest", F.coalesce("fits.rest", "rest")).drop("s", "slices", "large", "light", "wanted", "fits", "words", "bins"),
             "mix-state",
         )
 
