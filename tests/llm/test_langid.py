@@ -47,6 +47,18 @@ def test_viterbi_equals_all_paths():
         at += n
 
 
+def test_every_label_is_learned(spark):
+    """Rare labels too, and more than fit a byte."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(97, 123, 12))) for _ in range(300)]
+    rows = [(3 * k + j, f"{words[k]} {words[k]} {words[k]}", f"l{k:03}") for k in range(300) for j in range(1 + (k < 299))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == [f"l{k:03}" for k in range(300)]
+    got = langid.identify(docs.withColumnRenamed("lang", "truth"), model).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.truth for r in got)
+
+
 def test_odd_rows(spark, odd, none, model):
     out = langid.identify(odd, model)
     assert out.count() == 9 and out.columns[: len(odd.columns) - 1] == [c for c in odd.columns if c != "score"]

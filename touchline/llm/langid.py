@@ -16,10 +16,8 @@ from .common import seeded_hash, shared_dir, unit
 
 #: Hashed byte n-grams of 1 to ORDER bytes, in this many buckets; one more, of score 0, stands for none.
 BUCKETS, ORDER = 1 << 15, 4
-#: The sample that a model is fitted on: at most about this many documents of a language, drawn by a seeded hash ...
+#: The sample that a model is fitted on: at most about this many documents of each language, drawn by a seeded hash.
 SAMPLE = 2000
-#: ... and of the languages the most frequent this many.
-LANGUAGES = 64
 #: First code points of runs of the Unicode script blocks told apart here, and whether each run is such a script.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -91,7 +89,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", seed
     """
     shared_dir(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros((len(_NAMES), 0), bool))
@@ -139,8 +137,9 @@ def viterbi(scores: np.ndarray, index: np.ndarray, lengths: np.ndarray, switch:
     starts = np.cumsum(lengths) - lengths
     steps = int(lengths[0]) if n_docs else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # documents longer than step t
-    back = np.empty((len(index), n_lang), np.uint8)
-    own = np.arange(n_lang, dtype=np.uint8)
+    kind = np.min_scalar_type(max(n_lang - 1, 0))
+    back = np.empty((len(index), n_lang), kind)
+    own = np.arange(n_lang, dtype=kind)
     v = np.zeros((n_docs, n_lang), np.float32)
     last = np.empty(n_docs, np.int64)
     for t in range(steps):
@@ -153,12 +152,12 @@ def viterbi(scores: np.ndarray, index: np.ndarray, lengths: np.ndarray, switch:
             best = v.argmax(1)
             jump = v[np.arange(a), best] - np.float32(switch)
             moved = jump[:, None] > v
-            back[at] = np.where(moved, best[:, None].astype(np.uint8), own)
+            back[at] = np.where(moved, best[:, None].astype(kind), own)
             v = np.maximum(v, jump[:, None]) + scores[index[at]]
         else:
             v = scores[index[at]].copy()
     last[: len(v)] = v.argmax(1)
-    path = np.empty(len(index), np.uint8)
+    path = np.empty(len(index), kind)
     for t in range(steps - 1, -1, -1):
         a = active[t]
         at = starts[:a] + t
@@ -173,6 +172,8 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float):
         self.model, self.switch = model, switch
+        # What is kept for each word is as wide as the languages are many.
+        self.room = min(1.0, 64 / max(1, len(model.languages)))
         self._forget()
 
     def _forget(self) -> None:
@@ -184,17 +185,18 @@ class Labeller:
         fresh = list(words)
         clean = [letters_of(w) for w in fresh]
         found = np.zeros((len(fresh), self.scores.shape[1]), np.float32)
-        for lo in range(0, len(fresh), LEARNED):
-            part = clean[lo : lo + LEARNED]
+        step = max(1, int(LEARNED * self.room))
+        for lo in range(0, len(fresh), step):
+            part = clean[lo : lo + step]
             if some := [w for w in part if w]:
-                found[lo : lo + LEARNED][[bool(w) for w in part]] = self.model.score(some)
+                found[lo : lo + step][[bool(w) for w in part]] = self.model.score(some)
         self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
         self.scores = np.vstack([self.scores, found])
         self.weight = np.concatenate([self.weight, [len(w) for w in clean]]).astype(np.int64)
 
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, list]]:
         """(language or und, score, spans) for each text; a span is (language, first word, last word), words as split at white space."""
-        if len(self.at) > REMEMBERED:
+        if len(self.at) > REMEMBERED * self.room:
             self._forget()
         words = [(t or "").lower().split() for t in texts]
         if unknown := set().union(*words).difference(self.at):
@@ -209,7 +211,7 @@ class Labeller:
         n_lang = self.scores.shape[1]
         ends = np.cumsum(lengths[order])
         doc = np.repeat(np.arange(len(order)), lengths[order])
-        share = np.bincount(doc * n_lang + path, self.weight[index], len(order) * n_lang).reshape(-1, n_lang)
+        share = np.bincount(doc * n_lang + path.astype(np.int64), self.weight[index], len(order) * n_lang).reshape(-1, n_lang)
         out: list = [("und", 0.0, [])] * len(texts)
         for k, d in enumerate(order):
             letters = share[k].sum()
@@ -248,7 +250,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch: f
                 group, size = [], 0
                 for t in texts:
                     group.append(t.as_py())
-                    if (size := size + len(group[-1] or "")) >= GROUP_CHARS:
+                    if (size := size + len(group[-1] or "")) >= GROUP_CHARS * own.room:
                         break
                 found += own.label(group) if own.model.languages else [("und", 0.0, [])] * len(group)
             spans = [[{"lang": a, "first_word": i, "last_word": j} for a, i, j in x[2]] for x in found]
