@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from touchline.llm.packing import WordEncoder, pack, plan
+from touchline.llm.packing import SumIndex, WordEncoder, best_fit, pack, plan
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -61,3 +61,35 @@ def test_pack(spark, odd, none):
         assert at <= 64
     assert len(by) <= -(-sum(r.length for r in got) // 64) + 1
     assert pack(none).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_plan_of_real_documents_is_exact_fills(folder):
+    import pyarrow.parquet as pq
+
+    counts = {}
+    for ids in WordEncoder.of(None).encode(pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column("text").to_pylist()):
+        n = len(ids) // 4 + 1
+        for size in [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0):
+            counts[size] = counts.get(size, 0) + 1
+    bins = plan(counts, 2048)
+    many = sum(n for _, n in bins)
+    assert many == -(-sum(k * n for k, n in counts.items()) // 2048)  # no plan has fewer
+    assert many <= sum(n for _, n in best_fit(counts, 2048))
+    assert sum(n for used, n in bins if sum(used) == 2048 and len(used) <= 4) > 0.7 * many
+
+
+def test_index_follows_what_is_used():
+    rng = np.random.default_rng(3)
+    have = np.zeros(65, np.int64)
+    have[rng.integers(1, 65, 30)] = rng.integers(1, 3)
+    index = SumIndex(have.copy())
+    for x in np.flatnonzero(have).tolist():
+        index.take((x,), int(index.have[x]))
+        fresh = SumIndex(index.have.copy())
+        assert (index.one == fresh.one).all() and (index.two == fresh.two).all() and (index.three == fresh.three).all()
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))

@@ -18,6 +18,12 @@ from .common import materialise, shared_dir
 REMEMBERED = 400_000
 #: Texts encoded together, about this many bytes.
 GROUP_BYTES = 2 << 20
+#: Lengths up to this part of the capacity are kept from exact fills for the gaps that best fit leaves.
+SHORT = 1 / 8
+#: In so many parts exact fills may be given back to best fit, the last found first.
+STEPS = 16
+#: Texts that any tokenizer must encode word by word to be accepted.
+PROBES = ("Two words, and 3.5 more!", "  leading\ttabs\nand lines  ", "don't (stop) here... ÄÖÜ naïve 日本語 x;y?", "UPPER lower MiXed 12,000;")
 
 _encoders: dict[str, "WordEncoder"] = {}
 _TAIL = b".,;:!?"
@@ -29,7 +35,8 @@ class WordEncoder:
 
     For a tokenizer that drops white space and merges nothing across it (word_bpe_49k),
     a text's ids are its words' ids one after the other. A trailing run of
-    punctuation after an ASCII letter or digit is a word of its own to it.
+    punctuation after an ASCII letter or digit is a word of its own to it. Another tokenizer
+    is refused (ValueError) where PROBES show that this does not hold for it.
     """
 
     def __init__(self, path: str | None):
@@ -42,6 +49,9 @@ class WordEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        for sample in PROBES:
+            if np.frombuffer(next(self.encode([sample])), "<u4").tolist() != self.tokenizer.encode(sample, add_special_tokens=False).ids:
+                raise ValueError(f"{path}: a text's ids are not its words' ids")
 
     @classmethod
     def of(cls, path: str | None) -> "WordEncoder":
@@ -122,6 +132,53 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
     return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint, part int, rank bigint")
 
 
+class SumIndex:
+    """Lengths with their availability counts, and how many (ordered) choices of one, two and three of them add up to each sum."""
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.one = (have > 0).astype(np.int64)
+        self.two = np.convolve(self.one, self.one)[: len(have)]
+        self.three = np.convolve(self.two, self.one)[: len(have)]
+
+    def take(self, used: tuple[int, ...], times: int) -> None:
+        """Use each of these lengths as often; sums of a length used up leave the index."""
+        for x in used:
+            self.have[x] -= times
+        for x in set(used):
+            if not self.have[x] and self.one[x]:
+                up = lambda v, by: np.concatenate([np.zeros(by, np.int64), v])[: len(v)]
+                nothing = np.zeros(len(self.one), np.int64)
+                nothing[0] = 1
+                self.three += 3 * (up(self.one, 2 * x) - up(self.two, x)) - up(nothing, 3 * x)
+                self.two += up(nothing, 2 * x) - 2 * up(self.one, x)
+                self.one[x] = 0
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """The most unequal available pair of this sum, next to the lengths already chosen."""
+        spare = lambda x: self.have[x] - beside.count(x)
+        longer = np.arange((total + 1) // 2, total)
+        for a in longer[(self.one[longer] > 0) & (self.one[total - longer] > 0)][::-1].tolist():
+            if spare(a) > 0 and spare(total - a) > (a == total - a):
+                return a, total - a
+        return None
+
+    def complement(self, length: int, gap: int) -> tuple[int, ...] | None:
+        """One, two or three further available lengths that fill the gap beside this one exactly."""
+        if gap == 0:
+            return ()
+        if self.have[gap] > (gap == length):
+            return (gap,)
+        if self.two[gap] and (found := self.pair(gap, (length,))):
+            return found
+        if self.three[gap]:
+            firsts = np.arange(1, gap)
+            for a in firsts[(self.one[firsts] > 0) & (self.two[gap - firsts] > 0)][::-1].tolist():
+                if self.have[a] > (a == length) and (found := self.pair(gap - a, (length, a))):
+                    return a, *found
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Bins for counts[length] items of each length: (lengths of a bin, number of such bins).
 
@@ -129,55 +186,36 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     lengths, the sums of two and the sums of three; a combination that
     fills it exactly is used as often as all of its lengths last, which
     uses up at least one length, so there are at most capacity such
-    kinds of bins. What finds no exact complement goes best-fit decreasing.
-    Exact fills can use up the short items that few items need more, so that
-    the plain best fit is planned too and the plan of fewer bins is taken.
+    kinds of bins. Lengths of at most SHORT of the capacity are not spent on exact
+    fills: the items that find no exact complement go best-fit decreasing, and it is
+    the short ones that fill the gaps which those leave. Where exact fills of small items still
+    take what longer ones need, the last of them are given back to best fit: of the
+    first 0, 1 ... STEPS of STEPS parts of the exact fills, as many stand as give the fewest bins.
     """
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
+    short = np.where(np.arange(capacity + 1) <= SHORT * capacity, have, 0)
+    index = SumIndex(have - short)
     bins: list[tuple[tuple[int, ...], int]] = []
-    #: pair_sums[s]: two lengths may add up to s. Lengths only get used up, so a stale yes is verified.
-    present = (have > 0).astype(np.float64)
-    pair_sums = np.convolve(present, present)[: capacity + 1] > 0.5
-    whole = np.arange(capacity + 1)
-
-    def pair(s: int, spare: np.ndarray) -> tuple[int, int] | None:
-        a = whole[(s + 1) // 2 : s]
-        ok = np.flatnonzero((spare[a] > 0) & (spare[s - a] > (a == s - a)))
-        return (int(a[ok[-1]]), s - int(a[ok[-1]])) if len(ok) else None
-
-    def complement(gap: int, spare: np.ndarray) -> tuple[int, ...] | None:
-        if gap == 0:
-            return ()
-        if spare[gap] > 0:
-            return (gap,)
-        if pair_sums[gap]:
-            if found := pair(gap, spare):
-                return found
-        for a in np.flatnonzero((spare[1:gap] > 0) & pair_sums[gap - 1 : 0 : -1])[::-1] + 1:
-            spare[a] -= 1
-            found = pair(gap - int(a), spare)
-            spare[a] += 1
-            if found:
-                return (int(a), *found)
-        return None
-
     for length in range(capacity, 0, -1):
-        while have[length]:
-            have[length] -= 1
-            found = complement(capacity - length, have)
-            have[length] += 1
+        while index.have[length]:
+            found = index.complement(length, capacity - length)
             if found is None:
                 break
             used = (length, *found)
-            times = min(int(have[x]) // used.count(x) for x in set(used))
+            times = min(int(index.have[x]) // used.count(x) for x in set(used))
             bins.append((used, times))
+            index.take(used, times)
+    rest = index.have + short
+    plans, stand = [], bins
+    for step in range(STEPS, -1, -1):
+        stand, back = bins[: len(bins) * step // STEPS], stand[len(bins) * step // STEPS :]
+        for used, times in back:
             for x in used:
-                have[x] -= times
-    exact = bins + best_fit({x: int(n) for x, n in enumerate(have) if n}, capacity)
-    plain = best_fit(counts, capacity)
-    return min(exact, plain, key=lambda kinds: sum(n for _, n in kinds))
+                rest[x] += times
+        plans.append(stand + best_fit({x: int(n) for x, n in enumerate(rest) if n}, capacity))
+    return min(plans, key=lambda kinds: sum(n for _, n in kinds))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
