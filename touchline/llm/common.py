@@ -6,7 +6,6 @@ import atexit
 import os
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,6 +58,11 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and quotes in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def seeded_hash(seed: int, *cols: Column) -> Column:
     """A 64-bit hash of the columns that depends only on their values and the seed."""
     return F.xxhash64(F.lit(seed), *cols)
@@ -114,7 +118,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     found = materialise(found, "roots")
     least = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(least, "root").select("node", "component")
-
-
-def all_of(conds: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conds)

@@ -10,12 +10,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, materialise, shared_dir
+from .common import connected_components, materialise, quoted, shared_dir
 
 #: Shingles hashed at a time, that a very long text needs no more memory.
 BLOCK = 1 << 16
-#: A posting list up to this length is paired; a longer one is linked through one-bit neighbours.
-PAIRED = 64
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -42,7 +40,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(f.view(np.int64))], names=["id", "fp"])
 
     shared_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
@@ -55,43 +53,48 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return tally
 
 
+def postings(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """The index: (list, free, fp), a row for each fingerprint and each choice of the 8 - max_bits byte positions that must agree.
+
+    list is the bytes at the chosen positions, the others zero; free is a mask of the others.
+    """
+    fp, kept = F.col("fp"), []
+    for others in combinations(range(8), max_bits):
+        mask = sum(0xFF << 8 * i for i in range(8) if i not in others)
+        own = F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+        kept.append(F.struct(fp.bitwiseAND(own).alias("list"), F.lit(sum(1 << i for i in others)).alias("free")))
+    return nodes.select(fp, F.explode(F.array(*kept)).alias("p")).select("p.list", "p.free", "fp")
+
+
 def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Pairs (a < b) of distinct fingerprints from nodes(fp) that link all at most max_bits apart.
+    """Pairs (a < b) of distinct fingerprints from nodes(fp) that link all at most max_bits apart, and no others.
 
     At most max_bits bytes differ, so a pair agrees in at least
-    8 - max_bits byte positions and, split into max_bits + 2 runs of bytes,
-    in at least two whole runs. The index therefore lists a fingerprint
-    under each pair of runs, pairs what shares a list, keeps
-    pairs whose tally of shared bytes reaches the guaranteed minimum and
-    verifies the bits. A list longer than PAIRED is not paired: its
-    members are listed under themselves and their 64 one-bit neighbours,
-    where two meet exactly if they differ in two bits or fewer; such
-    a list has 65 members at most and is linked to its least. Both ways
-    lose no link; the second gives a path for each.
+    8 - max_bits byte positions. A list of one position holds one in 256 of all
+    fingerprints and would pair their square, so the index lists a fingerprint under each
+    choice of that guaranteed minimum of positions: two in a list have a tally of 6 shared
+    bytes at least, and a tally below it meets in none. The lists are only counted; a
+    fingerprint alone in all of its lists is out, and for the others is known
+    at which positions a partner may differ. At those, each is listed
+    again with every single bit turned: two differ in two bits or fewer exactly
+    if they meet there, and all who meet at a place are within two bits, so they are linked
+    to the least of the 65 at most. Every list costs its length, however long
+    it is, and every link is a pair of the result or a path of two. The tally of shared bytes and the
+    bits of each pair are checked once more before it is given.
     """
     if max_bits != 2:
-        raise ValueError("the one-bit neighbours of long lists are exact for two bits only")
-    fp = F.col("fp")
-    run = lambda i: F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [
-        F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(run(i), 16)).bitwiseOR(run(j))
-        for n, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    postings = nodes.select(fp, F.explode(F.array(*keys)).alias("key"))
-    lists = materialise(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    kept = materialise(postings.join(lists, "key"), "postings")
-    short = kept.where(F.col("n") <= PAIRED)
-    left, right = short.select("key", fp.alias("a")), short.select("key", fp.alias("b"))
-    a, b = F.col("a"), F.col("b")
-    pairs = (
-        left.join(right, "key").where(a < b).where(shared_bytes(a, b) >= 8 - max_bits)
-        .where(F.bit_count(a.bitwiseXOR(b)) <= max_bits).select("a", "b")
-    )
-    near = F.array(fp, *[fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)])
-    members = kept.where(F.col("n") > PAIRED).select("fp").distinct()
-    met = members.select(fp, F.explode(near).alias("at")).groupBy("at").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
-    stars = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 64)).alias("b"))
-    return pairs.unionByName(stars).distinct()
+        raise ValueError("places of one turned bit are exact for two bits only")
+    fp, a, b = F.col("fp"), F.col("a"), F.col("b")
+    listed = postings(nodes, max_bits)
+    # Sums of counts and hashes tell who is alone: no list is gathered, and a long one is two partial sums a task.
+    shared = materialise(listed.groupBy("list", "free").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lists")
+    partners = listed.join(shared, ["list", "free"]).groupBy("fp").agg(F.bit_or("free").alias("free"))
+    bit = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
+    turned = [F.when(F.col("free").bitwiseAND(F.lit(1 << i // 8)) != 0, fp.bitwiseXOR(bit(i))) for i in range(64)]
+    places = partners.select(fp, F.explode(F.array_compact(F.array(fp, *turned))).alias("place"))
+    met = places.groupBy("place").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
+    stars = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 64)).alias("b")).distinct()
+    return stars.where(shared_bytes(a, b) >= 8 - max_bits).where(F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
 
 def near_duplicates(
@@ -102,8 +105,8 @@ def near_duplicates(
     Rows with equal fingerprints are one node (exact copies cost one
     aggregated row); links() joins the nodes and connected_components()
     the links. Null, empty and blank texts: fingerprint zero, linked like
-    any other. Repeated rows: kept, alike. Null ids: kept, and no
-    component is named after them. Empty table: no rows. Other columns are not carried.
+    any other. Very long texts are hashed in blocks. Ties and repeated rows: kept, alike. Null ids: kept, and no
+    component is named after them. Empty table: no rows. Other columns, whatever their names, are not carried.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
@@ -117,6 +120,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the near-duplicates: of each component the rows of the least id stay, and all rows whose id is null."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs without the near-duplicates: of each component the rows of the least id stay, and all rows whose id is null.
+
+    Texts are joined with the ids that go, which are few where duplicates are:
+    a table of known size that is broadcast only while it is small. An id
+    that is the least of one component stays with all of its rows. Null, empty
+    and long texts, ties, repeated rows and empty tables: as near_duplicates() has them. All columns are carried, whatever their names.
+    """
+    found = near_duplicates(docs.select(quoted(id_col), quoted(how.get("text_col", "text"))), id_col=id_col, **how)
+    ids = found.select(quoted(id_col).alias("gone"), (quoted(id_col) == F.col("component_id")).alias("stays")).where("gone is not null")
+    gone = materialise(ids.groupBy("gone").agg(F.bool_or("stays").alias("stays")).where("not stays").select("gone"), "gone")
+    names = docs.columns
+    apart = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = F.col(f"c{names.index(id_col)}")
+    return apart.join(gone, own == F.col("gone"), "left_anti").toDF(*names)
