@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm.embed_dedup import near_duplicates, passes_for
+from touchline.llm.embed_dedup import BITS, near_duplicates, passes_for
 
 
 def brute(rows):
@@ -64,6 +64,25 @@ def test_isolated_pairs_near_the_threshold(spark, n, topics):
 def test_passes_follow_the_size():
     p = 1 - np.arccos(0.9) / np.pi
     for n in (0, 1, 1_000, 10**5, 10**7, 10**9):
-        bits, passes = passes_for(n, 0.9)
-        assert 1 - (1 - p**bits) ** passes >= 0.999 and (bits > 0 or passes == 1)
-    assert passes_for(1_000, 0.9) == (0, 1) and passes_for(10**7, 0.9)[0] > passes_for(10**5, 0.9)[0] > 0
+        window, passes = passes_for(n, 0.9)
+        k = max(0, np.ceil(np.log2(max(n, 1) / window)))
+        assert 1 - (1 - p**k) ** passes >= 0.999 and (n > window or passes == 1)
+    assert passes_for(1_000, 0.9)[1] == 1 < passes_for(10**5, 0.9)[1] < passes_for(10**7, 0.9)[1]
+
+
+def test_passes_meet_what_is_promised():
+    """Isolated pairs at cosine 0.905 that a window of any pass holds, in numpy alone, at sizes up to 300,000 rows."""
+    rng = np.random.default_rng(9)
+    for n in (20_000, 300_000):
+        x = rng.standard_normal((n, 16)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        aside = rng.standard_normal((500, 16))
+        aside -= (aside * x[:500]).sum(1, keepdims=True) * x[:500]
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        x = np.concatenate([x, 0.905 * x[:500] + np.sqrt(1 - 0.905**2) * aside])
+        window, passes = passes_for(n + 500, 0.9)
+        met = np.zeros(500, bool)
+        for _ in range(passes):
+            rank = np.argsort(np.argsort((x @ rng.standard_normal((16, BITS)) > 0) @ (1 << np.arange(BITS)[::-1])))
+            met |= np.abs(rank[:500] - rank[n:]) <= window
+        assert met.mean() >= 0.99
