@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm.topk import block_top, top_k
+from touchline.llm.topk import Block, block_top, index_rows, top_k
 
 
 def brute(vectors, k):
@@ -12,8 +12,8 @@ def brute(vectors, k):
     out = {}
     for q, qv in rows:
         if q % 50 == 0:
-            scored = sorted((-int(qv @ v), i) for i, v in rows if i != q)[:k]
-            out[q] = [(i, -s) for s, i in scored]
+            scored = sorted((-min(max(int(qv @ v), -(2**63)), 2**63 - 1), i) for i, v in rows if i != q)[:k]
+            out[q] = [(i, min(max(-s, -(2**63)), 2**63 - 1)) for s, i in scored]
     return out
 
 
@@ -25,7 +25,7 @@ def ranked(df):
     return out
 
 
-@pytest.mark.parametrize("scale", (0.2, 1.0, 1e5))
+@pytest.mark.parametrize("scale", (0.2, 1.0, 1e5, 1e30))
 def test_exact(spark, scale):
     rng = np.random.default_rng(5)
     base = rng.normal(0, scale, (400, 12))
@@ -40,7 +40,9 @@ def test_block_bounds_hold():
     rng = np.random.default_rng(0)
     for _ in range(20):
         q, c = rng.integers(-300, 300, (7, 9)), rng.integers(-300, 300, (60, 9))
-        at, to, s = block_top(np.arange(7), q, np.arange(100, 160), c, 5)
+        block = Block(index_rows(0, 0, np.arange(100, 160), c))
+        assert (block.exact(np.arange(60), np.int64) == c).all() and [w for w, _ in block.segments] == sorted((w for w, _ in block.segments), reverse=True)
+        at, to, s = block_top(np.arange(7), q, block, 5, np.full(7, -np.inf))
         full = q @ c.T
         for i in range(7):
             assert sorted(s[at == i].tolist(), reverse=True) == sorted(full[i].tolist(), reverse=True)[:5]
@@ -53,3 +55,15 @@ def test_odd_rows(spark):
     assert set(got) == {0, 50} and got[0][0] == (1, 65536) and all(v != 0 for v, _ in got[0])
     assert len(got[0]) == 4 and {v for v, _ in got[50]} == {0, 1, 6}
     assert top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_bar_is_carried_from_block_to_block(spark, monkeypatch):
+    from touchline.llm import topk
+
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "LEAST_SHARES", 2)
+    rng = np.random.default_rng(2)
+    base = rng.normal(0, 1, (300, 6))
+    base[40:80] = base[50]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    assert ranked(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)) == brute(rows, 5)
