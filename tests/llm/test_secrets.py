@@ -1,6 +1,11 @@
 import hashlib
+import random
 import re
+import time
 
+from pyspark.sql import functions as F
+
+from touchline.llm import secrets
 from touchline.llm.secrets import redact, report, scan
 
 KINDS = [
@@ -43,3 +48,51 @@ def test_redaction(spark, odd, none):
     clean = redact(odd)
     assert clean.columns == odd.columns and sorted(map(str, clean.collect())) == sorted(map(str, odd.collect()))
     assert redact(none).count() == 0 and scan(odd).count() == 9 and report(none).count() == 0
+
+
+def python(pattern):
+    return re.compile(re.sub(r"\(\(\?i\)([^()]*(?:\([^()]*\)[^()]*)*)\)", r"((?i:\1))", pattern))
+
+
+def linked(text, scope=256):
+    """All spans of a text: the base ones and, pair by pair, the weak parts with complements within the scope."""
+    of = lambda pattern, kind: [(m.start(), kind, m.end()) for m in python(pattern).finditer(text)]
+    assigned = [(m.start(), len(m[2]), m.end()) for m in KINDS[0][1].finditer(text)]
+    strong = [(a, 0, z) for a, n, z in assigned if n >= 12]
+    weak = of(secrets.WEAK_SECRET, 4) + [(a, 4, z) for a, n, z in assigned if 6 <= n < 12]
+    access, user, place = of(secrets.ACCESS, 1), of(secrets.WEAK_ACCESS, 3), of(secrets.ENDPOINT, 5)
+    near = lambda p, others: any(o[0] < p[2] + scope and o[2] > p[0] - scope for o in others)
+    ids, values = access + user, strong + weak
+    out = strong + access + of(secrets.HEX, 2) + [p for p in user if near(p, values)] + [p for p in weak if near(p, ids + place)]
+    out += [p for p in place if near(p, ids) and near(p, values)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(out))
+
+
+def test_linking_equals_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["user=bob", "login: alice99", "AKIAABCDEFGHIJ", "AKIAABCDEFGHIJKLMN", "token=abc1234", "secret=abcdefghijklmnop", "https://a.b/c", "host=db.example", "plain é😀", "x" * 90, "deadbeefdeadbeef", "aAbBcCdDeEfFgGhH0123456789aAbBcCdDeEfFgG"]
+    texts = [" ".join(rng.choices(words, [1, 1, 1, 1, 1, 1, 1, 1, 6, 6, 1, 1], k=rng.randint(1, 60))) for _ in range(150)]
+    texts.append(" ".join(rng.choices(words, k=700)))  # more parts than one chunk holds
+    got = {r.doc_id: r.spans for r in report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: linked(t) for i, t in enumerate(texts)}
+
+
+def test_very_long_text(spark):
+    """20,000 secrets in a text of 2 MB are found and masked in seconds."""
+    text = "filler " * 10 + "user=bob token=abc1234 secret=abcdefghijklmnop " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = report(df).first()
+    assert row.n_assign == 20_000 and row.n_weak == 40_000
+    masked = redact(df).first().text
+    assert masked == "filler " * 10 + "[SECRET] [SECRET] [SECRET] " * 20_000
+    assert time.perf_counter() - began < 60
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "user=bob token=abc1234")], "doc_id long, text string")
+    for c in ("secret_spans", "spans", "assigned", "parts", "PLACE", "a.b"):
+        df = df.withColumn(c, F.lit("own"))
+    out = redact(df)
+    assert out.columns == df.columns and out.first().asDict() == {**df.first().asDict(), "text": "[SECRET] [SECRET]"}
+    assert scan(df, spans_col="found").columns == [*df.columns, "found"]

@@ -63,6 +63,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores added where df has a column of such a name already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def seeded_hash(seed: int, *cols: Column) -> Column:
     """A 64-bit hash of the columns that depends only on their values and the seed."""
     return F.xxhash64(F.lit(seed), *cols)
