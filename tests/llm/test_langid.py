@@ -75,3 +75,11 @@ def test_held_out_accuracy(spark, sf):
     truth = table(spark, sf, "documents").select("doc_id", "lang")
     got = op5_langid(spark, sf).join(truth, "doc_id").where("held_out and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert got >= 0.95
+
+
+def test_copies_are_drawn_apart(spark):
+    """A label of one much copied text is learned, and its copies do not all come in."""
+    docs = spark.createDataFrame([(i, RU, "ru") for i in range(3000)] + [(5000, DE, "de")], "doc_id long, text string, lang string")
+    assert langid.fit(docs, sample=1).languages == ["de", "ru"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id in (7, 5000)").withColumn("a.b", F.lit(1)), langid.fit(docs, sample=1)).collect()}
+    assert got == {7: "ru", 5000: "de"}

@@ -71,3 +71,12 @@ def test_nothing_keeps_the_rest_out(spark, kind):
         least = min(r.reps for r in got)
         rest = got[0].target - sum(r.taken for r in got)
         assert 0 <= rest < min(r.size for r in got if r.reps == least) and rest < 0.01 * got[0].target, (kind, seed, rest)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "w " * (i + 1), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    for c in ("__size", "__source", "__h", "__reps", "__turn", "__again", "__plan_rounds", "c1", "a.b"):
+        df = df.withColumn(c, F.concat(F.lit("own "), F.col("doc_id").cast("string")))
+    out = mixed(df)
+    assert out.columns == df.columns and sorted(set(map(str, out.collect()))) == sorted(str(r) for r in df.collect() if r.doc_id in {x.doc_id for x in out.select("doc_id").collect()})
+    assert mix(df).where("reps > 0").count() == out.select("doc_id").distinct().count()

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from touchline.llm.sharding import shard
@@ -38,3 +39,40 @@ def test_target_bytes_and_odd_rows(spark, odd, none):
     check(rows, shard(odd, shards=4).collect(), 4)
     assert shard(none, shards=4).count() == 0
     assert {r.shard for r in shard(odd, target_bytes=10**9).collect()} == {0}
+
+
+def brute(rows, shards):
+    """The tree cut by cut over sorted lists: {id: shard}, for texts that are all different."""
+    items = []
+    for i, t in rows:
+        raw = t.encode()
+        size = len(raw) + 1
+        items.append((i, size, zlib.crc32(raw), (size, size * 1000 // (len(t) + 1))))
+    width = lambda part, d: max(x[3][d] for x in part) - min(x[3][d] for x in part)
+    whole, out = [width(items, d) for d in (0, 1)], {}
+
+    def cut(part, leaves, first):
+        if leaves == 1 or not part:
+            out.update((x[0], first) for x in part)
+            return
+        d = max((0, 1), key=lambda d: (width(part, d) / max(1, whole[d]), -d))
+        part = sorted(part, key=lambda x: (x[3][d], x[2]))
+        want, below = sum(x[1] for x in part) * (leaves // 2) / leaves, 0
+        for at, x in enumerate(part):
+            if below + x[1] >= want:
+                break
+            below += x[1]
+        at += abs(want - below) > abs(below + part[at][1] - want)
+        cut(part[:at], leaves // 2, first)
+        cut(part[at:], leaves - leaves // 2, first + leaves // 2)
+
+    cut(items, shards, 0)
+    return out
+
+
+def test_cuts_equal_a_tree_over_sorted_lists(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcé漢 ", [5, 5, 5, 1 + i % 9, i % 4, 3], k=rng.randint(20, 400)))) for i in range(300)]
+    for shards in (2, 5, 16):
+        got = {r.doc_id: r.shard for r in shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).collect()}
+        assert got == brute(rows, shards)

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import zlib
 
 import pytest
@@ -68,3 +69,26 @@ def test_salvage(pack):
 def test_salvage_of_rubbish():
     assert list(warc.salvage(io.BytesIO(b""))) == []
     assert [(a, b) for a, b, *_ in warc.salvage(io.BytesIO(b"\x00" * (3 << 20)))] == [(0, 3 << 20)]
+
+
+def test_version_line_at_the_end_of_a_chunk():
+    good = _records(1)[0]
+    for pad in range(warc.CHUNK - 12, warc.CHUNK + 3):
+        rows = list(warc.salvage(io.BytesIO(b"\x00" * pad + good)))
+        assert [(a, b, bool(r)) for a, b, r, _ in rows] == [(0, pad, True), (pad, pad + len(good), False)]
+
+
+def test_long_header_and_wrong_length(monkeypatch):
+    body = b"p" * 10
+    long = warc.record(1, "u" * (2 << 20), body, hashlib.sha256(body).hexdigest(), None)
+    assert [r for *_, r, f in warc.salvage(io.BytesIO(long))] == [None]
+    monkeypatch.setattr(warc, "RECORD_MAX", 4 << 20)
+    bad = re.sub(rb"\r\nContent-Length: ", b"\r\nContent-Length: 99999", _records(1)[0], count=1) + _gzip(b"0" * (64 << 20)) + _records(2)[1]
+    assert [f["page_id"] for *_, r, f in warc.salvage(io.BytesIO(bad)) if r is None] == [1]
+
+
+def test_a_lost_record_is_an_error(spark, monkeypatch):
+    keep = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: keep(*a, **k).where("page_id <> 3 or page_id is null"))
+    with pytest.raises(ValueError, match="not read back whole"):
+        warc.round_trip(spark.createDataFrame(PAGES, SCHEMA))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,16 +14,21 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder all executors share, with its scheme: spark.checkpoint.dir, or one of our own where a local session has none."""
     sc = spark.sparkContext
     # Workers started later find this package by path when the driver found it that way.
     sc.environment.setdefault("PYTHONPATH", _ROOT)
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # file:/x and file:///x are one to Hadoop, but not to other readers.
+    return re.sub(r"^file:/+", "file:///", whole).rstrip("/")
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -45,6 +51,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _forget(spark, path)
 
 
+def stored(df: DataFrame, what: str = "table") -> tuple[DataFrame, str]:
+    """materialise() and the folder, for drop_path() when it has been replaced."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
@@ -52,10 +65,7 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     the planner, so that joins with it are broadcast only below
     spark.sql.autoBroadcastJoinThreshold.
     """
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what)[0]
 
 
 def quoted(name: str) -> Column:
@@ -96,9 +106,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
-    live = materialise(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(a < b).distinct(), "edges"
-    )
+    live, at = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(a < b).distinct(), "edges")
     steps: list[DataFrame] = []
     while not live.isEmpty():
         if len(steps) >= max_rounds:
@@ -113,11 +121,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         steps.append(head)
         left = head.select(F.col("u").alias("a"), F.col("to").alias("ta"))
         right = head.select(F.col("u").alias("b"), F.col("to").alias("tb"))
-        live = materialise(
+        left_edges = at
+        live, at = stored(
             live.join(left, "a").select("ta", "b").join(right, "b").where("ta <> tb")
             .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(),
             "edges",
         )
+        drop_path(spark, left_edges)
     if not steps:
         return spark.createDataFrame([], "node long, component long")
     found = steps[0].select(F.col("u").alias("node"), F.col("to").alias("root"))

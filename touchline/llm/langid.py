@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import seeded_hash, shared_dir, unit
+from .common import quoted, seeded_hash, shared_dir, unit
 
 #: Hashed byte n-grams of 1 to ORDER bytes, in this many buckets; one more, of score 0, stands for none.
 BUCKETS, ORDER = 1 << 15, 4
@@ -34,6 +34,8 @@ _NAMES = sorted({s for _, s in SCRIPTS})
 SCRIPT_SHARE = 0.005
 #: What changing the language between two words costs, and the most that one word says, in nats.
 SWITCH, CLAMP = 10.0, 8.0
+#: What a text without a letter is labelled, and a letter, for Java's expressions.
+UNKNOWN, LETTER = "und", r"\p{L}"
 #: Words whose scores a worker remembers, and text handled together.
 REMEMBERED, GROUP_CHARS = 250_000, 3 << 20
 #: New words scored at a time.
@@ -81,20 +83,23 @@ class Model:
         return np.maximum(total - total.max(1, keepdims=True), -CLAMP).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", seed: int = 5, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows of docs: n-gram counts of a seeded sample of at most about `sample` rows of each language.
 
-    Counts are summed over the cluster; the driver gets at most
-    (BUCKETS + scripts) sums for each language. Null texts and labels teach nothing.
+    The sample is drawn by a hash of id and text, so that copies of a text under other ids
+    are drawn apart; the row of the least hash is always in it, so that every label has one. Counts are summed over the cluster; the driver gets at most
+    (BUCKETS + scripts) sums for each language. Null texts and labels teach nothing. Empty table: a model without languages.
     """
     shared_dir(docs.sparkSession)
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    place = unit(seeded_hash(seed, quoted(id_col), quoted(text_col)))
+    known = docs.where(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(lang_col).alias("lang"), quoted(text_col).alias("text"), place.alias("place"))
+    facts = {r["lang"]: r for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()}
+    sizes = {k: r["n"] for k, r in facts.items()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros((len(_NAMES), 0), bool))
-    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))]), F.col("lang"))
-    drawn = known.where(unit(seeded_hash(seed, F.col("text"))) < share)
+    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(sample / n, facts[k]["least"])))]), F.col("lang"))
+    drawn = known.where(F.col("place") <= share).drop("place")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -212,7 +217,7 @@ class Labeller:
         ends = np.cumsum(lengths[order])
         doc = np.repeat(np.arange(len(order)), lengths[order])
         share = np.bincount(doc * n_lang + path.astype(np.int64), self.weight[index], len(order) * n_lang).reshape(-1, n_lang)
-        out: list = [("und", 0.0, [])] * len(texts)
+        out: list = [(UNKNOWN, 0.0, [])] * len(texts)
         for k, d in enumerate(order):
             letters = share[k].sum()
             if not letters:
@@ -234,36 +239,39 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch: f
     score them, and the cheapest path over the words with a penalty for each
     change labels spans; the language with most letters is the
     document's, its score that share times the probability of the language among all by all words.
-    Null text, text without a letter, or a model without languages: und,
-    score 0, no spans. Nothing is shuffled; only one group of texts is held in memory.
+    Null text, text without a letter (empty ones too), or a model without languages: und,
+    score 0, no spans. Ties go to the language that comes first by name. Repeated rows and null ids: labelled each. Very long texts are labelled whole.
+    Empty table: no rows. All other columns are carried, whatever their names. Nothing is shuffled; only one group of texts is held in memory.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")]
+    # By place, that no name of a column needs to be quoted below.
+    rows, own_text = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)]), f"c{kept.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Labeller(shared.value, switch)
         for b in batches:
-            texts, found = iter(b.column(text_col)), []
+            texts, found = iter(b.column(own_text)), []
             while len(found) < b.num_rows:
                 group, size = [], 0
                 for t in texts:
                     group.append(t.as_py())
                     if (size := size + len(group[-1] or "")) >= GROUP_CHARS * own.room:
                         break
-                found += own.label(group) if own.model.languages else [("und", 0.0, [])] * len(group)
+                found += own.label(group) if own.model.languages else [(UNKNOWN, 0.0, [])] * len(group)
             spans = [[{"lang": a, "first_word": i, "last_word": j} for a, i, j in x[2]] for x in found]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(spans, kind)],
-                names=[*kept, "lang_pred", "score", "lang_spans"],
+                names=[*b.schema.names, "lang_pred", "score", "lang_spans"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    return docs.select(kept).mapInArrow(
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(
         run, f"{schema}, lang_pred string, score double, lang_spans array<struct<lang:string,first_word:bigint,last_word:bigint>>"
-    )
+    ).toDF(*kept, "lang_pred", "score", "lang_spans")
 
 
 def held_out(id_col: Column) -> Column:

@@ -6,7 +6,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialise, seeded_hash, unit
+from .common import materialise, quoted, seeded_hash, unit
 
 #: Words are runs of anything but these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,7 +52,7 @@ def water_fill(sources: DataFrame, share: float = 1.0, max_epochs: float = 3.0)
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
     """A row's own part in the mix: size, source and place in the seeded order, of id and text."""
-    return [word_count(F.col(text_col)).alias("__size"), F.col(source_col).alias("__source"), seeded_hash(seed, F.col(id_col), F.col(text_col)).alias("__h")]
+    return [word_count(quoted(text_col)).alias("__size"), quoted(source_col).alias("__source"), seeded_hash(seed, quoted(id_col), quoted(text_col)).alias("__h")]
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def mix(
     rows by itself. Empty table: no rows. Other
     columns, whatever their names, are not carried.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("__key"), *_rows(docs, id_col, text_col, source_col, seed)), "mix-rows")
+    rows = materialise(docs.select(quoted(id_col).alias("__key"), *_rows(docs, id_col, text_col, source_col, seed)), "mix-rows")
     if not (repeats := _repeats(rows)).isEmpty():
         rows = materialise(_apart(rows, repeats), "mix-rows")
     out = _joined(rows, plan(rows, weights, share, max_epochs), max_epochs)
@@ -198,10 +198,17 @@ def mixed(
     max_epochs: int = 3,
     seed: int = 1,
 ) -> DataFrame:
-    """The rows of docs, all their columns, as often as mix() takes them. The texts are not shuffled, but for those of repeated rows: only the small plan is joined to them."""
-    own = _rows(docs, id_col, text_col, source_col, seed)
-    rows = materialise(docs.select(*own), "mix-rows")
+    """The rows of docs, all their columns, as often as mix() takes them.
+
+    The texts are not shuffled, but for those of repeated rows: only the small plan is joined to them.
+    Null texts, sources and ids, empty and very long texts, ties and repeated rows: as in mix(); rows without words are never
+    taken. Empty table: no rows. All columns are carried, whatever their names.
+    """
+    names = docs.columns
+    bare = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = _rows(bare, *[f"c{names.index(c)}" for c in (id_col, text_col, source_col)], seed)
+    rows = materialise(bare.select(*own), "mix-rows")
     repeats = _repeats(rows)
     plans = plan(_apart(rows, repeats), weights, share, max_epochs)
-    out = _joined(_apart(docs.select("*", *own), repeats), plans, max_epochs).where("__reps > 0")
-    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(docs.columns)
+    out = _joined(_apart(bare.select("*", *own), repeats), plans, max_epochs).where("__reps > 0")
+    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(bare.columns).toDF(*names)

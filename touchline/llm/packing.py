@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, quoted, shared_dir
 
 #: Words whose ids a Python worker remembers; beyond it starts again.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: New words encoded as one text.
+JOINED = 512
 #: Texts encoded together, about this many bytes.
 GROUP_BYTES = 2 << 20
 #: Lengths up to this part of the capacity are kept from exact fills for the gaps that best fit leaves.
@@ -26,8 +28,9 @@ STEPS = 16
 PROBES = ("Two words, and 3.5 more!", "  leading\ttabs\nand lines  ", "don't (stop) here... ÄÖÜ naïve 日本語 x;y?", "UPPER lower MiXed 12,000;")
 
 _encoders: dict[str, "WordEncoder"] = {}
-_TAIL = b".,;:!?"
-_ALNUM = re.compile(rb"[A-Za-z0-9]\Z")
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: An ASCII letter or digit, or a letter of two bytes from Latin-1 Supplement and Latin Extended-A, but for the one whose lower case ends in a mark.
+_ALNUM = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])\Z")
 
 
 class WordEncoder:
@@ -35,7 +38,7 @@ class WordEncoder:
 
     For a tokenizer that drops white space and merges nothing across it (word_bpe_49k),
     a text's ids are its words' ids one after the other. A trailing run of
-    punctuation after an ASCII letter or digit is a word of its own to it. Another tokenizer
+    punctuation after a Latin letter or a digit is a word of its own to it. Another tokenizer
     is refused (ValueError) where PROBES show that this does not hold for it.
     """
 
@@ -76,9 +79,14 @@ class WordEncoder:
                 plain.update(ends[w])
             else:
                 plain.add(w)
-        fresh = [w for w in plain if w not in self.ids]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found))
+        fresh = [w.decode("utf-8", "replace") for w in plain if w not in self.ids]
+        groups = [fresh[lo : lo + JOINED] for lo in range(0, len(fresh), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4").tobytes()
+            sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
+            first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            cuts = [*(4 * np.searchsorted(first, np.cumsum(sizes) - sizes)).tolist(), len(ids)]
+            self.ids.update((w.encode("utf-8"), ids[a:z]) for w, a, z in zip(group, cuts, cuts[1:]))
         for w, (core, tail) in ends.items():
             self.ids[w] = self.ids[core] + self.ids[tail]
 
@@ -104,13 +112,13 @@ class WordEncoder:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, tokenizer: str | None) -> DataFrame:
-    """A row per piece: id, piece, start, length, crc and its rank among the task's pieces of that length."""
+    """A row per piece: id, piece, start, length, crc, its rank among the task's pieces of that length, and the number of its row of docs."""
     shared_dir(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
-        seen = np.zeros(capacity + 1, np.int64)
+        seen, before = np.zeros(capacity + 1, np.int64), part << 40
         for b in batches:
             rows: list[tuple[int, ...]] = []
             for place, ids in enumerate(encoder.encode(b.column("text"))):
@@ -118,18 +126,19 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
                 for k, at in enumerate(range(0, len(ids), capacity * 4)):
                     own = ids[at : at + capacity * 4]
                     n = len(own) // 4
-                    rows.append((place, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+                    rows.append((place, k, at // 4, n, zlib.crc32(own), part, seen[n], before + place))
                     seen[n] += 1
-            of, *numbers = np.array(rows, np.int64).reshape(-1, 7).T
-            kinds = (np.int32, np.int64, np.int64, np.int64, np.int32, np.int64)
+            before += b.num_rows
+            of, *numbers = np.array(rows, np.int64).reshape(-1, 8).T
+            kinds = (np.int32, np.int64, np.int64, np.int64, np.int32, np.int64, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").take(pa.array(of)), *(pa.array(x.astype(t)) for x, t in zip(numbers, kinds))],
-                names=["id", "piece", "start", "length", "crc", "part", "rank"],
+                names=["id", "piece", "start", "length", "crc", "part", "rank", "row"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint, part int, rank bigint")
+    return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint, part int, rank bigint, row bigint")
 
 
 class SumIndex:
@@ -251,7 +260,7 @@ def pack(
     end_id: int = 0,
     tokenizer: str | None = None,
 ) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id and offset.
+    """Per piece: id, piece, start, length, ids_crc32, row, sequence_id and offset.
 
     A document is its text's ids, then end_id; one longer than capacity
     is cut into pieces of capacity, the last maybe shorter. Pieces of equal length
@@ -260,8 +269,9 @@ def pack(
     their rank among those of their length: the rank in their task plus
     the counts of earlier tasks. A hot length is thus never gathered.
 
-    Null and empty text: the single id end_id. Null and repeated ids: rows
-    of their own. Empty table: no rows. Other columns are not carried.
+    row numbers the rows of docs (any numbers), so that a document that is there several times is told from its
+    repetitions. Null and empty text: the single id end_id. Null and repeated ids, repeated rows: rows
+    of their own. Very long texts: cut, never shortened. Ties of length: any order. Empty table: no rows. Other columns, whatever their names, are not carried.
     """
     spark = docs.sparkSession
     cut = materialise(pieces(docs, id_col, text_col, capacity, end_id, tokenizer), "pieces")
@@ -297,9 +307,9 @@ def pack(
         .select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
     )
     ranked = cut.join(ahead, ["part", "length"]).select(
-        F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), (F.col("ahead") + F.col("rank")).alias("rank")
+        F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "row", (F.col("ahead") + F.col("rank")).alias("rank")
     )
-    kind = ranked.schema[id_col].dataType.simpleString()
+    kind = ranked.schema.fields[0].dataType.simpleString()
     return ranked.mapInArrow(
-        place, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+        place, f"`{id_col.replace('`', '``')}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint, sequence_id bigint, offset bigint"
     )

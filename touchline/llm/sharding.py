@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialise, seeded_hash, unit
+from .common import drop_path, materialise, quoted, seeded_hash, stored, unit
 
 #: Bins of one histogram pass; the driver gets at most BINS rows for each open node.
 BINS = 2048
@@ -113,21 +113,21 @@ def shard(
     Only sums go to the driver: min and max of each node and at most BINS
     bins of it. Slots are dealt in buckets of a hash, whose counts alone
     are put in sequence. Null text: size 1 and checksum 0. Null and
-    repeated ids: rows of their own. Fewer rows than shards: some shards
-    stay empty. Empty table: no rows. Other columns are not carried.
+    repeated ids, repeated rows: rows of their own. Very long texts: their own size, in a shard that may be theirs alone. Fewer rows than shards: some shards
+    stay empty. Empty table: no rows. Other columns, whatever their names, are not carried.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + F.lit(1)
     if dimensions is None:
         dimensions = {"size": size, "density": F.floor(size * 1000 / (F.char_length(text) + 1))}
-    h = seeded_hash(seed, F.col(id_col))
+    h = seeded_hash(seed, quoted(id_col))
     rows = docs.select(
-        F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), h.alias("h"),
+        quoted(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), h.alias("h"),
         # A long below 2^31, that a key holds it above the checksum.
         *[F.greatest(F.lit(0), F.least(F.coalesce(c.cast("long"), F.lit(0)), F.lit(2**31 - 1))).alias(f"d{k}") for k, c in enumerate(dimensions.values(), 1)],
     )
     n_dims = len(dimensions)
-    rows = materialise(rows, "shard-rows")
+    rows, kept = stored(rows, "shard-rows")
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, all_bytes = total["n"], total["bytes"] or 0
     leaves = max(1, math.ceil(all_bytes / target_bytes) if target_bytes else shards or 1)
@@ -137,12 +137,14 @@ def shard(
     )
     # In steps of the least heavy group; the heaviest groups come first along d0.
     unit_bytes = max(1, int(HEAVY * all_bytes / leaves))
-    rows = materialise(
+    first = kept
+    rows, kept = stored(
         rows.join(materialise(heavy, "shard-heavy"), ["crc", "size"], "left")
         .withColumn("d0", F.lit(2**30) - F.least(F.expr(f"coalesce(g, 0) div {unit_bytes}"), F.lit(2**30))).drop("g")
         .withColumn("u", unit(seeded_hash(seed + 1, F.col("id")))).withColumn("node", F.lit(0)),
         "shard-rows",
     )
+    drop_path(rows.sparkSession, first)
     nodes = [Node(leaves, 0)]
     spread: dict[int, int] = {}
     while n and any(x.leaves > 1 for x in nodes):
@@ -177,7 +179,8 @@ def shard(
         at, each = _node_key([dims.get(i, 0) for i in range(len(nodes))], n_dims), range(len(nodes))
         edge, part = _pick([cut[i][0] if i in cut else 2**63 - 1 for i in each], "bigint"), _pick([cut[i][1] if i in cut else 0.0 for i in each], "double")
         right = ~((at < edge) | ((at == edge) & (F.col("u") < part)))
-        rows = materialise(rows.withColumn("node", _pick(base, "int") + right.cast("int")), "shard-rows")
+        level, (rows, kept) = kept, stored(rows.withColumn("node", _pick(base, "int") + right.cast("int")), "shard-rows")
+        drop_path(rows.sparkSession, level)
         nodes = grown
     placed = rows.select("id", "size", "crc", "h", _pick([x.first for x in nodes], "int").alias("shard"))
     # Buckets of about this many rows; both they and their number grow with the root of the table.
