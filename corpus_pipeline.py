@@ -11,30 +11,50 @@ from touchline.llm.packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language, with lang as predicted; those without a letter (und) go."""
+    """Documents with a letter, with lang as predicted; the others (null and empty texts too) go.
+
+    Where no row has a label to learn from, lang stays as it is. Null ids, ties and repeated rows: each by its own text.
+    Empty table: no rows. All columns are carried, whatever their names.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, model).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    names = docs.columns
+    own = {n: f"c{i}" for i, n in enumerate(names)}
+    found = langid.identify(docs.toDF(*own.values()), model, text_col=own["text"])
+    known = F.col("lang_pred") != langid.UNKNOWN
+    kept = found.where(known | F.coalesce(F.col(own["text"]).rlike(langid.LETTER), F.lit(False)))
+    return kept.withColumn(own["lang"], F.when(known, F.col("lang_pred")).otherwise(F.col(own["lang"]))).select(*own.values()).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component: the rows of its least id, so repeated rows of that id stay; rows of null id stay too.
+
+    Null and empty texts are copies of each other. Empty table: no rows. All columns are carried, whatever their names.
+    """
     return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, secrets masked; n_chars follows the text."""
+    """Every document, secrets masked; n_chars follows the text, and stays for a null one.
+
+    Empty texts, ties and repeated rows stay. Empty table: no rows. All columns are carried, whatever their names.
+    """
     masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars"))).select(docs.columns)
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight takes them."""
+    """Documents as often as their source's target weight takes them; those without words never.
+
+    Null source: a source of its own. Null ids and repeated rows: each decided by itself. Empty table: no rows. All columns are carried, whatever their names.
+    """
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; row tells repetitions of a document apart.
+
+    Null and empty texts: one end token. Null ids and repeated rows: packed each. Empty table: no rows. Other columns are not carried.
+    """
     return pack(docs)
 
 
