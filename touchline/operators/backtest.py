@@ -34,14 +34,28 @@ def errors(rows: DataFrame, predicted: str, actual: str = "actual", keys: list[s
 def season_mean_baseline(actuals: DataFrame, targets: DataFrame, key: str = "element") -> DataFrame:
     """(season, gw, key, baseline): the mean of the season's earlier gameweeks, else that of the season before.
 
-    targets: season, gw. key should be one that lasts over seasons, as ids do not.
+    targets: season, gw. key should be one that lasts over seasons, as ids do not. A player's gameweeks of a
+    season, no more than the game has, are gathered once and each target sums those before it; no rows are paired.
     """
     seasons = actuals.select("season").distinct().withColumn("n", F.dense_rank().over(W.orderBy("season")))
-    whole = actuals.join(seasons, "season").groupBy((F.col("n") + 1).alias("n"), key).agg(F.avg("actual").alias("last"))
+    by_week = actuals.groupBy("season", key, "gw").agg(F.sum(F.col("actual").cast("double")).alias("s"), F.count("actual").alias("c"))
+    played = by_week.groupBy("season", key).agg(F.collect_list(F.struct("gw", "s", "c")).alias("weeks"), F.sum("s").alias("__s"), F.sum("c").alias("__c"))
+    whole = played.join(seasons, "season").select((F.col("n") + 1).alias("n"), key, F.try_divide("__s", "__c").alias("last"))
     now = targets.join(seasons, "season")
-    early = now.join(actuals.select("season", F.col("gw").alias("past"), key, "actual"), "season").where("past < gw").groupBy("season", "gw", "n", key).agg(F.avg("actual").alias("mean"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"))
+    before = F.aggregate(F.filter("weeks", lambda x: x["gw"] < F.col("gw")), zero, lambda acc, x: F.struct((acc["s"] + F.coalesce(x["s"], F.lit(0.0))).alias("s"), (acc["c"] + x["c"]).alias("c")))
+    early = (
+        played.select("season", key, "weeks").join(now, "season").where(F.exists("weeks", lambda x: x["gw"] < F.col("gw")))
+        .withColumn("__b", before).select("season", "gw", key, F.try_divide("__b.s", "__b.c").alias("baseline"))
+    )
     first = now.join(early.select("season", "gw").distinct(), ["season", "gw"], "left_anti").join(whole, "n").select("season", "gw", key, F.col("last").alias("baseline"))
-    return early.select("season", "gw", key, F.col("mean").alias("baseline")).unionByName(first)
+    return early.unionByName(first)
+
+
+def recent_gameweeks(rows: DataFrame, window: int) -> DataFrame:
+    """rows of the last `window` gameweeks (gw) that have any."""
+    last = rows.where("gw is not null").select("gw").distinct().orderBy(F.desc("gw")).limit(window)
+    return rows.join(last, "gw", "left_semi")
 
 
 def compare(predictions: DataFrame, actuals: DataFrame, baseline: DataFrame, key: str = "element", relevant: float = 0.0) -> DataFrame:

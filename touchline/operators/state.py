@@ -40,11 +40,22 @@ def purchase_prices(holdings: DataFrame, transfers: DataFrame, prices: DataFrame
     return holdings.join(latest, ["entry", "element"], "left").join(start, "element", "left").select("entry", "element", "now_cost", F.coalesce("paid", "started").alias("bought"))
 
 
-def latest_before(events: DataFrame, at: DataFrame, keys: list[str], time: str, as_of: str, value: str) -> DataFrame:
-    """As-of join: for each row of at(keys, as_of), the value of the latest event up to it, null without one."""
-    joined = at.join(events.select(*keys, F.col(time).alias("__t"), F.col(value).alias("__v")), keys, "left").where(F.col("__t").isNull() | (F.col("__t") <= F.col(as_of)))
-    found = joined.groupBy(*keys, as_of).agg(F.max_by("__v", F.struct("__t", "__v")).alias(value))
-    return at.join(found, [*keys, as_of], "left")
+def latest_before(events: DataFrame, at: DataFrame, keys: list[str], time: str, as_of: str, value: str, *, bucket: str = "month") -> DataFrame:
+    """As-of join: for each row of at(keys, as_of), the value of the latest event up to it, null without one.
+
+    Events and questions are put in one order of time and the last value is carried on, within
+    buckets of time; what a bucket begins with is the last of the buckets before. A key that
+    holds a third of all events is thus dealt to as many tasks as it has buckets, and no pair of event and question is formed.
+    """
+    known = events.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("__t"), F.struct(F.col(value).alias("v")).alias("__v"), F.lit(0).alias("__asks"))
+    asked = at.select(*keys, F.col(as_of).alias("__t"), F.lit(None).cast(known.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__asks"))
+    rows = known.unionByName(asked).withColumn("__b", F.date_trunc(bucket, "__t"))
+    whole = rows.groupBy(*keys, "__b").agg(F.max_by("__v", F.when(F.col("__asks") == 0, F.struct("__t", "__v"))).alias("__last"))
+    earlier = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = whole.select(*keys, "__b", F.last("__last", True).over(earlier).alias("__before"))
+    inside = W.partitionBy(*keys, "__b").orderBy("__t", "__asks", "__v").rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("__own", F.last("__v", True).over(inside)).where("__asks = 1").join(carried, [*keys, "__b"], "left")
+    return found.select(*keys, F.col("__t").alias(as_of), F.coalesce("__own", "__before")["v"].alias(value))
 
 
 def chip_name(name: Column) -> Column:
@@ -96,10 +107,43 @@ def rank_utility(projections: DataFrame, ownership: DataFrame, lam: float, out:
     return joined.withColumn(out, F.col("ep") + lam * (1.0 - eo) * F.col("sd")).drop("__eo")
 
 
-def plan_points(plan: DataFrame, projections: DataFrame) -> DataFrame:
-    """One row (ep): starters and captain again, less hits, of plan(gw, player_id, starts, captain) with hits(gw, hits)."""
+def plan_points(plan: DataFrame, projections: DataFrame, hits: DataFrame | None = None, cost: float = 4.0) -> DataFrame:
+    """One row (ep): starters and captain again of plan(gw, player_id, starts, captain), less cost for each of hits(gw, hits)."""
     rows = plan.join(projections.select("gw", "player_id", "ep"), ["gw", "player_id"], "left")
-    return rows.agg(F.sum((F.col("starts").cast("int") + F.col("captain").cast("int")) * F.coalesce("ep", F.lit(0.0))).alias("ep"))
+    gained = rows.agg(F.coalesce(F.sum((F.col("starts").cast("int") + F.col("captain").cast("int")) * F.coalesce("ep", F.lit(0.0))), F.lit(0.0)).alias("ep"))
+    if hits is None:
+        return gained
+    taken = hits.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("__hits"))
+    return gained.crossJoin(F.broadcast(taken)).select((F.col("ep") - cost * F.col("__hits")).alias("ep"))
+
+
+def manager_state(bootstrap: DataFrame, history: DataFrame, picks: DataFrame, transfers: DataFrame) -> DataFrame:
+    """One row per manager (entry, as_of_gw, bank, free, chips, squad) from landed documents.
+
+    bootstrap: elements; history: entry, current, chips; picks: entry, gw, picks; transfers: entry,
+    element_in, element_in_cost, time. The squad is that of the last gameweek played, each player
+    with position, team, price paid (the latest transfer in, else the season's first price), price now and armband;
+    free is replayed from the transfers made. ValueError for a manager without a gameweek.
+    """
+    if not history.where("current is null or size(current) = 0").isEmpty():
+        raise ValueError("a manager has no gameweek yet")
+    weeks = history.select("entry", F.explode("current").alias("c"))
+    chips = history.select("entry", F.explode("chips").alias("c")).select("entry", F.col("c.event").alias("gw"), chip_name(F.col("c.name")).alias("chip"))
+    made = weeks.select("entry", F.col("c.event").alias("gw"), F.col("c.event_transfers").alias("made")).join(chips, ["entry", "gw"], "left")
+    last = weeks.groupBy("entry").agg(F.max("c.event").alias("as_of_gw"), F.max_by("c.bank", "c.event").alias("bank"))
+    own = picks.join(last, (picks["entry"] == last["entry"]) & (F.col("gw") == F.col("as_of_gw"))).select(picks["entry"], F.explode("picks").alias("p"))
+    held = own.select("entry", "p.element", F.col("p.position").alias("slot"), "p.multiplier", "p.is_captain", "p.is_vice_captain")
+    elements = bootstrap.select(F.explode("elements").alias("e")).select("e.*")
+    paid = purchase_prices(held, transfers, elements.withColumnRenamed("id", "element"))
+    facts = elements.select(F.col("id").alias("element"), F.col("element_type").alias("position"), "team")
+    player = F.struct("slot", "element", "position", "team", "bought", "now_cost", selling_price(F.col("bought"), F.col("now_cost")).alias("selling"), "multiplier", "is_captain", "is_vice_captain")
+    squads = held.join(paid, ["entry", "element"]).join(facts, "element").groupBy("entry").agg(F.array_sort(F.collect_list(player)).alias("squad"))
+    used = chips.groupBy("entry").agg(F.array_sort(F.collect_list("chip")).alias("played"))
+    left = F.array(*[F.struct(F.lit(c).alias("chip"), F.greatest(F.lit(0), F.lit(2) - F.size(F.filter("played", lambda x, c=c: x == c))).alias("left")) for c in ("wildcard", "freehit", "bboost", "3xc")])
+    return (
+        last.join(free_transfers(made), "entry").join(squads, "entry").join(used, "entry", "left").withColumn("played", F.coalesce("played", F.array().cast("array<string>")))
+        .select("entry", "as_of_gw", "bank", "free", left.alias("chips"), "squad")
+    )
 
 
 # ---------------------------------------------------------------- candidates

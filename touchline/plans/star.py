@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +45,70 @@ VIEWS = {
 }
 
 
+#: Views that several operators of a query read, or several queries: they are derived once and stored.
+STORED = ("line", "standings", "picks", "live", "manager_gw", "auto_subs", "history")
+_tables: dict[tuple, str] = {}
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _base_tables(name: str) -> list[str]:
+    return [name] if name in TABLES else sorted({t for n in _needs(VIEWS[name]) for t in _base_tables(n)})
+
+
+def _stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Path, size and time of every file that the view is derived from: a changed table gets new views."""
+    out = []
+    for t in _base_tables(name):
+        fs, p = _hadoop(spark, f"{sf_dir}/{t}.parquet")
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
+    return tuple(sorted(out))
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
+    except Exception:  # the JVM may be gone when the interpreter exits
+        pass
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder that all executors share, under spark.checkpoint.dir where that is set; deleted when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir, name))
+    if key not in _tables:
+        path = scratch(spark, f"star-{name}")
+        derived(spark, sf_dir, name).write.parquet(path)
+        _tables[key] = path
+    return spark.read.parquet(_tables[key])
+
+
 def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or view by name."""
+    """A table or view by name; one of STORED is derived when it is first asked for, and read from then on."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _stored(spark, sf_dir, name) if name in STORED else derived(spark, sf_dir, name)
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
 
