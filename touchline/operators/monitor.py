@@ -45,6 +45,11 @@ def latest_snapshot(history: DataFrame) -> DataFrame:
     return history.join(F.broadcast(history.agg(F.max("ts").alias("ts"))), "ts", "left_semi")
 
 
+def distinct_snapshots(history: DataFrame) -> DataFrame:
+    """One row (snapshots, rows)."""
+    return history.agg(F.count_distinct("ts").alias("snapshots"), F.count("*").alias("rows"))
+
+
 def movers(frame: DataFrame, threshold: float = 75.0) -> DataFrame:
     """Players near a price change with its direction, the nearest first; locked and calibrating prices are left out."""
     near = (F.abs("proj_pct_today") >= threshold) & ~F.col("calibrating") & F.col("locked_until").isNull()

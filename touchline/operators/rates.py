@@ -108,18 +108,26 @@ def assisted_fraction(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.greatest(F.lit(0.3), F.least(F.lit(0.95), share)), F.lit(0.65)).alias("fraction"))
 
 
-def name_match(left: DataFrame, right: DataFrame, *, id_col: str = "id", row_col: str = "row_id") -> DataFrame:
+def one_club(provider: DataFrame, team: str = "team_title") -> DataFrame:
+    """Rows of a provider whose club is one club: a player who moved has a list of them, and is matched by neither."""
+    return provider.where(F.coalesce(~F.col(team).contains(","), F.lit(True)))
+
+
+def name_match(left: DataFrame, right: DataFrame, *, id_col: str = "id", row_col: str = "row_id", by_name: bool = True) -> DataFrame:
     """(id, row_id): left rows (id, name_key, team_key) matched with right rows (row_id, name_key, team_key).
 
-    By name and team; of what is left, by a name that is unique among
-    it and on the right. One row per id, team matches first, then the smallest row_id.
+    By name and team; of what is left, unless by_name is false, by a name that is unique among
+    it and on the right. One row per id, team matches first, then the smallest row_id. Rows of
+    several clubs should be left out first: one_club().
     """
     both = left.join(right.select(row_col, "name_key", "team_key"), ["name_key", "team_key"]).select(id_col, row_col, F.lit(0).alias("pass"))
+    first = F.row_number().over(W.partitionBy(id_col).orderBy("pass", row_col))
+    if not by_name:
+        return both.withColumn("__r", first).where("__r = 1").select(id_col, row_col)
     rest = left.join(both.select(id_col).distinct(), id_col, "left_anti")
     once = lambda df: df.groupBy("name_key").agg(F.count("*").alias("n")).where("n = 1").select("name_key")
     names = once(rest).join(once(right), "name_key")
     extra = rest.join(names, "name_key").join(right.select(row_col, "name_key"), "name_key").select(id_col, row_col, F.lit(1).alias("pass"))
-    first = F.row_number().over(W.partitionBy(id_col).orderBy("pass", row_col))
     return both.unionByName(extra).withColumn("__r", first).where("__r = 1").select(id_col, row_col)
 
 

@@ -96,6 +96,12 @@ def plain_objective(projections: DataFrame, out: str = "objective_score") -> Dat
     return projections.withColumn(out, F.col("ep"))
 
 
+def best(projections: DataFrame, n: int, by: str, keys: list[str]) -> DataFrame:
+    """The n rows of each key with the greatest value of a column, ties to the smaller player_id."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(by), "player_id"))
+    return projections.withColumn("__r", place).where(F.col("__r") <= n).drop("__r")
+
+
 def rank_utility(projections: DataFrame, ownership: DataFrame, lam: float, out: str = "objective_score") -> DataFrame:
     """projections plus ep + lam (1 - EO) sd; ownership(player_id, eo), absent 0, held in [0, 1]."""
     if lam < 0:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names
-from ..operators import minutes, optimise, rates, simulate, state, strength
+from ..operators import optimise, rates, simulate, state, strength
 from ..sources import pages
 from ..streaming import windows
 from .registry import Star, _matches, query
@@ -143,15 +143,3 @@ def multiweek_plan(s: Star) -> DataFrame:
 def chip_search(s: Star) -> DataFrame:
     frame = _projections(s)
     return optimise.search_chips(s.spark, frame, _start(frame), ["3xc", "bboost"], beam=3, width=4)
-
-
-@query()
-def estimated_minutes(s: Star) -> DataFrame:
-    elements = s.part.select(
-        F.col("p_partkey").alias("id"), F.col("p_name").alias("full_name"), (F.col("p_partkey") % 4 + 1).alias("element_type"), F.col("p_brand").alias("team"), (40 + F.col("p_partkey") % 90).alias("now_cost"),
-        F.lit("a").alias("status"), F.lit(None).cast("int").alias("chance_of_playing_next_round"),
-    )
-    priors = minutes.position_priors(s.history, 6, minutes.fallback_priors(s.spark))
-    return minutes.estimate_minutes(elements, s.history.where("season = 2001 and gw <= 2"), 2, priors)
-
-

@@ -174,7 +174,7 @@ PROFILE = f"""o AS (SELECT element, count(*) AS owners FROM {{picks}} WHERE gw =
 
 @query(f"""WITH {PROFILE} SELECT entry, round(template_score, 4) AS template_score, round(template_z, 4) AS template_z,
     CASE WHEN template_z >= 0.75 THEN 'template' WHEN template_z <= -0.75 THEN 'differential' ELSE 'balanced' END AS style FROM z""")
-def profiles(s: Star) -> DataFrame:
+def template_scores(s: Star) -> DataFrame:
     return league.template_scores(s.standings, s.picks, GW).withColumns(r4("template_score", "template_z"))
 
 
@@ -221,11 +221,15 @@ def bps_score(s: Star) -> DataFrame:
     return rows.withColumn("b", scoring.bps(scoring.stat_columns(rows), F.col("position"))).groupBy("fixture").agg(F.sum("b").alias("bps"))
 
 
-@query(f"""WITH {LINES}, mine AS (SELECT fixture, identifier, sum(points) AS p FROM l WHERE points <> 0 GROUP BY 1, 2), theirs AS (SELECT fixture, 'minutes' AS identifier, sum(CASE WHEN minutes > 0 THEN 2 ELSE 0 END) AS p FROM {{stats}} GROUP BY 1),
-    b AS (SELECT coalesce(m.fixture, t.fixture) AS fixture, coalesce(m.p, 0) AS mine, coalesce(t.p, 0) AS theirs FROM mine AS m FULL JOIN theirs AS t ON m.fixture = t.fixture AND m.identifier = t.identifier)
+PUBLISHED = f"""{LINES}, published AS (SELECT fixture, identifier, points, CASE WHEN fixture % 11 = 0 AND identifier = 'minutes' THEN 1 ELSE 0 END AS points_modification FROM l WHERE points <> 0)"""
+
+
+@query(f"""WITH {PUBLISHED}, b AS (SELECT fixture, identifier, sum(points) AS mine, sum(points + points_modification) AS theirs FROM published GROUP BY 1, 2)
     SELECT fixture, CAST(sum(mine) AS BIGINT) AS engine, CAST(sum(theirs) AS BIGINT) AS published, bool_and(mine = theirs) AS agrees FROM b GROUP BY fixture""")
 def points_reconcile(s: Star) -> DataFrame:
-    published = s.stats.groupBy("fixture").agg(F.sum(F.when(F.col("minutes") > 0, 2).otherwise(0)).alias("points")).select("fixture", F.lit("minutes").alias("identifier"), "points", F.lit(0).alias("points_modification"))
+    """Against lines that the rules' plain SQL publishes, one point modified for each playing row of every eleventh fixture."""
+    text = f"WITH {PUBLISHED} SELECT * FROM published".replace("//", "div")
+    published = s.spark.sql(text, stats=s.stats)
     return reconcile.reconcile_points(s.stats, published, ["fixture"])
 
 
@@ -412,16 +416,12 @@ def dominance_pool(s: Star) -> DataFrame:
     return state.candidate_pool(s.projections, 20, weeks=[1, 2, 3, 4]).select("player_id", "position", "price", F.round("total", 4).alias("total"))
 
 
-@query("""WITH w AS (SELECT entry, made, chip, row_number() OVER (PARTITION BY entry ORDER BY gw) AS r FROM {weeks}), f AS (SELECT entry, r, 1 AS free FROM w WHERE r = 1 UNION ALL
+@query("""WITH RECURSIVE w AS (SELECT entry, made, chip, row_number() OVER (PARTITION BY entry ORDER BY gw) AS r FROM {weeks}), f AS (SELECT entry, r, 1 AS free FROM w WHERE r = 1 UNION ALL
     SELECT w.entry, w.r, CASE WHEN w.chip = 'wildcard' THEN f.free ELSE least(5, f.free - least(w.made, f.free) + 1) END FROM f JOIN w ON w.entry = f.entry AND w.r = f.r + 1) SELECT entry, CAST(max_by(free, r) AS INT) AS free FROM f GROUP BY entry""")
 def free_transfer_bank(s: Star) -> DataFrame:
     return state.free_transfers(s.weeks)
 
 
-# DuckDB wants the word once, before all of the list.
-ORACLES["free_transfer_bank"] = ORACLES["free_transfer_bank"].replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query("""SELECT p_partkey AS element, CASE WHEN n <= b THEN n ELSE b + (n - b) // 2 END AS price FROM (SELECT p_partkey, CAST(p_size AS INT) + 40 AS n, CAST(p_partkey % 50 AS INT) + 40 AS b FROM part) AS x""")
 def selling_price(s: Star) -> DataFrame:
     now, bought = F.col("p_size").cast("int") + 40, (F.col("p_partkey") % 50).cast("int") + 40
@@ -449,10 +449,9 @@ def risk_scan(s: Star) -> DataFrame:
     return monitor.scan_risks(elements, 3).groupBy("kind", "severity").agg(F.count("*").alias("players"))
 
 
-@query("SELECT user_id AS player_id, max_by(now_cost, ts) AS now_cost FROM (SELECT player_id AS user_id, ts, now_cost FROM {prices} WHERE ts <= TIMESTAMP '2024-01-15') AS x GROUP BY 1")
+@query("SELECT player_id, max_by(now_cost, struct_pack(t := ts, e := event_id)) AS now_cost FROM {prices} GROUP BY 1")
 def latest_price(s: Star) -> DataFrame:
-    prices = s.prices.where("ts <= timestamp '2024-01-15'")
-    return prices.groupBy("player_id").agg(F.max_by("now_cost", "ts").alias("now_cost"))
+    return monitor.deduplicate(s.prices, ["player_id"], [F.col("ts"), F.col("event_id")]).select("player_id", "now_cost")
 
 
 @query("SELECT day, player_id, event_id, now_cost FROM (SELECT *, row_number() OVER (PARTITION BY day, player_id ORDER BY ts DESC, event_id DESC) AS r FROM {prices}) AS x WHERE r = 1")
@@ -466,4 +465,4 @@ def movers(s: Star) -> DataFrame:
     return monitor.movers(frame, 40.0).select("event_id", "player_id", F.round("proj_pct_today", 4).alias("pct"), "direction")
 
 
-from . import more_queries as _more  # noqa: E402,F401  registers the rest
+from . import more_queries as _more, source_queries as _sources, squad_queries as _squads  # noqa: E402,F401  register the rest

@@ -126,8 +126,8 @@ def oracle(query: str) -> str:
     visit(query)
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
     ctes = [f"{n} AS ({plain(VIEWS[n])})" for n in order]
-    body = plain(query)
-    if body.lstrip().upper().startswith("WITH "):
-        ctes.append(body.lstrip()[5:])
-        return "WITH " + ", ".join(ctes)
+    body = plain(query).lstrip()
+    head = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    if body.startswith(head):
+        return head + ", ".join([*ctes, body.removeprefix(head)])
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body

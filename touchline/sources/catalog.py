@@ -29,7 +29,11 @@ class Catalog:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame, name: str) -> str:
-        """Write under a name of its own, then rename, so that a reader sees the old table or the new one."""
+        """Write under a name of its own, then rename.
+
+        A failed write leaves the old table. Between the two renames there is
+        none for a moment; the old one can then be found beside it as NAME.parquet.old-TIME.
+        """
         path = self.path_for(name)
         fresh, old = f"{path}.new-{time.time_ns()}", f"{path}.old-{time.time_ns()}"
         storable(df).write.parquet(fresh)
@@ -82,6 +86,13 @@ class Catalog:
         return min(own, key=self.age_days, default=None)
 
 
+def key_range(df: DataFrame, column: str) -> DataFrame:
+    """One row (rows, first, last) as text: the span of days of a time column, or of a column's values; null where it has none."""
+    kind = dict(df.dtypes)[column]
+    c = F.date_format(column, "yyyy-MM-dd") if kind.startswith(("timestamp", "date")) else F.col(column)
+    return df.agg(F.count("*").alias("rows"), F.min(c).cast("string").alias("first"), F.max(c).cast("string").alias("last"))
+
+
 def storable(df: DataFrame) -> DataFrame:
     """df with columns that have no Parquet type as text."""
     return df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, NullType) else F.col(f"`{f.name}`") for f in df.schema])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.rules import POSITIONS
 
@@ -126,6 +126,31 @@ def shots_frame(payload: DataFrame, match_id: str | None = None) -> DataFrame:
     )
 
 
+def player_matches(payload: DataFrame) -> DataFrame:
+    """A row per match of documents (player_id, matches), numbers and dates that come as text coerced."""
+    rows = payload.select("player_id", F.explode("matches").alias("m")).select("player_id", "m.*")
+    numbers = ("goals", "shots", "xG", "time", "h_goals", "a_goals", "xA", "assists", "key_passes", "npg", "npxG", "xGChain", "xGBuildup")
+    out = rows.withColumns({c: F.col(c).try_cast("double") for c in numbers if c in rows.columns})
+    return out.withColumn("date", F.col("date").try_cast("timestamp_ntz")) if "date" in rows.columns else out
+
+
+def player_shots(payload: DataFrame, match_id: str | None = None) -> DataFrame:
+    """shots_frame() of documents (shots), which are not parted by side."""
+    none = F.array().cast(payload.schema["shots"].dataType)
+    return shots_frame(payload.select(F.coalesce("shots", none).alias("h"), none.alias("a")), match_id)
+
+
+def team_matches(payload: DataFrame, team: str, season: str) -> DataFrame:
+    """A row per match of a club's documents (dates), with its side and result."""
+    m = payload.select(F.explode("dates").alias("m"))
+    number = lambda c: F.col(c).try_cast("double")
+    return m.select(
+        F.lit(team).alias("team"), F.lit(season).alias("season"), F.col("m.id").alias("match_id"), F.coalesce("m.isResult", F.lit(False)).alias("is_result"), "m.side", "m.result",
+        F.col("m.datetime").try_cast("timestamp_ntz").alias("datetime"), F.col("m.h.title").alias("h_team"), F.col("m.a.title").alias("a_team"),
+        number("m.goals.h").alias("h_goals"), number("m.goals.a").alias("a_goals"), number("m.xG.h").alias("h_xg"), number("m.xG.a").alias("a_xg"),
+    )
+
+
 # ---------------------------------------------------------------- events and league tables
 
 
@@ -172,7 +197,3 @@ def league_tables(picks: DataFrame, histories: DataFrame, standings: DataFrame)
         "chips": histories.select("entry", F.explode("chips").alias("c")).select("entry", "c.name", F.col("c.event").alias("gw")),
         "standings": standings.select(F.explode("standings.results").alias("r")).select("r.*").dropDuplicates(["entry"]),
     }
-
-
-def present(df: DataFrame, name: str, otherwise: Column) -> Column:
-    return F.col(name) if name in df.columns else otherwise
