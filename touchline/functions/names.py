@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -23,7 +22,6 @@ CLUB_ALIASES = {
     "luton town": "Luton", "arsenal": "Arsenal", "aston villa": "Aston Villa", "bournemouth": "Bournemouth", "afc bournemouth": "Bournemouth",
     "brentford": "Brentford", "chelsea": "Chelsea", "crystal palace": "Crystal Palace", "everton": "Everton", "fulham": "Fulham", "liverpool": "Liverpool",
 }
-_PUNCTUATION = re.compile("[^a-z0-9 ]+")
 
 
 def club(name: Column) -> Column:
@@ -33,22 +31,29 @@ def club(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.regexp_replace(F.lower(trimmed), r"\s+", " ")), trimmed)
 
 
-def player_key_of(name: str | None) -> str:
-    """Decomposed, what is not ASCII dropped, lower case, punctuation to blanks, blanks collapsed."""
-    plain = unicodedata.normalize("NFKD", name or "").encode("ascii", "ignore").decode().lower()
-    return " ".join(_PUNCTUATION.sub(" ", plain).split())
+def _folder() -> Callable[[str | None], str]:
+    """The fold of a name. Made in a function, it is sent to workers by value, and they need not import this package."""
+
+    def fold(name: str | None) -> str:
+        import re
+        import unicodedata
+
+        plain = unicodedata.normalize("NFKD", name or "").encode("ascii", "ignore").decode().lower()
+        return " ".join(re.sub("[^a-z0-9 ]+", " ", plain).split())
+
+    return fold
+
+
+#: Decomposed, what is not ASCII dropped, lower case, punctuation to blanks, blanks collapsed.
+player_key_of = _folder()
 
 
 def player_key(name: Column) -> Column:
     """Join key of a player's name. ASCII names stay in the JVM; only others go through Python."""
+    one = player_key_of
 
     def fold(names: pd.Series) -> pd.Series:
-        # As player_key_of(), self-contained, so that a worker need not import this package.
-        import re
-        import unicodedata
-
-        ascii_only = names.fillna("").map(lambda n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower())
-        return ascii_only.map(lambda n: " ".join(re.sub("[^a-z0-9 ]+", " ", n).split()))
+        return names.map(lambda n: one(n or ""))
 
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "))
     return F.when(F.coalesce(name, F.lit("")).rlike(r"^\p{ASCII}*$"), plain).otherwise(F.pandas_udf(fold, "string")(name))

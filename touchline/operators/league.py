@@ -183,9 +183,10 @@ def transfer_targets(standings: DataFrame, picks: DataFrame, user: int, gw: int,
 
 
 def gap_targets(standings: DataFrame, user: int, remaining: int) -> DataFrame:
-    """(label, place, total, gap, per_gw) from the user to the 1st, 5th and 10th, the median, the mean and one place up."""
+    """(label, place, total, gap, per_gw) from the user to the 1st, 5th and 10th, the median, the mean and one place up; gaps are null for a user who is not there."""
     n = standings.agg(F.count("*").alias("n"))
-    mine = standings.where(F.col("entry") == user).select(F.col("total").alias("mine"), F.col("rank").alias("my_rank"))
+    # An aggregate, that a user who is absent leaves gaps empty rather than everything.
+    mine = standings.where(F.col("entry") == user).agg(F.max("total").alias("mine"), F.max("rank").alias("my_rank"))
     base = with_scalars(n, mine)
     rungs = base.select("n", "mine", F.explode(F.array(
         *[F.struct(F.lit(label).alias("label"), F.lit(r).alias("place")) for r, label in ((1, "1st"), (5, "top-5"), (10, "top-10"))],
@@ -248,7 +249,7 @@ def win_context(standings: DataFrame, manager_gw: DataFrame, user: int, remainin
 def catchup_plan(standings: DataFrame, user: int, played: int, remaining: int = 36) -> DataFrame:
     """One row: points a gameweek of the user, league and leader, and those needed on top of the leader's."""
     facts = standings.agg(F.avg("total").alias("avg"), F.max("total").alias("lead"))
-    mine = standings.where(F.col("entry") == user).select(F.col("total").alias("mine"))
+    mine = standings.where(F.col("entry") == user).agg(F.max("total").alias("mine"))
     both = with_scalars(facts, mine)
     return both.select(
         (F.col("mine") / played).alias("user_ppg"), (F.col("avg") / played).alias("league_ppg"), (F.col("lead") / played).alias("leader_ppg"),
@@ -301,7 +302,7 @@ def profiles(standings: DataFrame, picks: DataFrame, manager_gw: DataFrame, tran
     )
     moves = transfers.groupBy("entry").agg(F.count("*").alias("n_transfers"))
     left = chips_left(standings, chips).groupBy("entry").agg(F.sort_array(F.collect_list(F.when(F.col("left") > 0, F.col("chip")))).alias("chips_left"))
-    total = standings.where(F.col("entry") == user).select(F.col("total").alias("__mine"))
+    total = standings.where(F.col("entry") == user).agg(F.max("total").alias("__mine"))
     out = standings
     for part in (squad, form, moves, left, template_scores(standings, picks, gw), weights.withColumnRenamed("weight", "threat_weight")):
         out = out.join(part, "entry", "left")

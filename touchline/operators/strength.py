@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .matches import effective_sample_sizes, find_promotions, promoted_prior, sides
+from .matches import decay_weight, effective_sample_sizes, find_promotions, promoted_prior, sides
 
 MAX_LOG_RATE, TAU_FLOOR, RHO_BOUNDS = 4.0, 1e-8, (-0.2, 0.2)
 CANDIDATES = (45, 90, 150, 250, 400, 600, 900, 1400, 3650)
@@ -186,9 +186,9 @@ def fit_matches(
     matches: pd.DataFrame, as_of: pd.Timestamp, half_life: float, *, prior: tuple[float, float] = (0.0, 0.0), promoted: frozenset[str] = frozenset(),
     shrink: float = 8.0, pairs: list[tuple[str, str]] | None = None, pair_shrink: float = 30.0,
 ) -> Model:
-    """Fit of a collected match table (season, date, home_team, away_team, home_goals, away_goals), a few thousand rows.
+    """Fit of tallies() or of a match table (date, home_team, away_team, home_goals, away_goals).
 
-    Each match weighs 0.5 to the power of its age in half-lives; each team
+    Each match weighs 0.5 to the power of its age in half-lives, which tallies have summed; each team
     is drawn to its prior by shrink / (effective matches + 1), promoted teams to
     the promoted sides' mean.
     """
@@ -196,17 +196,20 @@ def fit_matches(
     at = {t: i for i, t in enumerate(teams)}
     home, away = matches["home_team"].map(at).to_numpy(), matches["away_team"].map(at).to_numpy()
     hg, ag = matches["home_goals"].to_numpy(float), matches["away_goals"].to_numpy(float)
-    age = (as_of - matches["date"]).dt.total_seconds().to_numpy() / 86400.0
-    w = 0.5 ** (np.maximum(age, 0.0) / half_life)
+    if "weight" in matches:
+        w, times = matches["weight"].to_numpy(float), matches["n"].to_numpy(float)
+    else:
+        age = (as_of - matches["date"]).dt.total_seconds().to_numpy() / 86400.0
+        w, times = 0.5 ** (np.maximum(age, 0.0) / half_life), np.ones(len(matches))
     eff = np.bincount(home, w, len(teams)) + np.bincount(away, w, len(teams))
     pairs = list(pairs or [])
     pair_at = {p: i for i, p in enumerate(pairs)}
     slot = np.array([pair_at.get(p, -1) for p in zip(matches["home_team"], matches["away_team"])], int)
-    met = np.bincount(slot[slot >= 0], minlength=len(pairs)) if pairs else np.zeros(0)
+    met = np.bincount(slot[slot >= 0], times[slot >= 0], len(pairs)) if pairs else np.zeros(0)
     prior_a = np.array([prior[0] if t in promoted else 0.0 for t in teams])
     prior_c = np.array([prior[1] if t in promoted else 0.0 for t in teams])
     f = objective(home, away, hg, ag, w, shrink / (eff + 1.0), prior_a, prior_c, slot, pair_shrink / (met + 1.0))
-    start = np.concatenate([prior_a, prior_c, [0.25, -0.05, np.log(max((hg.sum() + ag.sum()) / (2 * max(len(matches), 1)), 0.3))], np.zeros(len(pairs))])
+    start = np.concatenate([prior_a, prior_c, [0.25, -0.05, np.log(max((times * (hg + ag)).sum() / (2 * max(times.sum(), 1.0)), 0.3))], np.zeros(len(pairs))])
     bound = np.full(len(start), np.inf)
     lower, upper = -bound, bound.copy()
     lower[2 * len(teams) + 1], upper[2 * len(teams) + 1] = RHO_BOUNDS
@@ -214,7 +217,7 @@ def fit_matches(
     n = len(teams)
     return Model(
         dict(zip(teams, x[:n].tolist())), dict(zip(teams, x[n : 2 * n].tolist())), float(x[2 * n]), float(x[2 * n + 2]), float(x[2 * n + 1]), prior,
-        dict(zip(pairs, x[2 * n + 3 :].tolist())), dict(zip(teams, eff.tolist())), promoted, done, len(matches),
+        dict(zip(pairs, x[2 * n + 3 :].tolist())), dict(zip(teams, eff.tolist())), promoted, done, int(times.sum()),
     )
 
 
@@ -226,61 +229,86 @@ def priors_of(matches: DataFrame) -> tuple[tuple[float, float], frozenset[str]]:
     return (p["attack"], p["concede"]), frozenset(r["team"] for r in find_promotions(rows).where(F.col("season") == last).collect())
 
 
+SCORELINE = ["home_team", "away_team", "home_goals", "away_goals"]
+
+
+def tallies(matches: DataFrame, as_of: pd.Timestamp, half_life: float) -> DataFrame:
+    """(home_team, away_team, home_goals, away_goals, weight, n): all that a fit needs of the matches.
+
+    The likelihood knows a match by its sides, score and weight, so a row per
+    pair of sides and score is enough: pairs of clubs times scores, however many matches there are.
+    """
+    weight = decay_weight(F.col("date"), F.lit(str(as_of)).cast("timestamp"), half_life)
+    return matches.groupBy(*SCORELINE).agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
+
+
 def fit(matches: DataFrame, as_of: pd.Timestamp, half_life: float, **how) -> Model:
-    """Fit on the driver: the match table is a row per match ever played in a league, thousands, whatever the player rows were."""
+    """Fit on the driver, which gets tallies() and the promoted teams' means."""
     prior, promoted = priors_of(matches)
-    return fit_matches(matches.toPandas(), as_of, half_life, prior=prior, promoted=promoted, **how)
+    return fit_matches(tallies(matches, as_of, half_life).toPandas(), as_of, half_life, prior=prior, promoted=promoted, **how)
 
 
 def _local_priors(train: pd.DataFrame) -> tuple[tuple[float, float], frozenset[str]]:
-    """priors_of() for a fold's rows inside a task."""
+    """priors_of() for a fold's tallies by season, inside a task."""
     rows = pd.concat([
-        train.rename(columns={f"{a}_team": "team", f"{a}_goals": "gf", f"{b}_goals": "ga"})[["season", "team", "gf", "ga"]] for a, b in (("home", "away"), ("away", "home"))
+        train.rename(columns={f"{a}_team": "team", f"{a}_goals": "gf", f"{b}_goals": "ga"})[["season", "team", "gf", "ga", "n"]] for a, b in (("home", "away"), ("away", "home"))
     ])
-    seasons = sorted(rows["season"].unique())
-    teams = {s: set(rows.loc[rows["season"] == s, "team"]) for s in seasons}
+    rows[["gf", "ga"]] = rows[["gf", "ga"]].mul(rows["n"], axis=0)
+    sums = rows.groupby(["season", "team"])[["gf", "ga", "n"]].sum().reset_index()
+    seasons = sorted(sums["season"].unique())
+    teams = {s: set(sums.loc[sums["season"] == s, "team"]) for s in seasons}
     new = {s: teams[s] - teams[p] for p, s in zip(seasons, seasons[1:])}
     num, games = np.zeros(2), 0
     for s in seasons[1:-1]:
-        own = rows[(rows["season"] == s) & rows["team"].isin(new[s])]
-        mean = rows.loc[rows["season"] == s, "gf"].mean()
-        for _, g in own.groupby("team"):
-            num += len(g) * np.log(np.maximum([g["gf"].mean(), g["ga"].mean()], 0.15) / mean)
-            games += len(g)
+        own = sums[sums["season"] == s]
+        mean = own["gf"].sum() / own["n"].sum()
+        for _, r in own[own["team"].isin(new[s])].iterrows():
+            num += r["n"] * np.log(np.maximum([r["gf"] / r["n"], r["ga"] / r["n"]], 0.15) / mean)
+            games += r["n"]
     prior = tuple((num / games).tolist()) if games else (0.0, 0.0)
     return prior, frozenset(new[seasons[-1]]) if len(seasons) > 1 else frozenset()
 
 
-def _fold_likelihood(matches: pd.DataFrame, season, half_life: float, test_days: float, pairs_from: int | None) -> tuple[float, int]:
-    own = matches[matches["season"] == season]
-    cutoff = own["date"].min()
-    train, test = matches[matches["date"] < cutoff], own[own["date"] < cutoff + pd.Timedelta(days=test_days)]
+def _fold_likelihood(train: pd.DataFrame, test: pd.DataFrame, half_life: float, pairs_from: int | None) -> tuple[float, int]:
+    """Log-likelihood and number of a fold's test matches under the fit of its training tallies."""
     if train.empty or test.empty:
         return 0.0, 0
     prior, promoted = _local_priors(train)
     pairs = None
     if pairs_from:
-        met = train.groupby(["home_team", "away_team"]).size()
+        met = train.groupby(["home_team", "away_team"])["n"].sum()
         pairs = list(met[met >= pairs_from].index)
-    model = fit_matches(train, cutoff, half_life, prior=prior, promoted=promoted, pairs=pairs)
-    return sum(model.log_lik(*r) for r in test[["home_team", "away_team", "home_goals", "away_goals"]].itertuples(index=False, name=None)), len(test)
+    model = fit_matches(train, pd.Timestamp(0), half_life, prior=prior, promoted=promoted, pairs=pairs)
+    rows = test[[*SCORELINE, "n"]].itertuples(index=False, name=None)
+    return sum(n * model.log_lik(h, a, int(hg), int(ag)) for h, a, hg, ag, n in rows), int(test["n"].sum())
 
 
 def walk_forward(matches: DataFrame, candidates=CANDIDATES, *, n_folds: int = 5, test_days: float = 56.0, pairs_from: int | None = None) -> DataFrame:
-    """(half_life_days, oos_matches, total_log_lik, avg_log_lik): a task per candidate and fold, summed."""
-    spark = matches.sparkSession
-    table = matches.toPandas()
-    seasons = sorted(table["season"].unique())
+    """(half_life_days, oos_matches, total_log_lik, avg_log_lik): a task per candidate and fold, summed.
+
+    Only the seasons' first days reach the driver. A fold's matches before its first day, weighed by
+    every candidate, and those of its test window are tallied in one partial aggregation; a task gets the tallies.
+    """
+    starts = {r["season"]: r["d"] for r in matches.groupBy("season").agg(F.min("date").alias("d")).collect()}
+    seasons = sorted(starts)
     held = seasons[-n_folds:] if len(seasons) > n_folds else seasons[1:]
-    shared = spark.sparkContext.broadcast(table)
-    tasks = spark.createDataFrame([(float(c), str(s)) for c in candidates for s in held], "half_life_days double, season string")
+    day = F.col("date").cast("timestamp")
+    first = F.col("f.cutoff").cast("timestamp")
+    folds = F.array(*[F.struct(F.lit(str(s)).alias("fold"), F.lit(str(starts[s])).alias("cutoff"), (F.col("season") == s).alias("own")) for s in held]) if held else F.array().cast("array<struct<fold:string,cutoff:string,own:boolean>>")
+    tests = F.col("f.own") & (day < first + F.make_dt_interval(secs=F.lit(float(test_days) * 86400.0)))
+    weights = F.array(*[F.sum(decay_weight(F.col("date"), first, float(c))) for c in candidates])
+    dealt = (
+        matches.select("season", "date", *SCORELINE, F.explode(folds).alias("f")).withColumn("trains", day < first).where(F.col("trains") | tests)
+        .groupBy("f.fold", "trains", "season", *SCORELINE).agg(weights.alias("weights"), F.count("*").alias("n"))
+    )
+    each = dealt.select("fold", "trains", "season", *SCORELINE, "n", F.posexplode("weights").alias("candidate", "weight"))
 
-    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-        season = next(s for s in held if str(s) == key[1])
-        total, n = _fold_likelihood(shared.value, season, key[0], test_days, pairs_from)
-        return pd.DataFrame({"half_life_days": [key[0]], "ll": [total], "n": [n]})
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        half_life = float(candidates[key[1]])
+        total, n = _fold_likelihood(rows[rows["trains"]], rows[~rows["trains"]], half_life, pairs_from)
+        return pd.DataFrame({"half_life_days": [half_life], "ll": [total], "n": [n]})
 
-    out = tasks.groupBy("half_life_days", "season").applyInPandas(run, "half_life_days double, ll double, n long")
+    out = each.groupBy("fold", "candidate").applyInPandas(run, "half_life_days double, ll double, n long")
     return out.groupBy("half_life_days").agg(F.sum("n").alias("oos_matches"), F.sum("ll").alias("total_log_lik")).withColumn(
         "avg_log_lik", F.try_divide("total_log_lik", F.col("oos_matches").cast("double"))
     )
@@ -292,11 +320,12 @@ def best_half_life(diagnostics: DataFrame) -> float:
 
 def pairwise_effects(matches: DataFrame, half_life: float, *, at_least: int = 6, n_folds: int = 5) -> dict:
     """Whether venue-specific pairs help out of sample: the tested pairs' effects, both mean likelihoods, their difference and a verdict."""
-    table = matches.toPandas()
-    met = table.groupby(["home_team", "away_team"]).size()
+    as_of = pd.Timestamp(matches.agg(F.max("date").cast("string").alias("d")).first()["d"]) + pd.Timedelta(days=1)
+    table = tallies(matches, as_of, half_life).toPandas()
+    met = table.groupby(["home_team", "away_team"])["n"].sum()
     pairs = list(met[met >= at_least].index)
     prior, promoted = priors_of(matches)
-    full = fit_matches(table, table["date"].max() + pd.Timedelta(days=1), half_life, prior=prior, promoted=promoted, pairs=pairs)
+    full = fit_matches(table, as_of, half_life, prior=prior, promoted=promoted, pairs=pairs)
     base, more = (walk_forward(matches, (half_life,), n_folds=n_folds, pairs_from=p).first()["avg_log_lik"] for p in (None, at_least))
     delta = (more - base) if None not in (base, more) else float("nan")
     ranked = sorted(((h, a, int(met[(h, a)]), g) for (h, a), g in full.pairs.items()), key=lambda r: (-abs(r[3]), r[0], r[1]))

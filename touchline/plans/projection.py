@@ -9,6 +9,8 @@ from ..functions.names import club, player_key
 from ..operators import backtest, matches, minutes, rates, simulate, strength
 
 HALF_LIFE = 250.0
+#: Fixed value: the first season whose archive has defensive actions.
+DEFENSIVE_FROM = "2025-26"
 
 
 def position_coded(history: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def player_table(elements: DataFrame, so_far: DataFrame, history: DataFrame, n_g
     times = minutes.estimate_minutes(elements, so_far, n_gws, priors, by_player)
     edges = rates.price_edges(coded)
     attacking = rates.player_seasons(recent(coded, 6), ("goals_scored", "assists", "saves"))
-    defensive = rates.player_seasons(coded.where("season >= '2025-26'"), rates.DEFENSIVE)
+    defensive = rates.player_seasons(coded.where(F.col("season") >= DEFENSIVE_FROM), rates.DEFENSIVE)
     prior = rates.rate_priors(attacking.unionByName(defensive), edges)
     players = elements.select(F.col("id").alias("player_id"), F.col("element_type").cast("int").alias("position"), F.col("now_cost").alias("price"), "minutes", *rates.STATS)
     per90 = rates.posterior_rates(players, prior, edges, provider)
@@ -58,11 +60,11 @@ def project(
     return simulate.simulate(rated, players, rho=model.rho, assisted=assisted, n_sims=n_sims, seed=seed)
 
 
-def replay(history: DataFrame, season: str, gw: int, *, n_sims: int = 2000, half_life: float = HALF_LIFE) -> DataFrame:
+def replay(history: DataFrame, season: str, gw: int, *, n_sims: int = 2000, half_life: float = HALF_LIFE, recent_window: int | None = None) -> DataFrame:
     """(season, gw, element, ep, quantiles) of a past gameweek from what was known before it.
 
     Everything is cut at the gameweek's first kickoff; a player's price and
-    club are the latest seen by then. The seed is a stable function of season and gameweek.
+    club are the latest seen by then. recent_window: how many of the last gameweeks minutes are estimated from, all by default. The seed is a stable function of season and gameweek.
     """
     target = history.where((F.col("season") == season) & (F.col("gw") == gw))
     cutoff = target.agg(F.min("kickoff_time").alias("t")).first()["t"]
@@ -74,8 +76,9 @@ def replay(history: DataFrame, season: str, gw: int, *, n_sims: int = 2000, half
         F.col("element").alias("id"), F.col("name").alias("full_name"), minutes.position_code(F.col("position")).alias("element_type"), club(F.col("team")).alias("team"), F.col("value").cast("int").alias("now_cost"),
         F.lit("a").alias("status"), F.lit(None).cast("int").alias("chance_of_playing_next_round"), "minutes", *rates.STATS,
     )
-    played = own.agg(F.count_distinct("gw").alias("n")).first()["n"]
-    players = player_table(elements, own.select("element", "minutes", "starts"), before.where(F.col("season") < season), played)
+    seen = own if recent_window is None else backtest.recent_gameweeks(own, recent_window)
+    played = seen.agg(F.count_distinct("gw").alias("n")).first()["n"]
+    players = player_table(elements, seen.select("element", "minutes", "starts"), before.where(F.col("season") < season), played)
     ahead = matches.match_table(target.withColumns({"team_h_score": F.coalesce("team_h_score", F.lit(0.0)), "team_a_score": F.coalesce("team_a_score", F.lit(0.0))}))
     model = strength.fit(matches.match_table(before), pd.Timestamp(cutoff), half_life)
     fixtures = ahead.select(F.lit(gw).alias("gw"), F.xxhash64("home_team", "away_team").alias("fixture"), "home_team", "away_team", F.col("home_team").alias("home_id"), F.col("away_team").alias("away_id"))

@@ -51,9 +51,8 @@ def load_live(catalog: Catalog, landed: str, gws: list[int]) -> int:
 
 
 def take_prices(catalog: Catalog, landed: str, taken_at: str) -> None:
-    """Append a price snapshot; a second one of the same time replaces the first. Prices come first, since they cannot be had again."""
+    """Append a price snapshot as a partition of its own; a second one of the same time replaces the first. Prices come first, since they cannot be had again."""
     boot = P.read_json(catalog.spark, f"{landed}/bootstrap.json", P.BOOTSTRAP, ("elements",))
-    rows = monitor.price_rows(P.rows_of(boot, "elements"), F.lit(taken_at).cast("timestamp")).withColumn("__new", F.lit(1))
-    if catalog.exists("prices/history"):
-        rows = catalog.load("prices/history").withColumn("__new", F.lit(0)).unionByName(rows)
-    catalog.save(monitor.deduplicate(rows, ["ts", "player_id"], [F.col("__new")]).drop("__new"), "prices/history")
+    rows = monitor.price_rows(P.rows_of(boot, "elements"), F.lit(taken_at).cast("timestamp"))
+    rows = monitor.deduplicate(rows, ["ts", "player_id"], [F.col("now_cost")])
+    catalog.append(rows, "prices/history", taken="".join(c for c in taken_at if c.isalnum()))

@@ -396,12 +396,12 @@ def error_metrics(s: Star) -> DataFrame:
     return backtest.errors(rows, "guess", keys=["season"]).withColumns(r4("rmse", "mae"))
 
 
-@query("""WITH t AS (SELECT DISTINCT season, gw FROM {history} WHERE gw IN (1, 5)), e AS (SELECT t.season, t.gw, h.element, avg(h.minutes) AS baseline FROM t JOIN {history} AS h ON h.season = t.season AND h.gw < t.gw GROUP BY 1, 2, 3),
+@query("""WITH t AS (SELECT DISTINCT season, gw FROM {history}), e AS (SELECT t.season, t.gw, h.element, avg(h.minutes) AS baseline FROM t JOIN {history} AS h ON h.season = t.season AND h.gw < t.gw GROUP BY 1, 2, 3),
     f AS (SELECT t.season, t.gw, h.element, avg(h.minutes) AS baseline FROM t JOIN {history} AS h ON h.season = t.season - 1 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.season = t.season AND e.gw = t.gw) GROUP BY 1, 2, 3)
     SELECT season, gw, element, round(baseline, 4) AS baseline FROM e UNION ALL SELECT season, gw, element, round(baseline, 4) FROM f""")
 def season_mean_baseline(s: Star) -> DataFrame:
     actuals = s.history.select("season", "gw", "element", F.col("minutes").alias("actual"))
-    return backtest.season_mean_baseline(actuals, actuals.where("gw in (1, 5)").select("season", "gw").distinct()).withColumns(r4("baseline"))
+    return backtest.season_mean_baseline(actuals, actuals.select("season", "gw").distinct()).withColumns(r4("baseline"))
 
 
 # ---------------------------------------------------------------- decisions and monitoring

@@ -340,7 +340,7 @@ def chip_names(s: Star) -> DataFrame:
 def squad_rules(s: Star) -> DataFrame:
     """What must hold for a best squad of the whole pool of candidates."""
     pool = state.candidate_pool(s.projections, 20, weeks=[1, 2, 3, 4]).select("player_id", "position", (F.col("player_id") % 20).alias("team"), "price", F.col("total").alias("ep")).toPandas()
-    best = optimise.optimise_squad(pool, time_limit=60)
+    best = optimise.optimise_squad(pool)
     rows = pool.set_index("player_id").loc[list(best.squad)]
     starts = rows.loc[list(best.starters)]["position"].value_counts()
     holds = {

@@ -46,6 +46,13 @@ class Catalog:
         fs.delete(jpath(old), True)
         return path
 
+    def append(self, df: DataFrame, name: str, **part: str) -> str:
+        """Write df as one partition (taken="...") of a table, in place of that partition if there is one; the others are not read."""
+        ((key, value),) = part.items()
+        path = f"{self.path_for(name)}/{key}={value}"
+        storable(df).write.mode("overwrite").parquet(path)
+        return path
+
     def load(self, name: str) -> DataFrame:
         if not self.exists(name):
             raise FileNotFoundError(f"no table {name!r} under {self.root}")
