@@ -145,7 +145,8 @@ def manager_state(bootstrap: DataFrame, history: DataFrame, picks: DataFrame, tr
     player = F.struct("slot", "element", "position", "team", "bought", "now_cost", selling_price(F.col("bought"), F.col("now_cost")).alias("selling"), "multiplier", "is_captain", "is_vice_captain")
     squads = held.join(paid, ["entry", "element"]).join(facts, "element").groupBy("entry").agg(F.array_sort(F.collect_list(player)).alias("squad"))
     used = chips.groupBy("entry").agg(F.array_sort(F.collect_list("chip")).alias("played"))
-    left = F.array(*[F.struct(F.lit(c).alias("chip"), F.greatest(F.lit(0), F.lit(2) - F.size(F.filter("played", lambda x, c=c: x == c))).alias("left")) for c in ("wildcard", "freehit", "bboost", "3xc")])
+    still = lambda c: F.greatest(F.lit(0), F.lit(2) - F.size(F.filter("played", lambda x: x == c)))
+    left = F.array(*[F.struct(F.lit(c).alias("chip"), still(c).alias("left")) for c in ("wildcard", "freehit", "bboost", "3xc")])
     return (
         last.join(free_transfers(made), "entry").join(squads, "entry").join(used, "entry", "left").withColumn("played", F.coalesce("played", F.array().cast("array<string>")))
         .select("entry", "as_of_gw", "bank", "free", left.alias("chips"), "squad")
