@@ -110,3 +110,60 @@ def test_best_squad_equals_enumeration():
     assert best > 0  # some squad is affordable
     got = optimise.optimise_squad(pool, budget)
     assert got.status == "Optimal" and got.value == pytest.approx(best)
+
+
+def test_provider_falls_back_to_pages(tmp_path):
+    from touchline.sources import fetch
+
+    pages = {
+        "http://p/getLeagueData/EPL/2024": (200, b'{"players": [1], "teams": {}, "dates": []}'), "http://p/getTeamData/Man_City/2024": (404, b""), "http://p/team/Man_City/2024": (200, b"<script>var datesData = JSON.parse('[{\"id\": \"5\"}]')</script>"),
+        "http://p/getPlayerData/7": (200, b'{"matches": [{"id": "1"}]}'), "http://p/getMatchData/9": (404, b""), "http://p/match/9": (200, b"<html>nothing</html>"),
+        "http://p/open": (200, b"<table></table>"), "http://p/shut": (200, b"<title>Just a moment</title>"), "http://p/gone": (404, b""),
+    }
+    client = fetch.Client(str(tmp_path), spacing=0, transport=lambda url, data, headers, timeout: (*pages[url], {}), sleep=lambda s: None)
+    api = fetch.ProviderApi(client, "http://p/")
+    assert api.league("EPL", "2024")["players"] == [1] and api.team("Man City", "2024") == {"dates": [{"id": "5"}], "players": [], "statistics": {}}
+    assert api.player("7") == {"player_id": "7", "matches": [{"id": "1"}], "shots": []}
+    with pytest.raises(fetch.FetchError, match="neither"):
+        api.match_shots("9")
+    site = fetch.GuardedPages(client, "http://p")
+    assert site.fetch("open") == "<table></table>" and [(p, ok) for p, ok, _ in site.probe(["open", "shut", "gone"])] == [("open", True), ("shut", False), ("gone", False)]
+
+
+def test_decision_of_a_manager(spark, tmp_path, capsys):
+    """A whole squad from documents, its options compared, and the report of ten blocks."""
+    import json
+
+    from touchline.__main__ import main
+    from touchline.plans import briefs
+
+    counts = [1, 1, 1] + [2] * 6 + [3] * 6 + [4] * 4
+    elements = [{"id": k, "web_name": f"p{k}", "team": k % 8 + 1, "element_type": p, "now_cost": 50 + k, "cost_change_start": 0, "status": "a", "minutes": 90, "total_points": k} for k, p in enumerate(counts)]
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    put = lambda name, value: (landed / f"{name}.json").write_text(json.dumps(value))
+    put("bootstrap", {"elements": elements, "teams": [{"id": t, "name": f"T{t}", "short_name": f"T{t}"} for t in range(1, 9)], "events": [{"id": 1, "deadline_time": "2026-08-21T17:30:00Z", "finished": True}]})
+    squad = [0, 1, *range(3, 8), *range(9, 14), *range(15, 18)]
+    put("picks-5-1", {"entry": 5, "gw": 1, "automatic_subs": [], "picks": [{"element": e, "position": k + 1, "multiplier": 1, "is_captain": k == 3, "is_vice_captain": k == 4} for k, e in enumerate(squad)]})
+    put("history-5", {"entry": 5, "current": [{"event": 1, "points": 40, "value": 1000, "bank": 30, "event_transfers": 0, "event_transfers_cost": 0, "points_on_bench": 0}], "chips": [{"name": "wildcard", "event": 1, "time": ""}]})
+    put("transfers-5", [{"entry": 5, "event": 1, "element_in": 3, "element_in_cost": 51, "element_out": 8, "element_out_cost": 50, "time": "2026-08-01"}])
+    root = tmp_path / "store"
+    ep = spark.createDataFrame([(k, g, p, k % 8 + 1, 50 + k, float((k * 7 + g) % 11)) for k, p in enumerate(counts) for g in (2, 3)], "player_id long, gw int, position int, team int, price int, ep double")
+    Catalog(spark, str(root)).save(ep, "projections/gw2-3")
+    out = tmp_path / "decision.json"
+    assert main(["decide", "--root", str(root), "--landed", str(landed), "--entry", "5", "--out", str(out)]) == 0
+    record = json.loads(out.read_text())
+    assert set(record["options"]) == {"hold", "wildcard", "freehit", "bboost", "3xc"} and record["best"] in record["options"] and "best:" in capsys.readouterr().out
+    assert record["options"]["bboost"]["objective"] >= record["options"]["hold"]["objective"]
+    picks = spark.createDataFrame([(e, 1, k, k + 1, 2 if k == e else 1, k == e, k == e + 1) for e in (5, 6) for k in range(e, e + 11)], "entry long, gw int, element long, slot int, multiplier int, is_captain boolean, is_vice_captain boolean")
+    tables = {
+        "standings": spark.createDataFrame([(5, 50, 1), (6, 40, 2)], "entry long, total long, rank int"), "picks": picks, "chips": spark.createDataFrame([], "entry long, name string, gw int"),
+        "manager_gw": spark.createDataFrame([(5, 1, 50, 1000, 5, 0, 0), (6, 1, 40, 1000, 5, 0, 0)], "entry long, gw int, points int, value int, bank int, hits int, points_on_bench int"),
+        "auto_subs": spark.createDataFrame([], "entry long, gw int, element_out long, element_in long"),
+    }
+    live = spark.createDataFrame([(1, k, k % 5, 90) for k in range(30)], "gw int, element long, points int, minutes int")
+    players = spark.createDataFrame([(k, f"p{k}", "T", "MID") for k in range(30)], "element long, name string, team string, position string")
+    blocks = briefs.league_blocks(tables, players, live, live.select("gw").distinct(), 6, 1, remaining=30)
+    assert len(blocks) == 10 and all(b.count() > 0 for n, b in blocks.items() if n not in ("Totals that do not add up",))
+    assert {r.topic: r.value for r in blocks["Takeaways"].collect()}["rival most alike"] == "5" and briefs.orphans(tables["standings"], picks, 6, 1, 1).collect()[0].element == 16
+    assert briefs.deadline(spark.createDataFrame([(1, "2026-08-21T17:30:00Z")], "id int, deadline_time string"), 1).select(F.unix_seconds("deadline")).first()[0] == 1787333400

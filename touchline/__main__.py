@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import glob
 import sys
 
 import pandas as pd
@@ -30,8 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", help="file to write")
     a = parser.parse_args(argv)
     from . import report
-    from .operators import bonus, league, monitor, optimise, reconcile
-    from .plans import projection, refresh
+    from .operators import bonus, monitor, optimise, reconcile, state
+    from .plans import briefs, projection, refresh
     from .sources import payloads as P
     from .sources.catalog import Catalog
 
@@ -82,17 +83,31 @@ def main(argv: list[str] | None = None) -> int:
         tables = P.league_tables(
             P.read_json(spark, f"{a.landed}/picks-*.json", P.PICKS), P.read_json(spark, f"{a.landed}/history-*.json", P.HISTORY), P.read_json(spark, f"{a.landed}/standings.json", P.STANDINGS)
         )
-        weights = league.threat_weights(tables["standings"], a.entry)
-        blocks = {
-            "Ownership": league.ownership_table(tables["standings"], tables["picks"], weights, max(gws), a.entry).orderBy(P.F.desc("eo_pct"), "element"),
-            "Gaps": league.gap_targets(tables["standings"], a.entry, 38 - max(gws)), "Overlap": league.squad_overlap(tables["standings"], tables["picks"], a.entry, max(gws)).orderBy("rank"),
-        }
+        gw = max(gws)
+        moves = P.read_json(spark, f"{a.landed}/transfers-*.json", P.TRANSFERS) if glob.glob(f"{a.landed}/transfers-*.json") else None
+        if moves is not None:
+            tables["transfers"] = moves.where("entry is not null").withColumnRenamed("event", "gw")
+        played = store.load("game/live_stats").select("gw", "element", P.F.col("total_points").alias("points"), "minutes")
+        players = store.load("game/elements").select(P.F.col("id").alias("element"), P.F.col("web_name").alias("name"), P.F.col("team_short").alias("team"), "position")
+        final = P.final_gameweeks(store.load("game/fixtures"), store.load("game/events"))
+        blocks = briefs.league_blocks(tables, players, played, final, a.entry, gw, remaining=38 - gw)
         text = report.text_report(blocks)
     else:
-        frame = store.load(store.newest("projections")).toPandas()
-        best = optimise.optimise_squad(frame[frame["gw"] == frame["gw"].min()])
-        report.save_decision(vars(best), a.out or f"{a.root}/decisions/latest.json")
-        text = f"{best.status}: {best.value:.2f} points for {best.cost / 10:.1f}\n"
+        # A pool of 20 a position and the squad held are all that the driver gets.
+        ahead = store.load(store.newest("projections"))
+        picks = P.read_json(spark, f"{a.landed}/picks-{a.entry}-*.json", P.PICKS)
+        boot = P.read_json(spark, f"{a.landed}/bootstrap.json", P.BOOTSTRAP, ("elements",))
+        moves = P.read_json(spark, f"{a.landed}/transfers-{a.entry}.json", P.TRANSFERS).where("entry is not null")
+        me = state.manager_state(boot, P.read_json(spark, f"{a.landed}/history-{a.entry}.json", P.HISTORY), picks, moves).first()
+        owned = spark.createDataFrame([(int(p.element),) for p in me.squad], "player_id long")
+        pool = state.candidate_pool(ahead, 20, owned).select("player_id")
+        frame = ahead.join(pool, "player_id", "left_semi").toPandas()
+        begin = optimise.Start(tuple(int(p.element) for p in me.squad), me.bank, me.free, {int(p.element): p.selling for p in me.squad})
+        first = int(frame["gw"].min())
+        options = {"hold": {}} | {c.chip: {first: c.chip} for c in me.chips if c.left}
+        record = optimise.compare_options(frame, begin, options)
+        report.save_decision(record, a.out or f"{a.root}/decisions/latest.json")
+        text = "".join(f"{n}: {o['objective']:.2f} ({o['points']:.2f} points, {o['status']})\n" for n, o in record["options"].items()) + f"best: {record['best']}\n"
     if a.out and a.command != "decide":
         with open(a.out, "w") as f:
             f.write(text)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scoring
 from ..operators import backtest, league, matches, minutes, monitor, optimise, rates, simulate, state
+from . import briefs
 from .registry import CONTENTION, GW, LINES, SETTLED, STATUS, SWINGS, USER, Star, _matches, _settled, _weights, query, r4
 from .registry import MATCHES, PRIORS
 
@@ -349,3 +350,40 @@ def squad_rules(s: Star) -> DataFrame:
         "positions 2 5 5 3": [int((rows["position"] == p).sum()) for p in (1, 2, 3, 4)] == [2, 5, 5, 3], "proven optimal": best.status == "Optimal",
     }
     return s.spark.createDataFrame([(k, bool(v)) for k, v in holds.items()], "rule string, holds boolean")
+
+
+# ---------------------------------------------------------------- briefs
+
+
+@query(f"""SELECT p_partkey AS player_id, p_name AS name, coalesce(substr(n_name, 1, 3), '???') AS team, slot, round((40 + p_partkey % 90) / 10.0, 4)::DOUBLE AS price, round(CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE (p_partkey % 400) / 10.0 END, 4)::DOUBLE AS selected_by, slot > 11 AS benched
+    FROM (SELECT element, CAST(slot * 3 AS INT) AS slot FROM {{picks}} WHERE gw = {GW} AND entry = {USER}) AS p JOIN part ON p.element = p_partkey LEFT JOIN nation ON p_partkey % 30 = n_nationkey""")
+def squad_page(s: Star) -> DataFrame:
+    key = F.col("p_partkey")
+    elements = s.part.select(
+        key.alias("id"), F.col("p_name").alias("web_name"), (key % 30).alias("team"), (key % 4 + 1).alias("element_type"), (40 + key % 90).alias("now_cost"), F.lit(1).alias("total_points"), F.lit(90).alias("minutes"), F.lit(None).cast("string").alias("status"),
+        F.lit(" late ").alias("news"), F.when(key % 6 == 0, "n/a").otherwise((key % 400 / 10).cast("string")).alias("selected_by_percent"),
+    )
+    teams = s.nation.select(F.col("n_nationkey").alias("id"), F.substring("n_name", 1, 3).alias("short_name"))
+    picks = s.picks.withColumn("slot", (F.col("slot") * 3).cast("int"))
+    return briefs.squad_rows(picks, elements, teams, USER, GW).select("player_id", "name", "team", "slot", F.round("price", 4).alias("price"), F.round("selected_by", 4).alias("selected_by"), "benched")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), ' 00:00') END AS kickoff, coalesce(h.n_name, '???') AS home, coalesce(a.n_name, '???') AS away, CAST(o_orderkey % 5 AS INT) AS home_difficulty, CAST(o_custkey % 5 AS INT) AS away_difficulty
+    FROM orders LEFT JOIN nation AS h ON o_custkey % 30 = h.n_nationkey LEFT JOIN nation AS a ON o_orderkey % 30 = a.n_nationkey""")
+def fixture_page(s: Star) -> DataFrame:
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    fixtures = s.orders.select(
+        F.when(key % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00Z'")).alias("kickoff_time"), (other % 30).alias("team_h"), (key % 30).alias("team_a"), (key % 5).cast("int").alias("team_h_difficulty"), (other % 5).cast("int").alias("team_a_difficulty")
+    )
+    return briefs.fixture_rows(fixtures, s.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("short_name")))
+
+
+@query(f"""WITH m AS (SELECT max(rank) AS user_rank, max(total) AS user_total FROM {{standings}} WHERE entry = {USER})
+    SELECT count(*) AS managers, max(total) AS leader, round(quantile_cont(total, 0.5), 4) AS median, round(avg(total), 4) AS mean, min(total) AS last, user_rank, user_total, 36 AS remaining FROM {{standings}} CROSS JOIN m GROUP BY user_rank, user_total""")
+def league_overview(s: Star) -> DataFrame:
+    return briefs.overview(s.standings, USER, 36).withColumns(r4("median", "mean"))
+
+
+@query(f"""SELECT DISTINCT element FROM {{picks}} WHERE gw = {GW} AND entry = {USER} AND element NOT IN (SELECT element FROM {{picks}} JOIN {{standings}} USING (entry) WHERE gw = {GW} AND rank <= 10)""")
+def squad_orphans(s: Star) -> DataFrame:
+    return briefs.orphans(s.standings, s.picks, USER, GW)

@@ -15,6 +15,8 @@ import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+from .pages import CHALLENGE, embedded_json
+
 RETRIED = (408, 425, 429, 500, 502, 503, 504)
 
 
@@ -173,6 +175,68 @@ class GameApi:
                 yield e, None, str(error)
 
 
+class ProviderApi:
+    """A provider of match statistics under a base address: its endpoints for scripts first, else the data embedded in its pages."""
+
+    def __init__(self, client: Client, base: str):
+        self.client, self.base = client, base.rstrip("/")
+
+    def _either(self, endpoint: str, page: str, variable: str):
+        try:
+            return self.client.get_json(f"{self.base}/{endpoint}")
+        except FetchError as first:
+            try:
+                return embedded_json(self.client.get(f"{self.base}/{page}").decode("utf-8", "replace"), variable)
+            except (FetchError, ValueError) as second:
+                raise FetchError(f"neither {endpoint} nor {page} has it: {first}; {second}") from second
+
+    def league(self, league: str, season: str) -> dict:
+        """teams, players and dates; a page embeds only its players."""
+        data = self._either(f"getLeagueData/{league}/{season}", f"league/{league}/{season}", "playersData")
+        return {"players": data, "teams": {}, "dates": []} if isinstance(data, list) else data
+
+    def player(self, player: str) -> dict:
+        """{player_id, matches, shots} as payloads.player_matches() and player_shots() read them."""
+        data = self._either(f"getPlayerData/{player}", f"player/{player}", "matchesData")
+        found = {"matches": data} if isinstance(data, list) else data
+        return {"player_id": str(player), "matches": found.get("matches") or [], "shots": found.get("shots") or []}
+
+    def team(self, title: str, season: str) -> dict:
+        """{dates, players, statistics} of a club, whose title may have blanks."""
+        name = title.replace(" ", "_")
+        data = self._either(f"getTeamData/{name}/{season}", f"team/{name}/{season}", "datesData")
+        return {"dates": data, "players": [], "statistics": {}} if isinstance(data, list) else data
+
+    def match_shots(self, match: str) -> dict:
+        """{h, a} as payloads.shots_frame() reads them."""
+        return self._either(f"getMatchData/{match}", f"match/{match}", "shotsData")
+
+
+class GuardedPages:
+    """Pages of a site that may answer with a challenge instead of content; nothing is made up where it does."""
+
+    def __init__(self, client: Client, base: str):
+        self.client, self.base = client, base.rstrip("/")
+
+    def fetch(self, path: str) -> str:
+        """The page's HTML; FetchError where the site refuses or sends a challenge."""
+        html = self.client.get(f"{self.base}/{path.lstrip('/')}", cached=False).decode("utf-8", "replace")
+        if any(mark in html[:4000].lower() for mark in CHALLENGE):
+            raise FetchError(f"{path}: a challenge, not content")
+        return html
+
+    def probe(self, paths: Iterable[str]) -> list[tuple[str, bool, str]]:
+        """(path, available, why not) of each; never raises for a page that is blocked."""
+        out = []
+        for path in paths:
+            try:
+                self.fetch(path)
+                out.append((path, True, ""))
+            except FetchError as e:
+                out.append((path, False, str(e)))
+        return out
+
+
 def land_league(api: GameApi, league: int, folder: str, gameweeks: list[int], final: set[int] = frozenset(), max_pages: int = 50) -> list[int]:
     """Write a league's documents as JSON files that sources.payloads reads; the entries."""
     out = Path(folder)

@@ -35,6 +35,7 @@ PICKS = (
 HISTORY = (
     "entry int, current array<struct<event int, points int, value int, bank int, event_transfers int, event_transfers_cost int, points_on_bench int>>, chips array<struct<name string, event int, time string>>"
 )
+TRANSFERS = "entry int, event int, element_in int, element_in_cost int, element_out int, element_out_cost int, time string"
 STANDINGS = "standings struct<has_next boolean, results array<struct<entry int, entry_name string, player_name string, rank int, total int>>>"
 PLAYERS_PROVIDER = ("games", "time", "goals", "xG", "assists", "xA", "shots", "key_passes", "yellow_cards", "red_cards", "npg", "npxG", "xGChain", "xGBuildup")
 _SHOT = (
