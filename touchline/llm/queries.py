@@ -77,7 +77,34 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- parts of the above that SQL can express
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op1_mixing, and how often its limits are broken."""
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") > 3 * F.col("size")).alias("too_often"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base kinds of op4_secrets."""
+    return report(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each shard of op6_sharding whether its slots are gapless, and its bytes as near the mean as a cut of one in twenty or the largest group of equal texts allows."""
+    out = op6_sharding(spark, sf_dir)
+    group = out.groupBy("text_crc32", "size").agg(F.sum("size").alias("g")).agg(F.max("g").alias("largest"), F.sum("g").alias("all"))
+    shards = out.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
+    near = F.abs(F.col("bytes") - F.col("all") / 16) <= F.greatest(F.col("largest"), F.col("all") / 16 / 20)
+    gapless = (F.col("last") + 1 == F.col("n")) & (F.col("slots") == F.col("n"))
+    return shards.crossJoin(F.broadcast(group)).select("shard", near.alias("near"), gapless.alias("gapless"))
+
+
 QUERIES: dict[str, Query] = {
+    "mixing_targets": mixing_targets,
+    "secret_counts": secret_counts,
+    "shard_balance": shard_balance,
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
@@ -104,6 +131,15 @@ def _escaped(text: str) -> str:
 _TEMPLATE = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
 
 ORACLES: dict[str, str] = {
+    "mixing_targets": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+        w AS (SELECT *, 3.0::DOUBLE * n AS cap, CASE (r - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM s),
+        l AS (SELECT i.cap / i.weight AS ratio, ((SELECT sum(n) FROM s) - coalesce(sum(j.cap) FILTER (WHERE j.cap / j.weight < i.cap / i.weight), 0)) / sum(j.weight) FILTER (WHERE j.cap / j.weight >= i.cap / i.weight) AS level
+        FROM w AS i CROSS JOIN w AS j GROUP BY i.r, i.cap, i.weight), x AS (SELECT min_by(level, ratio) AS level FROM l WHERE level <= ratio)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, round(least(cap, coalesce(level * weight, cap)), 4) AS target, false AS too_often FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN x""",
+    "secret_counts": r"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) AS d""",
+    "shard_balance": "SELECT CAST(range AS INT) AS shard, true AS near, true AS gapless FROM range(16)",
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         f AS (SELECT body, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY body)
         SELECT page_id, n AS payload_bytes, sha256(p.body) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import drop_path, materialise, quoted, seeded_hash, stored, unit
 
-#: Bins of one histogram pass; the driver gets at most BINS rows for each open node.
-BINS = 2048
+#: Bins of one histogram pass, and sums that the driver gets at most in one: with many open nodes the bins are fewer and the passes more.
+BINS, LEAST_BINS, SUMS = 2048, 16, 1 << 20
 #: A cut may miss its share of a node's bytes by this part of them before a bin is searched more finely.
 TOLERANCE = 0.001
 #: ... and by this part before a group of equal texts is cut through.
@@ -54,7 +54,8 @@ def _cuts(rows: DataFrame, n_dims: int, nodes: list[Node], dims: dict[int, int],
     found: dict[int, tuple[int, float]] = {}
     each = range(len(nodes))
     while state:
-        step = {i: max(1, -(-(hi - lo + 1) // BINS)) for i, (lo, hi, _) in state.items()}
+        bins = max(LEAST_BINS, min(BINS, SUMS // len(state)))
+        step = {i: max(1, -(-(hi - lo + 1) // bins)) for i, (lo, hi, _) in state.items()}
         hist: dict[int, list[tuple[int, int]]] = {i: [] for i in state}
         binned = (
             rows.where(F.col("node").isin(*state))
@@ -110,8 +111,8 @@ def shard(
     shards gives the number of leaves; with target_bytes it is
     ceil(all bytes / target_bytes) instead.
 
-    Only sums go to the driver: min and max of each node and at most BINS
-    bins of it. Slots are dealt in buckets of a hash, whose counts alone
+    Only sums go to the driver: min and max of each node and at most SUMS
+    of their bins. Slots are dealt in buckets of a hash, whose counts alone
     are put in sequence. Null text: size 1 and checksum 0. Null and
     repeated ids, repeated rows: rows of their own. Very long texts: their own size, in a shard that may be theirs alone. Fewer rows than shards: some shards
     stay empty. Empty table: no rows. Other columns, whatever their names, are not carried.
