@@ -92,3 +92,11 @@ def test_a_lost_record_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(warc, "read_archives", lambda *a, **k: keep(*a, **k).where("page_id <> 3 or page_id is null"))
     with pytest.raises(ValueError, match="not read back whole"):
         warc.round_trip(spark.createDataFrame(PAGES, SCHEMA))
+
+
+@pytest.mark.parametrize("pack", (_gzip, lambda x: x), ids=("gzip", "plain"))
+@pytest.mark.parametrize("chunk", (1, 2, 3, 7, 64, 997))
+def test_records_may_begin_anywhere_in_a_chunk(monkeypatch, pack, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    rows = list(warc.salvage(io.BytesIO(b"".join(pack(r) for r in _records(12)))))
+    assert [f["page_id"] for *_, r, f in rows if r is None] == list(range(12)) and len(rows) == 12

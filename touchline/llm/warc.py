@@ -149,6 +149,7 @@ def salvage(stream) -> Iterator[tuple[int, int, str | None, dict | None]]:
     w = Window(stream)
     bad: tuple[int, str] | None = None
     while w.need(1):
+        w.need(len(VERSION))  # a record may begin with the last bytes of a chunk
         try:
             raw, n = _member(w) if w.data[: len(GZIP)] == GZIP else _plain(w)
             fields = parse(raw)
