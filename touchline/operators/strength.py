@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .matches import decay_weight, effective_sample_sizes, find_promotions, promoted_prior, sides
+from .matches import decay_weight, effective_sample_sizes
 
 MAX_LOG_RATE, TAU_FLOOR, RHO_BOUNDS = 4.0, 1e-8, (-0.2, 0.2)
 CANDIDATES = (45, 90, 150, 250, 400, 600, 900, 1400, 3650)
@@ -221,35 +221,30 @@ def fit_matches(
     )
 
 
-def priors_of(matches: DataFrame) -> tuple[tuple[float, float], frozenset[str]]:
-    """(promoted sides' mean effects, teams promoted into the last season), the last season's own promotions not among the former."""
-    rows = sides(matches)
-    last = rows.agg(F.max("season").alias("s")).first()["s"]
-    p = promoted_prior(rows, exclude_season=last).first()
-    return (p["attack"], p["concede"]), frozenset(r["team"] for r in find_promotions(rows).where(F.col("season") == last).collect())
-
-
 SCORELINE = ["home_team", "away_team", "home_goals", "away_goals"]
 
 
 def tallies(matches: DataFrame, as_of: pd.Timestamp, half_life: float) -> DataFrame:
-    """(home_team, away_team, home_goals, away_goals, weight, n): all that a fit needs of the matches.
+    """(season, home_team, away_team, home_goals, away_goals, weight, n): all that a fit needs of the matches.
 
-    The likelihood knows a match by its sides, score and weight, so a row per
-    pair of sides and score is enough: pairs of clubs times scores, however many matches there are.
+    The likelihood knows a match by its sides, score and weight, and promotions by season, so a row per
+    season, pair of sides and score is enough: seasons times pairs of clubs times scores, however many matches there are.
     """
     weight = decay_weight(F.col("date"), F.lit(str(as_of)).cast("timestamp"), half_life)
-    return matches.groupBy(*SCORELINE).agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
+    return matches.groupBy("season", *SCORELINE).agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
 
 
 def fit(matches: DataFrame, as_of: pd.Timestamp, half_life: float, **how) -> Model:
-    """Fit on the driver, which gets tallies() and the promoted teams' means."""
-    prior, promoted = priors_of(matches)
-    return fit_matches(tallies(matches, as_of, half_life).toPandas(), as_of, half_life, prior=prior, promoted=promoted, **how)
+    """Fit on the driver, which gets tallies(), in one job over the matches."""
+    table = tallies(matches, as_of, half_life).toPandas()
+    prior, promoted = _local_priors(table)
+    return fit_matches(table, as_of, half_life, prior=prior, promoted=promoted, **how)
 
 
 def _local_priors(train: pd.DataFrame) -> tuple[tuple[float, float], frozenset[str]]:
-    """priors_of() for a fold's tallies by season, inside a task."""
+    """(promoted sides' mean effects, teams promoted into the last season) of tallies, the last season's own promotions not among the former; as promoted_prior() has them."""
+    if train.empty:
+        return (0.0, 0.0), frozenset()
     rows = pd.concat([
         train.rename(columns={f"{a}_team": "team", f"{a}_goals": "gf", f"{b}_goals": "ga"})[["season", "team", "gf", "ga", "n"]] for a, b in (("home", "away"), ("away", "home"))
     ])
@@ -324,7 +319,7 @@ def pairwise_effects(matches: DataFrame, half_life: float, *, at_least: int = 6,
     table = tallies(matches, as_of, half_life).toPandas()
     met = table.groupby(["home_team", "away_team"])["n"].sum()
     pairs = list(met[met >= at_least].index)
-    prior, promoted = priors_of(matches)
+    prior, promoted = _local_priors(table)
     full = fit_matches(table, as_of, half_life, prior=prior, promoted=promoted, pairs=pairs)
     base, more = (walk_forward(matches, (half_life,), n_folds=n_folds, pairs_from=p).first()["avg_log_lik"] for p in (None, at_least))
     delta = (more - base) if None not in (base, more) else float("nan")
