@@ -192,8 +192,9 @@ def tree(conversations: DataFrame, *, conv_col: str = "conv_id", loss_role: str
             )
 
     contents = rows.select("role", "text").mapInArrow(formatted, "content binary, segment string").groupBy("content").agg(F.first("segment").alias("segment"))
+    # A left join with unique contents: what reads only places never touches a text.
     return (
-        nodes.join(contents, "content").select("node", "depth", "segment", "start", "stop", "position", "attends", "run_start", "ends", "loss_start", "loss_stop"),
+        nodes.join(contents, "content", "left").select("node", "depth", "segment", "start", "stop", "position", "attends", "run_start", "ends", "loss_start", "loss_stop"),
         turns.where("ends").select("conv", (F.col("depth") + 1).alias("n_turns"), "node"),
     )
 
