@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, embed_dedup, langid, warc
+from .hard_negatives import mine
+from .importance import resample
 from .mixing import mix
 from .packing import pack
 from .secrets import report
 from .sharding import shard
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +80,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
 # ---------------------------------------------------------------- parts of the above that SQL can express
 
 
@@ -115,6 +131,9 @@ QUERIES: dict[str, Query] = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_importance": op11_importance,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -158,4 +177,33 @@ ORACLES: dict[str, str] = {
         CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
         sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS loss_sha256,
         CAST(sum({_TEMPLATE} + {_escaped("role")} + {_escaped("text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op11_importance": r"""WITH tab AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+        w AS (SELECT true AS doc, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+        x AS (SELECT doc, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM w),
+        f AS (SELECT doc, r, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: concat(a[i], ' ', a[i + 1])))) AS f FROM x),
+        d AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+        b AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda k: CAST(concat('0x', substr(h, 2 * k + 1, 2)) AS BIGINT))),
+            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM d CROSS JOIN tab),
+        n AS (SELECT doc, r, bucket, count(*) AS n FROM f JOIN b USING (f) GROUP BY ALL),
+        c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE doc), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT doc), 0) AS t FROM n GROUP BY bucket),
+        g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM c),
+        m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM n JOIN g USING (bucket) WHERE doc GROUP BY r),
+        z AS (SELECT doc_id, len(a) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('7:', doc_id)), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x LEFT JOIN m USING (r) WHERE doc),
+        o AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id) AS place FROM z)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT count(*) FROM z WHERE able) * 25 // 100 THEN place END AS rank FROM o""",
+    "op12_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+        o AS (SELECT doc_id, o, least(500, n - 49 - o) AS c, substr(h, 2 * o + 1, 1098) AS h FROM (SELECT *, unnest(range(0, greatest(0, n - 49), 500)) AS o FROM d)),
+        w AS (SELECT doc_id, o + p AS p, hash(substr(h, 2 * p + 1, 100)) AS k, md5_number(substr(h, 2 * p + 1, 100)) AS k2 FROM (SELECT *, unnest(range(c)) AS p FROM o)),
+        m AS (SELECT k, k2, min(doc_id) AS least FROM w GROUP BY k, k2 HAVING count(*) > 1), g AS (SELECT doc_id, p FROM w JOIN m USING (k, k2) WHERE least < doc_id),
+        l AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM g),
+        s AS (SELECT doc_id, p, sum(CASE WHEN b IS NULL OR p > b + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM l),
+        r AS (SELECT doc_id, s, min(p) AS lo, max(p) + 50 AS hi FROM s GROUP BY doc_id, s),
+        k AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS past FROM r),
+        a AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' ORDER BY lo) AS head, max(hi) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op13_hard_negatives": f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_GOOD}),
+        s AS (SELECT q.vec_id AS anchor_id, c.vec_id AS other, q.label = c.label AS same, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
