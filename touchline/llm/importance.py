@@ -150,9 +150,21 @@ def head_vocabulary(texts: DataFrame, buckets: int) -> Head:
                 yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(np.concatenate([n[often], times[pair]]).astype(np.int64))], names=["first", "second", "n"])
 
     counts = materialise(texts.mapInArrow(proposed, "first binary, second binary, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n")), "head")
-    top = lambda rows, k: rows.orderBy(F.desc("n"), "first", "second").limit(k).collect()
-    words = [bytes(r["first"]) for r in top(counts.where("second is null"), HEAD_WORDS)]
-    return head_of(words, [(bytes(r["first"]), bytes(r["second"])) for r in top(counts.where("second is not null"), HEAD_PAIRS)], buckets)
+    step, pair = F.floor(F.log2("n") * 8), F.col("second").isNotNull()
+    sizes = counts.groupBy(pair.alias("pair"), step.alias("step")).agg(F.count("*").alias("n")).collect()
+
+    def top(of_pairs: bool, most: int) -> list:
+        """Those above the lowest count that no more than `most` reach; only they come to the driver."""
+        left, least = most, None
+        for r in sorted((r for r in sizes if r["pair"] == of_pairs), key=lambda r: -r["step"]):
+            left -= r["n"]
+            if left < 0:
+                break
+            least = r["step"]
+        return [] if least is None else counts.where((pair == of_pairs) & (step >= least)).select("first", "second").collect()
+
+    words = [bytes(r["first"]) for r in top(False, HEAD_WORDS)]
+    return head_of(words, [(bytes(r["first"]), bytes(r["second"])) for r in top(True, HEAD_PAIRS)], buckets)
 
 
 def bodies(df: DataFrame, text_col: str, *more) -> DataFrame:
