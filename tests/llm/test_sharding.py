@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from touchline.llm.sharding import shard
 
 
@@ -34,6 +36,18 @@ def test_a_third_in_one_group_is_still_balanced(spark):
     assert max(size) <= 1.06 * sum(size) / 5 and min(size) >= 0.94 * sum(size) / 5
 
 
+@pytest.mark.parametrize("share, ids, shards", ((0.33, "distinct", 64), (0.5, "equal", 5), (0.7, "distinct", 16), (0.9, "null", 16), (1.0, "null", 5)))
+def test_groups_cut_many_times(spark, share, ids, shards):
+    n = int(6000 * share)
+    of = {"distinct": lambda i: i, "equal": lambda i: 7, "null": lambda i: None}[ids]
+    rows = [(of(i), "the same words " * 4) for i in range(n)] + [(10_000 + i, f"other words {i:05d} " * 3 + "x" * (i % 7)) for i in range(6000 - n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = shard(df, shards=shards).collect()
+    check(rows, got, shards)
+    size = [sum(r["size"] for r in got if r.shard == k) for k in range(shards)]
+    assert max(size) <= 1.03 * sum(size) / shards and min(size) >= 0.97 * sum(size) / shards
+
+
 def test_target_bytes_and_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(rows, shard(odd, shards=4).collect(), 4)

@@ -108,13 +108,13 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each shard of op6_sharding whether its slots are gapless, and its bytes as near the mean as a cut of one in twenty or the largest group of equal texts allows."""
+    """What the shards of op6_sharding hold together; shards whose bytes are off the mean by more than 3 % and one row, and their slots that are missing or taken twice."""
     out = op6_sharding(spark, sf_dir)
-    group = out.groupBy("text_crc32", "size").agg(F.sum("size").alias("g")).agg(F.max("g").alias("largest"), F.sum("g").alias("all"))
+    mean = out.agg((F.sum("size") / 16).alias("mean"), F.max("size").alias("largest"))
     shards = out.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
-    near = F.abs(F.col("bytes") - F.col("all") / 16) <= F.greatest(F.col("largest"), F.col("all") / 16 / 20)
-    gapless = (F.col("last") + 1 == F.col("n")) & (F.col("slots") == F.col("n"))
-    return shards.crossJoin(F.broadcast(group)).select("shard", near.alias("near"), gapless.alias("gapless"))
+    off = F.abs(F.col("bytes") - F.col("mean")) > 0.03 * F.col("mean") + F.col("largest")
+    gaps = F.abs(F.col("last") + 1 - F.col("n")) + F.col("n") - F.col("slots")
+    return shards.crossJoin(F.broadcast(mean)).agg(F.count("*").alias("shards"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n_rows"), F.max("largest").alias("largest"), F.count_if(off).alias("off"), F.sum(gaps).alias("gaps"))
 
 
 QUERIES: dict[str, Query] = {
@@ -158,7 +158,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, round(least(cap, coalesce(level * weight, cap)), 4) AS target, false AS too_often FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN x""",
     "secret_counts": r"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
         len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) AS d""",
-    "shard_balance": "SELECT CAST(range AS INT) AS shard, true AS near, true AS gapless FROM range(16)",
+    "shard_balance": """SELECT CAST(16 AS BIGINT) AS shards, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, count(*) AS n_rows, CAST(max(strlen(coalesce(text, '')) + 1) AS BIGINT) AS largest,
+        CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS gaps FROM documents""",
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         f AS (SELECT body, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY body)
         SELECT page_id, n AS payload_bytes, sha256(p.body) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,

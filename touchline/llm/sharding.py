@@ -13,8 +13,10 @@ from .common import drop_path, materialise, quoted, seeded_hash, stored, unit
 BINS, LEAST_BINS, SUMS = 2048, 16, 1 << 20
 #: A cut may miss its share of a node's bytes by this part of them before a bin is searched more finely.
 TOLERANCE = 0.001
-#: ... and by this part before a group of equal texts is cut through.
-GROUP_TOLERANCE = 0.02
+#: ... and by this part of one shard before a group of equal texts is cut through.
+GROUP_TOLERANCE = 0.012
+#: Places in the order of rows of equal texts: a hash of the id, then of the row.
+ORDER = 1 << 62
 #: Groups of equal texts above this part of a shard are told apart; there are at most shards / HEAVY of them.
 HEAVY = 0.02
 
@@ -42,44 +44,51 @@ def _node_key(dims: list[int], n_dims: int) -> Column:
     return F.element_at(F.array(*[_key(d) for d in range(n_dims + 1)]), _pick(dims, "int") + 1)
 
 
-def _cuts(rows: DataFrame, n_dims: int, nodes: list[Node], dims: dict[int, int], bounds: dict[int, tuple[int, int]]) -> dict[int, tuple[int, float]]:
-    """Weighted quantile of each open node along its dimension: {node: (cut, part)}.
+def _cuts(rows: DataFrame, n_dims: int, nodes: list[Node], dims: dict[int, int], bounds: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Weighted quantile of each open node along its dimension: {node: (key, order)}; rows from there on go right.
 
     Histogram descent: the bytes of at most BINS bins of the node's key
     range are summed in partial aggregates; the bin that holds the wanted
-    share is binned again until it weighs next to nothing or is one key.
+    share is binned again until it weighs next to nothing or is one key. A key (a group of equal texts)
+    that is too heavy for either side is descended likewise along the order of its rows.
     """
     want = {i: nodes[i].bytes * (nodes[i].leaves // 2) / nodes[i].leaves for i in dims}
     state = {i: (*bounds[i], 0.0) for i in dims}  # least key, greatest key, bytes below
-    found: dict[int, tuple[int, float]] = {}
+    group: dict[int, int] = {}  # key of nodes that are descended along the order of its rows
+    found: dict[int, tuple[int, int]] = {}
     each = range(len(nodes))
     while state:
         bins = max(LEAST_BINS, min(BINS, SUMS // len(state)))
         step = {i: max(1, -(-(hi - lo + 1) // bins)) for i, (lo, hi, _) in state.items()}
-        hist: dict[int, list[tuple[int, int]]] = {i: [] for i in state}
+        hist: dict[int, list[tuple[int, int, int]]] = {i: [] for i in state}
+        at, whole = _node_key([dims.get(i, 0) for i in each], n_dims), _pick([group.get(i, -1) for i in each], "bigint")
         binned = (
             rows.where(F.col("node").isin(*state))
             .select(
-                "node", "size", _node_key([dims.get(i, 0) for i in each], n_dims).alias("key"), _pick([step.get(i, 1) for i in each], "bigint").alias("step"),
+                "node", "size", F.when(whole < 0, at).when(at == whole, F.col("u")).alias("key"), _pick([step.get(i, 1) for i in each], "bigint").alias("step"),
                 _pick([state.get(i, (0, 0))[0] for i in each], "bigint").alias("lo"), _pick([state.get(i, (0, 0))[1] for i in each], "bigint").alias("hi"),
             )
             .where("key between lo and hi")
-            .groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("bytes"))
+            .groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         )
         for r in binned.collect():
-            hist[r["node"]].append((r["bin"], r["bytes"]))
+            hist[r["node"]].append((r["bin"], r["bytes"], r["n"]))
         for i in list(state):
             lo, hi, below = state[i]
-            for b, weight in sorted(hist[i]):
-                if below + weight >= want[i] or (b, weight) == max(hist[i]):
+            for b, weight, n in sorted(hist[i]):
+                if below + weight >= want[i] or (b, weight, n) == max(hist[i]):
                     break
                 below += weight
             start, one = lo + b * step[i], step[i] == 1
             short, over = want[i] - below, below + weight - want[i]
-            if weight <= TOLERANCE * nodes[i].bytes or (one and min(abs(short), abs(over)) <= GROUP_TOLERANCE * nodes[i].bytes):
-                found[i] = (start if abs(short) <= abs(over) else start + step[i], 0.0)
+            edge = start if abs(short) <= abs(over) else start + step[i]
+            if i in group and (one or n == 1 or weight <= TOLERANCE * nodes[i].bytes / nodes[i].leaves):
+                found[i] = (group[i], edge)
+            elif i not in group and (weight <= TOLERANCE * nodes[i].bytes or (one and (n == 1 or min(abs(short), abs(over)) <= GROUP_TOLERANCE * nodes[i].bytes / nodes[i].leaves))):
+                found[i] = (edge, 0)
             elif one:  # a group of equal texts too heavy for either side
-                found[i] = (start, min(1.0, max(0.0, short / weight)))
+                group[i], state[i] = start, (0, ORDER - 1, below)
+                continue
             else:
                 state[i] = (start, min(hi, start + step[i] - 1), below)
                 continue
@@ -107,23 +116,23 @@ def shard(
     equal texts come to one shard. Where such a group outweighs HEAVY of
     a node it is set aside first, by a dimension of group bytes; only a
     group that can't go to either side without an error of
-    GROUP_TOLERANCE is cut through, by a seeded hash of the id.
+    GROUP_TOLERANCE of a shard is cut through, as often as it takes, along a seeded order of its rows: by hash of the id, and
+    rows of one id or of none by their place in the written table. So each cut is met to a row.
     shards gives the number of leaves; with target_bytes it is
     ceil(all bytes / target_bytes) instead.
 
     Only sums go to the driver: min and max of each node and at most SUMS
     of their bins. Slots are dealt in buckets of a hash, whose counts alone
     are put in sequence. Null text: size 1 and checksum 0. Null and
-    repeated ids, repeated rows: rows of their own. Very long texts: their own size, in a shard that may be theirs alone. Fewer rows than shards: some shards
+    repeated ids, repeated rows: rows of their own, told apart by place. Very long texts: their own size, in a shard that may be theirs alone. Fewer rows than shards: some shards
     stay empty. Empty table: no rows. Other columns, whatever their names, are not carried.
     """
     text = F.coalesce(quoted(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + F.lit(1)
     if dimensions is None:
         dimensions = {"size": size, "density": F.floor(size * 1000 / (F.char_length(text) + 1))}
-    h = seeded_hash(seed, quoted(id_col))
     rows = docs.select(
-        quoted(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), h.alias("h"),
+        quoted(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         # A long below 2^31, that a key holds it above the checksum.
         *[F.greatest(F.lit(0), F.least(F.coalesce(c.cast("long"), F.lit(0)), F.lit(2**31 - 1))).alias(f"d{k}") for k, c in enumerate(dimensions.values(), 1)],
     )
@@ -133,8 +142,8 @@ def shard(
     n, all_bytes = total["n"], total["bytes"] or 0
     leaves = max(1, math.ceil(all_bytes / target_bytes) if target_bytes else shards or 1)
     heavy = (
-        rows.groupBy("crc", "size").agg(F.sum("size").alias("g"), F.count("*").alias("c"))
-        .where((F.col("c") > 1) & (F.col("g") > F.lit(HEAVY * all_bytes / leaves))).drop("c")
+        rows.groupBy("crc", "size").agg(F.sum("size").alias("g"), F.count("*").alias("c"), F.approx_count_distinct("id").alias("ids"))
+        .where((F.col("c") > 1) & (F.col("g") > F.lit(HEAVY * all_bytes / leaves))).withColumn("few", F.col("ids") * 2 < F.col("c")).drop("c", "ids")
     )
     # In steps of the least heavy group; the heaviest groups come first along d0.
     unit_bytes = max(1, int(HEAVY * all_bytes / leaves))
@@ -142,7 +151,11 @@ def shard(
     rows, kept = stored(
         rows.join(materialise(heavy, "shard-heavy"), ["crc", "size"], "left")
         .withColumn("d0", F.lit(2**30) - F.least(F.expr(f"coalesce(g, 0) div {unit_bytes}"), F.lit(2**30))).drop("g")
-        .withColumn("u", unit(seeded_hash(seed + 1, F.col("id")))).withColumn("node", F.lit(0)),
+        .withColumn("row", seeded_hash(seed, F.monotonically_increasing_id()))
+        .withColumn("u", F.shiftleft(F.shiftrightunsigned(seeded_hash(seed + 1, F.col("id")), 24), 22) + F.shiftrightunsigned(F.col("row"), 42))
+        # Rows of no id, and those of a heavy text with few ids, are dealt to slots by place.
+        .withColumn("h", F.when(F.col("id").isNull() | F.coalesce("few", F.lit(False)), F.col("row")).otherwise(seeded_hash(seed, F.col("id"), F.col("crc"), F.col("size"))))
+        .drop("row", "few").withColumn("node", F.lit(0)),
         "shard-rows",
     )
     drop_path(rows.sparkSession, first)
@@ -178,8 +191,8 @@ def shard(
             else:
                 grown.append(Node(1, x.first, x.bytes))
         at, each = _node_key([dims.get(i, 0) for i in range(len(nodes))], n_dims), range(len(nodes))
-        edge, part = _pick([cut[i][0] if i in cut else 2**63 - 1 for i in each], "bigint"), _pick([cut[i][1] if i in cut else 0.0 for i in each], "double")
-        right = ~((at < edge) | ((at == edge) & (F.col("u") < part)))
+        edge, order = (_pick([cut[i][k] if i in cut else 2**63 - 1 for i in each], "bigint") for k in (0, 1))
+        right = ~((at < edge) | ((at == edge) & (F.col("u") < order)))
         level, (rows, kept) = kept, stored(rows.withColumn("node", _pick(base, "int") + right.cast("int")), "shard-rows")
         drop_path(rows.sparkSession, level)
         nodes = grown
