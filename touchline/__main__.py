@@ -43,8 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in ("refresh", "prices"):
         jobs = {"prices": lambda: refresh.take_prices(store, a.landed, now)}
         if a.command == "refresh":
-            jobs |= {"game": lambda: refresh.load_game(store, a.landed), "live": lambda: refresh.load_live(store, a.landed, gws)}
-        done, code = refresh.run_jobs(jobs)
+            jobs |= {"game": lambda: refresh.load_game(store, a.landed), "live": lambda: refresh.load_live(store, a.landed, gws),
+                     "history": lambda: refresh.load_history(store, a.landed), "provider": lambda: refresh.load_provider(store, a.landed), "pages": lambda: refresh.load_pages(store, a.landed)}
+        # A blocked page, or archives that have not landed, do not fail a refresh.
+        done, code = refresh.run_jobs(jobs, frozenset({"history", "provider", "pages"}))
         print("\n".join(f"{k}: {v}" for k, v in done.items()))
         return code
     if a.command == "tables":

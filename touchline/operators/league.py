@@ -10,8 +10,12 @@ players(element, name, team, position, price, global_owned_pct), final(gw).
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .order import quantile
+
 SCHEMES = ("uniform", "rank", "gap", "contention")
 
 
@@ -199,9 +203,8 @@ def gap_targets(standings: DataFrame, user: int, remaining: int) -> DataFrame:
     ladder = top.withColumn("place", order).select("place", F.col("total").alias("rung_total"))
     fixed = rungs.where("label <> 'one place up'").join(ladder, "place").select("label", "place", F.col("rung_total").alias("total"), "mine")
     above = rungs.where("label = 'one place up'").join(near, "label").select("label", "place", "total", "mine")
-    middle = with_scalars(standings.agg(F.floor(F.percentile("total", 0.5)).alias("total")), mine).select(
-        F.lit("median").alias("label"), F.lit(None).cast("int").alias("place"), F.col("total").cast("long"), "mine"
-    )
+    half = quantile(standings, "total", 0.5)
+    middle = mine.select(F.lit("median").alias("label"), F.lit(None).cast("int").alias("place"), F.lit(None if half is None else floor(half)).cast("long").alias("total"), "mine")
     gap = F.col("total") - F.col("mine")
     out = fixed.unionByName(above).unionByName(middle).select("label", "place", F.col("total").cast("double").alias("total"), gap.cast("double").alias("gap"), (gap / remaining).alias("per_gw"))
     mean = with_scalars(standings.agg(F.avg("total").alias("avg")), mine).select(

@@ -71,7 +71,7 @@ def scan_risks(elements: DataFrame, gws_played: int, trend: DataFrame | None = N
     """
     rows = elements.withColumns({"player_id": F.col("id"), "price": F.col("now_cost") / 10, "position": F.col("element_type"), "minutes": F.coalesce("minutes", F.lit(0)), "status": F.coalesce("status", F.lit("a"))})
     if intended_bench is not None:
-        rows = rows.join(F.broadcast(intended_bench.select("player_id", F.lit(True).alias("__bench"))), "player_id", "left")
+        rows = rows.join(intended_bench.select("player_id", F.lit(True).alias("__bench")), "player_id", "left")
     benched = F.coalesce("__bench", F.lit(False)) if intended_bench is not None else F.lit(False)
     price, minutes, status, chance = F.col("price"), F.col("minutes"), F.col("status"), F.col("chance_of_playing_next_round")
     full = gws_played * 90

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .skyline import skyline
+
 #: Transfers that may be banked at most, and the squad's shape by position 1 to 4.
 MOST_FREE = 5
 SQUAD = {1: 2, 2: 5, 3: 5, 4: 3}
@@ -161,28 +163,26 @@ def discounts(gws: DataFrame, gamma: float) -> DataFrame:
     return gws.select("gw").distinct().withColumn("factor", F.pow(F.lit(float(gamma)), F.row_number().over(W.orderBy("gw")) - 1))
 
 
-def candidate_pool(projections: DataFrame, per_position: int, owned: DataFrame | None = None, *, weeks: list[int] | None = None) -> DataFrame:
-    """(player_id, position, price, total, eps): players worth considering, and the owned.
+def candidate_pool(projections: DataFrame, per_position: int, owned: DataFrame | None = None, *, weeks: list[int] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, player_id, position, price, total, eps): players worth considering, and the owned, of each value of the columns `by`.
 
     A player goes if another of the position costs no more and is
-    expected no less in every week, and is strictly better in one of these.
-    The anti-join has the position as its key. Of the rest the per_position best by
+    expected no less in every week, and is strictly better in one of these: the
+    rest is the skyline of low price and high expectations. Of it the per_position best by
     total stay. Price is the first week's; a week without a row counts 0, several rows of a week are averaged.
     """
     weeks = weeks or sorted(r["gw"] for r in projections.select("gw").distinct().collect())
     by_week = F.array(*[F.coalesce(F.avg(F.when(F.col("gw") == g, F.col("ep"))), F.lit(0.0)) for g in weeks])
-    rows = projections.groupBy("player_id").agg(
+    rows = projections.groupBy(*by, "player_id").agg(
         F.first("position").alias("position"), F.min_by("price", "gw").alias("price"), by_week.alias("eps"), F.sum("ep").alias("total")
     )
-    i, j = rows.alias("i"), rows.select("position", F.col("price").alias("jp"), F.col("eps").alias("je"), F.col("player_id").alias("jid")).alias("j")
-    no_less = F.forall(F.zip_with("j.je", "i.eps", lambda x, y: x >= y), lambda b: b)
-    more = F.exists(F.zip_with("j.je", "i.eps", lambda x, y: x > y), lambda b: b) | (F.col("j.jp") < F.col("i.price"))
-    beaten = (F.col("i.position") == F.col("j.position")) & (F.col("j.jid") != F.col("i.player_id")) & (F.col("j.jp") <= F.col("i.price")) & no_less & more
-    best = i.join(j, beaten, "left_anti").withColumn("__r", F.row_number().over(W.partitionBy("position").orderBy(F.desc("total"), "player_id")))
+    ids = [*by, "player_id"]
+    unbeaten = skyline(rows, [*by, "position"], [-F.col("price"), *[F.col("eps")[k] for k in range(len(weeks))]], ids)
+    best = rows.join(unbeaten, ids, "left_semi").withColumn("__r", F.row_number().over(W.partitionBy(*by, "position").orderBy(F.desc("total"), "player_id")))
     kept = best.where(F.col("__r") <= per_position).drop("__r")
     if owned is None:
         return kept
-    return kept.unionByName(rows.join(owned.select("player_id").distinct(), "player_id", "left_semi").join(kept.select("player_id"), "player_id", "left_anti"))
+    return kept.unionByName(rows.join(owned.select("player_id").distinct(), "player_id", "left_semi").join(kept.select(*ids), ids, "left_anti"))
 
 
 def ep_gap(projections: DataFrame, player_in: int, player_out: int) -> DataFrame:

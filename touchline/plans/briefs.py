@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import league
+from ..operators.order import quantile
 
 
 def squad_rows(picks: DataFrame, elements: DataFrame, teams: DataFrame, entry: int, gw: int) -> DataFrame:
@@ -37,7 +38,7 @@ def deadline(events: DataFrame, gw: int) -> DataFrame:
 def overview(standings: DataFrame, user: int, remaining: int) -> DataFrame:
     """One row: managers, the totals of leader, median, mean and last, and the user's place and total."""
     mine = standings.where(F.col("entry") == user).agg(F.max("rank").alias("user_rank"), F.max("total").alias("user_total"))
-    facts = standings.agg(F.count("*").alias("managers"), F.max("total").alias("leader"), F.percentile("total", 0.5).alias("median"), F.avg("total").alias("mean"), F.min("total").alias("last"))
+    facts = standings.agg(F.count("*").alias("managers"), F.max("total").alias("leader"), F.lit(quantile(standings, "total", 0.5)).cast("double").alias("median"), F.avg("total").alias("mean"), F.min("total").alias("last"))
     return league.with_scalars(facts, mine).withColumn("remaining", F.lit(remaining))
 
 

@@ -407,13 +407,14 @@ def season_mean_baseline(s: Star) -> DataFrame:
 # ---------------------------------------------------------------- decisions and monitoring
 
 
-@query("""WITH v AS (SELECT player_id, min(position) AS position, min_by(price, gw) AS price, coalesce(avg(ep) FILTER (WHERE gw = 1), 0) AS a, coalesce(avg(ep) FILTER (WHERE gw = 2), 0) AS b, coalesce(avg(ep) FILTER (WHERE gw = 3), 0) AS c,
-    coalesce(avg(ep) FILTER (WHERE gw = 4), 0) AS d, sum(ep) AS total FROM {projections} GROUP BY player_id),
-    k AS (SELECT * FROM v AS i WHERE NOT EXISTS (SELECT 1 FROM v AS j WHERE j.position = i.position AND j.player_id <> i.player_id AND j.price <= i.price AND j.a >= i.a AND j.b >= i.b AND j.c >= i.c AND j.d >= i.d
-    AND (j.price < i.price OR j.a > i.a OR j.b > i.b OR j.c > i.c OR j.d > i.d))), n AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY total DESC, player_id) AS r FROM k)
-    SELECT player_id, position, price, round(total, 4) AS total FROM n WHERE r <= 20""")
+@query("""WITH v AS (SELECT season, player_id, min(position) AS position, min_by(price, gw) AS price, coalesce(avg(ep) FILTER (WHERE gw = 1), 0) AS a, coalesce(avg(ep) FILTER (WHERE gw = 2), 0) AS b, coalesce(avg(ep) FILTER (WHERE gw = 3), 0) AS c,
+    coalesce(avg(ep) FILTER (WHERE gw = 4), 0) AS d, sum(ep) AS total FROM {outlook} GROUP BY season, player_id),
+    k AS (SELECT * FROM v AS i WHERE NOT EXISTS (SELECT 1 FROM v AS j WHERE j.season = i.season AND j.position = i.position AND j.player_id <> i.player_id AND j.price <= i.price AND j.a >= i.a AND j.b >= i.b AND j.c >= i.c AND j.d >= i.d
+    AND (j.price < i.price OR j.a > i.a OR j.b > i.b OR j.c > i.c OR j.d > i.d))), n AS (SELECT *, row_number() OVER (PARTITION BY season, position ORDER BY total DESC, player_id) AS r FROM k)
+    SELECT season, player_id, position, price, round(total, 4) AS total FROM n WHERE r <= 20""")
 def dominance_pool(s: Star) -> DataFrame:
-    return state.candidate_pool(s.projections, 20, weeks=[1, 2, 3, 4]).select("player_id", "position", "price", F.round("total", 4).alias("total"))
+    """Each season's pool over a horizon of four gameweeks."""
+    return state.candidate_pool(s.outlook, 20, weeks=[1, 2, 3, 4], by=("season",)).select("season", "player_id", "position", "price", F.round("total", 4).alias("total"))
 
 
 @query("""WITH RECURSIVE w AS (SELECT entry, made, chip, row_number() OVER (PARTITION BY entry ORDER BY gw) AS r FROM {weeks}), f AS (SELECT entry, r, 1 AS free FROM w WHERE r = 1 UNION ALL
@@ -465,4 +466,4 @@ def movers(s: Star) -> DataFrame:
     return monitor.movers(frame, 40.0).select("event_id", "player_id", F.round("proj_pct_today", 4).alias("pct"), "direction")
 
 
-from . import more_queries as _more, source_queries as _sources, squad_queries as _squads  # noqa: E402,F401  register the rest
+from . import engine_queries as _engine, more_queries as _more, source_queries as _sources, squad_queries as _squads  # noqa: E402,F401  register the rest

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.order import ranked
+from ..storage import hadoop, scratch
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The user among the managers, and the gameweek (year) that single-week queries look at.
 USER, GW = 1, 1997
@@ -18,8 +17,8 @@ VIEWS = {
     "line": """SELECT o_custkey AS entry, CAST(year(o_orderdate) AS INT) AS season, CAST(month(o_orderdate) AS INT) AS gw, o_orderdate AS kickoff_time,
         l_orderkey AS fixture, l_partkey AS element, l_suppkey AS team, l_linenumber AS ln, CAST(l_quantity AS INT) AS q, CAST(round(l_discount * 100) AS INT) AS d,
         CAST(round(l_tax * 100) AS INT) AS t, l_extendedprice AS price, l_shipdate AS shipped FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
-    "standings": """SELECT entry, total, CAST(rank() OVER (ORDER BY total DESC, entry) AS INT) AS rank FROM (SELECT o_custkey AS entry,
-        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total FROM {orders} GROUP BY o_custkey) AS s""",
+    "totals": "SELECT o_custkey AS entry, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total FROM {orders} GROUP BY o_custkey",
+    "standings": "SELECT entry, total, CAST(rank() OVER (ORDER BY total DESC, entry) AS INT) AS rank FROM {totals}",
     "picks": """SELECT entry, season AS gw, element, min(ln) AS slot, max(CASE WHEN ln = 1 THEN 2 WHEN ln <= 5 THEN 1 ELSE 0 END) AS multiplier,
         max(ln = 1) AS is_captain, max(ln = 2) AND NOT max(ln = 1) AS is_vice_captain FROM {line} GROUP BY entry, season, element""",
     "live": """SELECT season AS gw, element, CAST(sum(q) % 15 AS INT) AS points, CAST(sum(q) * 7 % 95 AS INT) AS minutes FROM {line} GROUP BY season, element""",
@@ -41,20 +40,16 @@ VIEWS = {
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "prices": """SELECT CAST(ts AS DATE) AS day, user_id AS player_id, event_id, ts, CAST(round(value * 100) AS INT) AS now_cost, value - 50.0 AS proj_pct_today, event_type FROM {events}""",
     "projections": """SELECT element AS player_id, gw, element % 4 + 1 AS position, min(value) AS price, CAST(sum(minutes) % 97 AS DOUBLE) / 10 AS ep FROM {history} WHERE season = 1997 AND gw <= 4 GROUP BY element, gw""",
+    "outlook": """SELECT season, element AS player_id, gw, element % 4 + 1 AS position, min(value) AS price, CAST(sum(minutes) % 97 AS DOUBLE) / 10 AS ep FROM {history} WHERE gw <= 4 GROUP BY season, element, gw""",
     "weeks": """SELECT entry, gw, CAST(count(DISTINCT element) % 4 AS INT) AS made, CASE WHEN sum(multiplier) % 9 = 0 THEN 'wildcard' ELSE NULL END AS chip FROM {picks} GROUP BY entry, gw""",
 }
 
 
 #: Views that several operators of a query read, or several queries: they are derived once and stored.
-STORED = ("line", "standings", "picks", "live", "manager_gw", "auto_subs", "history")
+STORED = ("line", "totals", "standings", "picks", "live", "manager_gw", "auto_subs", "history")
 _tables: dict[tuple, str] = {}
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def _base_tables(name: str) -> list[str]:
     return [name] if name in TABLES else sorted({t for n in _needs(VIEWS[name]) for t in _base_tables(n)})
 
@@ -63,31 +58,11 @@ def _stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     """Path, size and time of every file that the view is derived from: a changed table gets new views."""
     out = []
     for t in _base_tables(name):
-        fs, p = _hadoop(spark, f"{sf_dir}/{t}.parquet")
+        fs, p = hadoop(spark, f"{sf_dir}/{t}.parquet")
         out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
     return tuple(sorted(out))
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        fs, p = _hadoop(spark, path)
-        fs.delete(p, True)
-    except Exception:  # the JVM may be gone when the interpreter exits
-        pass
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder that all executors share, under spark.checkpoint.dir where that is set; deleted when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
 def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir, name))
     if key not in _tables:
@@ -108,7 +83,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _stored(spark, sf_dir, name) if name in STORED else derived(spark, sf_dir, name)
 
 
+#: Views whose rank is that of a view by columns (True: falling): the SQL is the oracle's, Spark ranks without one window over all rows.
+RANKED = {"standings": ("totals", {"total": True, "entry": False})}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in RANKED:
+        of, order = RANKED[name]
+        out = ranked(view(spark, sf_dir, of), order)
+        return out.withColumn("rank", out["rank"].cast("int"))
     text = VIEWS[name]
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
 

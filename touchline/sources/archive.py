@@ -51,7 +51,7 @@ def normalise_season(raw: DataFrame, season: str, lookup: DataFrame | None = Non
         "gw": whole("gw") if "gw" in has else whole("round_num") if "round_num" in has else null.cast("bigint"),
     })
     if lookup is not None:
-        extra = F.broadcast(lookup.select(F.col("element").cast("bigint").alias("element"), "position_lookup", "team_lookup"))
+        extra = lookup.select(F.col("element").cast("bigint").alias("element"), "position_lookup", "team_lookup")
         df = df.join(extra, "element", "left").withColumns({c: F.coalesce(F.col(c) if c in has else null, f"{c}_lookup") for c in ("position", "team")}).drop("position_lookup", "team_lookup")
     out = {}
     for c in CANONICAL:

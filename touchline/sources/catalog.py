@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, NullType, StructType
 
 ROOT_SETTING = "spark.touchline.root"
@@ -53,6 +53,17 @@ class Catalog:
         storable(df).write.mode("overwrite").parquet(path)
         return path
 
+    def replace(self, df: DataFrame, name: str, by: str, **counts) -> dict[str, int]:
+        """Write df in place of those partitions (values of the column `by`) that it has rows of; the others keep their files.
+
+        counts are aggregates of df that are observed while it is written, so that no second job reads it.
+        """
+        seen = Observation()
+        if counts:
+            df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
+        storable(df).repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path_for(name))
+        return seen.get if counts else {}
+
     def load(self, name: str) -> DataFrame:
         if not self.exists(name):
             raise FileNotFoundError(f"no table {name!r} under {self.root}")

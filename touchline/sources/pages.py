@@ -7,7 +7,8 @@ import json
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import udtf
 
 #: What pages of a challenge instead of content say in their first 4000 characters.
 CHALLENGE = ("just a moment", "cf-challenge", "challenge-platform", "cf_chl_opt", "enable javascript and cookies", "attention required")
@@ -90,3 +91,47 @@ def page_tables(html: str) -> list[tuple[list[str], list[list[str]]]]:
     if not out:
         raise ValueError("the page has no tables")
     return out
+
+
+_ELEMENT = re.compile(r"""<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>|<h([1-6])[^>]*>(.*?)</h\3>""", re.DOTALL)
+_TAG = re.compile(r"<[^>]*>")
+
+
+@udtf(returnType="kind string, place int, target string, text string", useArrow=True)
+class PageElements:
+    """(kind, place, target, text): a row for each link (with its target) and heading (h1 to h6) of a page, numbered by kind; tags inside are left out of the text. Null: no rows."""
+
+    def eval(self, html: str):
+        seen = {"link": 0, "heading": 0}
+        for target, link, level, heading in _ELEMENT.findall(html or ""):
+            kind = "heading" if level else "link"
+            seen[kind] += 1
+            yield kind, seen[kind], f"h{level}" if level else target, _TAG.sub("", heading if level else link)
+
+
+@udtf(returnType="number int, place int, cells array<string>", useArrow=True)
+class PageTables:
+    """(number, place, cells): the rows of a page's tables, hidden ones too; place 0 has the columns. A page without tables gives no rows."""
+
+    def eval(self, html: str):
+        try:
+            tables = page_tables(html or "")
+        except ValueError:
+            return
+        for number, (columns, body) in enumerate(tables, 1):
+            for place, cells in enumerate([columns, *body]):
+                yield number, place, list(cells)
+
+
+def table_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, number, place, cells) of all tables of all pages, by a lateral join."""
+    spark = pages.sparkSession
+    spark.udtf.register("page_tables", PageTables)
+    return spark.sql(f"SELECT p.`{key}`, t.* FROM {{pages}} AS p, LATERAL page_tables(p.`{html}`) AS t", pages=pages)
+
+
+def page_elements(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, kind, place, target, text) of all elements of all pages, by a lateral join."""
+    spark = pages.sparkSession
+    spark.udtf.register("page_elements", PageElements)
+    return spark.sql(f"SELECT p.`{key}`, e.* FROM {{pages}} AS p, LATERAL page_elements(p.`{html}`) AS e", pages=pages)

@@ -38,6 +38,12 @@ HISTORY = (
 TRANSFERS = "entry int, event int, element_in int, element_in_cost int, element_out int, element_out_cost int, time string"
 STANDINGS = "standings struct<has_next boolean, results array<struct<entry int, entry_name string, player_name string, rank int, total int>>>"
 PLAYERS_PROVIDER = ("games", "time", "goals", "xG", "assists", "xA", "shots", "key_passes", "yellow_cards", "red_cards", "npg", "npxG", "xGChain", "xGBuildup")
+_SIDE = "struct<id: string, title: string, short_title: string>"
+_BOTH = "struct<h: string, a: string>"
+PROVIDER = (
+    f"players array<struct<id: string, player_name: string, team_title: string, position: string, {', '.join(f'{c}: string' for c in PLAYERS_PROVIDER)}>>, "
+    f"dates array<struct<id: string, isResult: boolean, h: {_SIDE}, a: {_SIDE}, goals: {_BOTH}, xG: {_BOTH}, datetime: string>>"
+)
 _SHOT = (
     "id string, season string, match_id string, date string, minute string, player_id string, player string, h_a string, h_team string, a_team string, h_goals string, a_goals string, "
     "result string, X string, Y string, xG string, situation string, shotType string, lastAction string, player_assisted string"
