@@ -58,10 +58,11 @@ class Catalog:
 
         counts are aggregates of df that are observed while it is written, so that no second job reads it.
         """
-        seen = Observation()
+        seen, rows = Observation(), storable(df).repartition(by)
         if counts:
-            df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
-        storable(df).repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path_for(name))
+            # Last of all, where no rewrite of an empty input drops it.
+            rows = rows.observe(seen, *[c.alias(k) for k, c in counts.items()])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path_for(name))
         return seen.get if counts else {}
 
     def load(self, name: str) -> DataFrame:
