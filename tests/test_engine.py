@@ -183,3 +183,23 @@ def test_history_provider_and_page_jobs(spark, tmp_path):
     jobs = {"pages": lambda: 1 / 0, "history": lambda: refresh.load_history(store, landed)}
     done, code = refresh.run_jobs(jobs, frozenset({"pages"}))
     assert code == 0 and done["history"] == "ok"
+
+
+def test_fit_in_steps_equals_the_local_fit(spark):
+    import pandas as pd
+
+    from touchline.operators import strength
+
+    rng = np.random.default_rng(3)
+    teams = [f"t{i}" for i in range(8)]
+    rows = [(f"202{s}", dt.date(2020 + s, 1, 1) + dt.timedelta(days=7 * k), h, a, int(rng.poisson(1.6)), int(rng.poisson(1.1)))
+            for s in range(3) for k, (h, a) in enumerate((h, a) for h in teams[s : s + 6] for a in teams[s : s + 6] if h != a)]
+    df = spark.createDataFrame(rows, "season string, date date, home_team string, away_team string, home_goals int, away_goals int")
+    as_of = pd.Timestamp("2023-06-01")
+    want = strength.fit(df, as_of, 250.0)
+    got, left = strength.fit_in_steps(df, as_of, 250.0)
+    assert got.converged and got.promoted == want.promoted and got.n_matches == want.n_matches and got.defaults == pytest.approx(want.defaults)
+    assert got.attack == pytest.approx(want.attack, abs=1e-4) and got.concede == pytest.approx(want.concede, abs=1e-4)
+    assert (got.home_adv, got.base, got.rho) == pytest.approx((want.home_adv, want.base, want.rho), abs=2e-4)
+    assert left[["attack", "concede"]].abs().to_numpy().max() < 1e-3
+    assert strength.fit_in_steps(df.where("false"), as_of, 250.0)[0].attack == {}

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..storage import stored
 from .matches import decay_weight, effective_sample_sizes
 
 MAX_LOG_RATE, TAU_FLOOR, RHO_BOUNDS = 4.0, 1e-8, (-0.2, 0.2)
@@ -241,6 +242,92 @@ def fit(matches: DataFrame, as_of: pd.Timestamp, half_life: float, **how) -> Mod
     return fit_matches(table, as_of, half_life, prior=prior, promoted=promoted, **how)
 
 
+def team_seasons(table: DataFrame) -> DataFrame:
+    """(season, team, gf, ga, n, weight) of tallies."""
+    side = lambda own, other: table.select("season", F.col(f"{own}_team").alias("team"), F.col(f"{own}_goals").alias("gf"), F.col(f"{other}_goals").alias("ga"), "n", "weight")
+    both = side("home", "away").unionByName(side("away", "home"))
+    return both.groupBy("season", "team").agg(F.sum(F.col("gf") * F.col("n")).alias("gf"), F.sum(F.col("ga") * F.col("n")).alias("ga"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+
+
+def pair_sums(table: DataFrame, ratings: DataFrame, home_adv: float, base: float, rho: float) -> DataFrame:
+    """For each pair of sides what a step of the fit needs of tallies: sums of the derivatives by the log rates and rho, of their curvatures, and of the log-likelihood."""
+    rows = with_rates(table, ratings, home_adv, base)
+    x, y, lh, la, w, r = F.col("home_goals"), F.col("away_goals"), F.col("lambda_home"), F.col("lambda_away"), F.col("weight"), F.lit(rho)
+    t = F.greatest(tau(x, y, lh, la, r), F.lit(TAU_FLOOR))
+    low = lambda both, home, away, one: F.when((x == 0) & (y == 0), both).when((x == 0) & (y == 1), home).when((x == 1) & (y == 0), away).when((x == 1) & (y == 1), one).otherwise(0.0)
+    zero = F.lit(0.0)
+    by_home, by_away, by_rho = low(-la * r, r, zero, zero) * lh / t, low(-lh * r, zero, r, zero) * la / t, low(-lh * la, lh, la, F.lit(-1.0)) / t
+    value = -(x * F.ln(lh) - lh + y * F.ln(la) - la + F.ln(t))
+    parts = {"dh": lh - x - by_home, "da": la - y - by_away, "dr": -by_rho, "hh": lh, "ha": la, "hr": by_rho * by_rho, "value": value}
+    return rows.groupBy("home_team", "away_team").agg(*[F.sum(w * c).alias(k) for k, c in parts.items()])
+
+
+def fit_in_steps(matches: DataFrame, as_of: pd.Timestamp, half_life: float, *, shrink: float = 8.0, steps: int = 100, tolerance: float = 1e-7) -> tuple[Model, pd.DataFrame]:
+    """The fit of fit() as iterated normal equations, and the gradient left at its end as (team, attack, concede).
+
+    Each step is one aggregation of tallies() in Spark, by pairs of sides; the driver holds the effects
+    and the sums of the pairs, from which it puts the normal equations together: squares of clubs, however many matches or seasons
+    there are. A step that does not lower the penalised likelihood is halved. rho is held
+    within RHO_BOUNDS.
+    """
+    spark = matches.sparkSession
+    table = stored(tallies(matches, as_of, half_life), "tallies")
+    sums = team_seasons(table).toPandas()
+    teams = sorted(set(sums["team"]))
+    prior, promoted = _priors_of(sums) if len(sums) else ((0.0, 0.0), frozenset())
+    n, at = len(teams), {t: i for i, t in enumerate(teams)}
+    eff = sums.groupby("team")["weight"].sum().reindex(teams).to_numpy(float)
+    ridge, means = shrink / (eff + 1.0), np.array([[prior[k] if t in promoted else 0.0 for t in teams] for k in (0, 1)]).reshape(2 * n)
+    ridge = np.concatenate([ridge, ridge])
+    goals, met = (sums["gf"] + sums["ga"]).sum() / 2, sums["n"].sum() / 2
+    theta = np.concatenate([means, [0.25, -0.05, np.log(max(goals / (2 * max(met, 1.0)), 0.3))]])
+
+    def evaluated(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        ratings = spark.createDataFrame([(t, float(x[i]), float(x[n + i])) for i, t in enumerate(teams)], "team string, attack double, concede double")
+        p = pair_sums(table, ratings, float(x[2 * n]), float(x[2 * n + 2]), float(x[2 * n + 1])).toPandas()
+        h, a = p["home_team"].map(at).to_numpy(int), p["away_team"].map(at).to_numpy(int)
+        # What the home side's and the away side's log rate are sums of.
+        home, away = np.zeros((len(p), 2 * n + 3)), np.zeros((len(p), 2 * n + 3))
+        each = np.arange(len(p))
+        for m, attack, concede in ((home, h, a), (away, a, h)):
+            m[each, attack] += 1
+            m[each, n + concede] += 1
+            m[:, 2 * n + 2] = 1
+        home[:, 2 * n] = 1
+        grad = home.T @ p["dh"].to_numpy() + away.T @ p["da"].to_numpy()
+        curve = home.T @ (home * p["hh"].to_numpy()[:, None]) + away.T @ (away * p["ha"].to_numpy()[:, None])
+        off = x[: 2 * n] - means
+        grad[: 2 * n] += 2 * ridge * off
+        curve[np.arange(2 * n), np.arange(2 * n)] += 2 * ridge
+        grad[2 * n + 1], curve[2 * n + 1, 2 * n + 1] = p["dr"].sum(), max(p["hr"].sum(), 1e-9)
+        return float(p["value"].sum() + (ridge * off**2).sum()), grad, curve
+
+    value, grad, curve = evaluated(theta)
+    done = not n
+    for _ in range(steps if n else 0):
+        rho = theta[2 * n + 1]
+        free = np.ones(len(theta), bool)
+        free[2 * n + 1] = not (rho <= RHO_BOUNDS[0] and grad[2 * n + 1] > 0 or rho >= RHO_BOUNDS[1] and grad[2 * n + 1] < 0)
+        done = np.abs(grad[free]).max() <= tolerance * max(1.0, abs(value))
+        if done:
+            break
+        step = np.zeros(len(theta))
+        step[free] = -np.linalg.solve(curve[np.ix_(free, free)], grad[free])
+        for _ in range(30):
+            new = theta + step
+            new[2 * n + 1] = np.clip(new[2 * n + 1], *RHO_BOUNDS)
+            found = evaluated(new)
+            if found[0] <= value:
+                break
+            step /= 2
+        else:
+            break
+        theta, (value, grad, curve) = new, found
+    effects = {t: float(theta[i]) for t, i in at.items()}, {t: float(theta[n + i]) for t, i in at.items()}
+    model = Model(*effects, float(theta[2 * n]), float(theta[2 * n + 2]), float(theta[2 * n + 1]), prior, {}, dict(zip(teams, eff.tolist())), promoted, bool(done), int(met))
+    return model, pd.DataFrame({"team": teams, "attack": grad[:n], "concede": grad[n : 2 * n]})
+
+
 def _local_priors(train: pd.DataFrame) -> tuple[tuple[float, float], frozenset[str]]:
     """(promoted sides' mean effects, teams promoted into the last season) of tallies, the last season's own promotions not among the former; as promoted_prior() has them."""
     if train.empty:
@@ -249,7 +336,11 @@ def _local_priors(train: pd.DataFrame) -> tuple[tuple[float, float], frozenset[s
         train.rename(columns={f"{a}_team": "team", f"{a}_goals": "gf", f"{b}_goals": "ga"})[["season", "team", "gf", "ga", "n"]] for a, b in (("home", "away"), ("away", "home"))
     ])
     rows[["gf", "ga"]] = rows[["gf", "ga"]].mul(rows["n"], axis=0)
-    sums = rows.groupby(["season", "team"])[["gf", "ga", "n"]].sum().reset_index()
+    return _priors_of(rows.groupby(["season", "team"])[["gf", "ga", "n"]].sum().reset_index())
+
+
+def _priors_of(sums: pd.DataFrame) -> tuple[tuple[float, float], frozenset[str]]:
+    """_local_priors() of the goals for and against and the matches (gf, ga, n) of each season and team."""
     seasons = sorted(sums["season"].unique())
     teams = {s: set(sums.loc[sums["season"] == s, "team"]) for s in seasons}
     new = {s: teams[s] - teams[p] for p, s in zip(seasons, seasons[1:])}
@@ -327,4 +418,4 @@ def pairwise_effects(matches: DataFrame, half_life: float, *, at_least: int = 6,
     return {"pairs": ranked, "base": base, "extended": more, "delta": delta, "verdict": "kept" if delta > 0.002 else "not supported"}
 
 
-__all__ = ["Model", "effective_sample_sizes", "fit", "fit_matches", "pairwise_effects", "poisson", "rating_table", "score_matrix", "tau", "walk_forward", "with_rates"]
+__all__ = ["Model", "effective_sample_sizes", "fit", "fit_in_steps", "fit_matches", "pairwise_effects", "poisson", "rating_table", "score_matrix", "tau", "walk_forward", "with_rates"]

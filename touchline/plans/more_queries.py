@@ -10,7 +10,7 @@ from ..functions import names
 from ..operators import optimise, rates, simulate, state, strength
 from ..sources import pages
 from ..streaming import windows
-from .registry import Star, _matches, query
+from .registry import MATCHES, Star, _matches, query
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -104,10 +104,20 @@ def simulate_points(s: Star) -> DataFrame:
 @query()
 def strength_fit(s: Star) -> DataFrame:
     table = _matches(s)
-    model = strength.fit(table, pd.Timestamp("2002-01-01"), 250.0)
+    model, _ = strength.fit_in_steps(table, pd.Timestamp("2002-01-01"), 250.0)
     return strength.rating_table(model.ratings(s.spark), model.home_adv, model.base)
 
 
+@query(f"""WITH {MATCHES}, t AS (SELECT home_team AS team FROM m UNION ALL SELECT away_team FROM m) SELECT team, count(*) AS matches, 0.0::DOUBLE AS attack, 0.0::DOUBLE AS concede FROM t GROUP BY team""")
+def strength_gradient(s: Star) -> DataFrame:
+    """What is left of the gradient at each side's fitted effects, to two places: nothing."""
+    table = _matches(s)
+    _, left = strength.fit_in_steps(table, pd.Timestamp("2002-01-01"), 250.0)
+    sides = table.select(F.explode(F.array("home_team", "away_team")).alias("team")).groupBy("team").agg(F.count("*").alias("matches"))
+    rest = s.spark.createDataFrame(left.assign(attack=left["attack"].abs(), concede=left["concede"].abs()))
+    return sides.join(rest, "team").select("team", "matches", F.round("attack", 2).alias("attack"), F.round("concede", 2).alias("concede"))
+
+
 @query()
 def half_life(s: Star) -> DataFrame:
     return strength.walk_forward(_matches(s))
