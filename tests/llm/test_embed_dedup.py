@@ -66,8 +66,23 @@ def test_passes_follow_the_size():
     for n in (0, 1, 1_000, 10**5, 10**7, 10**9):
         window, passes = passes_for(n, 0.9)
         k = max(0, np.ceil(np.log2(max(n, 1) / window)))
-        assert 1 - (1 - p**k) ** passes >= 0.999 and (n > window or passes == 1)
-    assert passes_for(1_000, 0.9)[1] == 1 < passes_for(10**5, 0.9)[1] < passes_for(10**7, 0.9)[1]
+        assert 1 - (1 - p**k) ** passes >= 0.999 and (n > window or passes == 1) and window <= max(64, n // 4)
+    assert 1 < passes_for(1_000, 0.9)[1] < passes_for(10**5, 0.9)[1] < passes_for(10**7, 0.9)[1]
+
+
+@pytest.mark.parametrize("n", (500, 2_000, 8_000))
+def test_passes_find_what_all_pairs_do(spark, n):
+    """Groups at cosines from 0.85 to 0.95 among random rows, by windows much shorter than the table."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
+    for g in range(n // 20):
+        own = slice(10 * g, 10 * g + 5)
+        x[own] = x[10 * g] + rng.uniform(0.2, 0.5) * x[own]
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = brute(rows)
+    assert np.mean([got[i] == want[i] for i in want if want[i][0]]) >= 0.99 and sum(k > 0 for k, _ in want.values()) > n // 20
+    assert all(got[i] == (0, i) for i in want if not want[i][0])
 
 
 def test_passes_meet_what_is_promised():
