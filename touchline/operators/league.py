@@ -98,14 +98,17 @@ def effective_multipliers(picks: DataFrame, auto_subs: DataFrame, live: DataFram
     Only in final gameweeks: substituted elements count 0 and their
     substitutes 1; then, if the captain did not play and the vice did, a
     multiple captain counts 1 and the vice takes the captain's multiplier.
+    picks may carry points and minutes of their element already (with_live);
+    then points are kept, and tables that lie by manager meet where they are.
+    The gameweeks of final are broadcast: the calendar bounds their number.
     """
+    carried = {"points", "minutes"} <= set(picks.columns)
     keys = ["entry", "gw"]
-    subs = auto_subs.select(*keys, F.explode(F.array(
-        F.struct(F.col("element_out").alias("element"), F.lit(0).alias("sub")), F.struct(F.col("element_in").alias("element"), F.lit(1).alias("sub")),
-    )).alias("s")).groupBy(*keys, F.col("s.element").alias("element")).agg(F.max("s.sub").alias("sub"))
+    # The few of one manager's gameweek, so that tables meet by manager and gameweek alone.
+    subs = auto_subs.groupBy(*keys).agg(F.collect_set("element_out").alias("outs"), F.collect_set("element_in").alias("ins"))
     settled = (
-        picks.join(subs, [*keys, "element"], "left").join(live.select("gw", "element", "minutes"), ["gw", "element"], "left")
-        .join(final.select("gw", F.lit(True).alias("is_final")), "gw", "left").withColumn("minutes", F.coalesce("minutes", F.lit(0)))
+        (picks if carried else with_live(picks, live)).join(subs, keys, "left")
+        .join(F.broadcast(final.select("gw").distinct().withColumn("is_final", F.lit(True))), "gw", "left").withColumn("minutes", F.coalesce("minutes", F.lit(0)))
         .withColumn("is_final", F.coalesce("is_final", F.lit(False)))
     )
     own = W.partitionBy(*keys)
@@ -113,24 +116,30 @@ def effective_multipliers(picks: DataFrame, auto_subs: DataFrame, live: DataFram
     vice_in = F.max(F.when(F.col("is_vice_captain"), F.col("minutes") > 0)).over(own)
     captain_mult = F.max(F.when(F.col("is_captain"), F.col("multiplier"))).over(own)
     falls = F.col("is_final") & F.coalesce(captain_out & vice_in, F.lit(False))
-    subbed = F.when(F.col("is_final"), F.coalesce("sub", "multiplier")).otherwise(F.col("multiplier"))
+    among = lambda c: F.col("is_final") & F.array_contains(c, F.col("element"))
+    subbed = F.when(among("ins"), 1).when(among("outs"), 0).otherwise(F.col("multiplier"))
     out = (
         F.when(falls & F.col("is_vice_captain"), captain_mult)
         .when(falls & F.col("is_captain") & (subbed > 1), 1)
         .otherwise(subbed)
     )
-    return settled.select(*keys, "element", out.cast("int").alias("multiplier"))
+    return settled.select(*keys, "element", out.cast("int").alias("multiplier"), *["points"] * carried)
+
+
+def with_live(picks: DataFrame, live: DataFrame) -> DataFrame:
+    """picks with the points and minutes of their element, null where it has none."""
+    return picks.join(live.select("gw", "element", "points", "minutes"), ["gw", "element"], "left")
 
 
 def gameweek_scores(multipliers: DataFrame, live: DataFrame) -> DataFrame:
-    """(entry, gw, score) from settled multipliers."""
-    scored = multipliers.join(live.select("gw", "element", "points"), ["gw", "element"], "left")
+    """(entry, gw, score) from settled multipliers, which may carry points already."""
+    scored = multipliers if "points" in multipliers.columns else multipliers.join(live.select("gw", "element", "points"), ["gw", "element"], "left")
     return scored.groupBy("entry", "gw").agg(F.sum(F.col("multiplier") * F.coalesce("points", F.lit(0))).alias("score"))
 
 
 def verify_totals(standings: DataFrame, scores: DataFrame, manager_gw: DataFrame) -> DataFrame:
-    """(entry, total, calc, delta): standings against recomputed scores less transfer hits of scored gameweeks."""
-    hits = manager_gw.join(scores.select("gw").distinct(), "gw", "left_semi").groupBy("entry").agg(F.sum("hits").alias("hits"))
+    """(entry, total, calc, delta): standings against recomputed scores less transfer hits of scored gameweeks, which the calendar bounds."""
+    hits = manager_gw.join(F.broadcast(scores.select("gw").distinct()), "gw", "left_semi").groupBy("entry").agg(F.sum("hits").alias("hits"))
     calc = scores.groupBy("entry").agg(F.sum("score").alias("score"))
     return standings.join(calc, "entry", "left").join(hits, "entry", "left").select(
         "entry", "total", (F.coalesce("score", F.lit(0)) - F.coalesce("hits", F.lit(0))).alias("calc")
@@ -146,7 +155,7 @@ def player_swings(multipliers: DataFrame, live: DataFrame, weights: DataFrame, s
     Per gameweek (user's multiplier - field's mean multiplier) * points,
     summed; one aggregation by (element, gameweek), whose rows the sum by element meets.
     """
-    rows = multipliers.join(weights, "entry", "left")
+    rows = multipliers.drop("points").join(weights, "entry", "left")
     per_gw = rows.groupBy("element", "gw").agg(
         F.sum(F.when(F.col("entry") == user, F.col("multiplier")).otherwise(0)).alias("mine"),
         F.sum("multiplier").alias("field"), F.sum(F.col("multiplier") * F.coalesce("weight", F.lit(0.0))).alias("w_field"),

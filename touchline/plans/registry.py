@@ -81,7 +81,7 @@ SETTLED = """settled AS (SELECT p.entry, p.gw, p.element, p.is_captain, p.is_vic
 
 
 def _settled(s: Star) -> DataFrame:
-    return league.effective_multipliers(s.picks, s.auto_subs, s.live, s.live.select("gw").distinct())
+    return league.effective_multipliers(s.settled_picks, s.auto_subs, s.live, s.live.select("gw").distinct())
 
 
 @query(f"WITH {SETTLED} SELECT entry, m.gw, CAST(sum(multiplier * coalesce(points, 0)) AS BIGINT) AS score FROM mult AS m LEFT JOIN {{live}} AS l ON m.gw = l.gw AND m.element = l.element GROUP BY entry, m.gw")

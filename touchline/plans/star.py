@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.order import ranked
-from ..storage import hadoop, scratch
+from ..storage import bucketed, hadoop, scratch
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The user among the managers, and the gameweek (year) that single-week queries look at.
@@ -22,6 +22,7 @@ VIEWS = {
     "picks": """SELECT entry, season AS gw, element, min(ln) AS slot, max(CASE WHEN ln = 1 THEN 2 WHEN ln <= 5 THEN 1 ELSE 0 END) AS multiplier,
         max(ln = 1) AS is_captain, max(ln = 2) AND NOT max(ln = 1) AS is_vice_captain FROM {line} GROUP BY entry, season, element""",
     "live": """SELECT season AS gw, element, CAST(sum(q) % 15 AS INT) AS points, CAST(sum(q) * 7 % 95 AS INT) AS minutes FROM {line} GROUP BY season, element""",
+    "settled_picks": """SELECT p.entry, p.gw, p.element, slot, multiplier, is_captain, is_vice_captain, points, minutes FROM {picks} AS p LEFT JOIN {live} AS l ON p.gw = l.gw AND p.element = l.element""",
     "manager_gw": """SELECT o_custkey AS entry, CAST(year(o_orderdate) AS INT) AS gw, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) % 120 AS INT) AS points,
         CAST(count(*) % 4 * 4 AS INT) AS hits FROM {orders} GROUP BY o_custkey, CAST(year(o_orderdate) AS INT)""",
     "auto_subs": """SELECT p.entry, p.gw, min(CASE WHEN p.multiplier >= 1 AND l.minutes = 0 THEN p.element END) AS element_out,
@@ -46,7 +47,11 @@ VIEWS = {
 
 
 #: Views that several operators of a query read, or several queries: they are derived once and stored.
-STORED = ("line", "totals", "standings", "picks", "live", "manager_gw", "auto_subs", "history")
+STORED = ("line", "totals", "standings", "picks", "settled_picks", "live", "manager_gw", "auto_subs", "history")
+#: Those of managers lie in buckets by manager and gameweek, so that they meet without an exchange; a squad is what one pair can hold.
+BY_KEYS = {n: ("entry", "gw") for n in ("picks", "settled_picks", "manager_gw", "auto_subs")} | {n: ("entry",) for n in ("totals", "standings")}
+#: Bytes of orders to a bucket, and the fewest buckets.
+BUCKET_BYTES, BUCKETS = 16 << 20, 8
 _tables: dict[tuple, str] = {}
 
 
@@ -63,8 +68,17 @@ def _stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     return tuple(sorted(out))
 
 
+def _buckets(spark: SparkSession, sf_dir: str) -> int:
+    """One number for all views of a folder, by the size of the orders, which each of them is derived from."""
+    return max(BUCKETS, sum(size for _, size, _ in _stamp(spark, sf_dir, "orders")) // BUCKET_BYTES)
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir, name))
+    if name in BY_KEYS:
+        if key not in _tables:
+            _tables[key] = bucketed(derived(spark, sf_dir, name), f"star-{name}", BY_KEYS[name], _buckets(spark, sf_dir))
+        return spark.table(_tables[key])
     if key not in _tables:
         path = scratch(spark, f"star-{name}")
         derived(spark, sf_dir, name).write.parquet(path)

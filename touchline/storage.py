@@ -35,6 +35,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, what: str, keys: tuple[str, ...], buckets: int) -> str:
+    """The name of a table that df is written to in so many buckets by keys, a file each: tables of as many buckets by the same keys join by them, and aggregate by them and more, where they lie."""
+    spark, name = df.sparkSession, f"{what.replace('-', '_')}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys)
+    rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch(spark, what)).saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return name
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # as in forget
+        pass
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once and read back: plans that use it several times, or after an executor is lost, do not derive it anew."""
     path = scratch(df.sparkSession, what)
