@@ -77,5 +77,9 @@ def by_position(table: dict[int, int], position: Column) -> Column:
 
 def checked(position: Column) -> Column:
     """The position, or an error where it is not 1 to 4."""
-    bad = F.raise_error(F.concat(F.lit("unknown position "), F.coalesce(position.cast("string"), F.lit("null"))))
-    return F.when(position.isin(*POSITIONS), position.cast("int")).otherwise(bad.cast("int"))
+    return F.when(position.isin(*POSITIONS), position.cast("int")).otherwise(F.raise_error(position_error(position)).cast("int"))
+
+
+def position_error(position: Column) -> Column:
+    """What is wrong with a position, null where nothing is."""
+    return F.when(~F.coalesce(position.isin(*POSITIONS), F.lit(False)), F.concat(F.lit("unknown position "), F.coalesce(position.cast("string"), F.lit("null"))))

@@ -115,3 +115,9 @@ def estimate_minutes(
     ).withColumn("p_start", F.least("__start", "p_play")).withColumn("p_sub", F.greatest(F.lit(0.0), F.col("p_play") - F.col("p_start")))
     exp = F.col("p_start") * F.col("minutes_if_started") + F.col("p_sub") * F.col("minutes_if_sub")
     return out.withColumn("exp_minutes", exp).drop("__start")
+
+
+def numeric_teams(df: DataFrame, column: str = "team") -> DataFrame:
+    """df with clubs as numbers if every one of them is a whole number, else as they are."""
+    named = df.where(F.col(column).isNotNull() & F.col(column).cast("string").try_cast("bigint").isNull())
+    return df.withColumn(column, F.col(column).cast("bigint")) if named.isEmpty() else df

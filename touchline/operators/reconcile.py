@@ -30,3 +30,13 @@ def reconcile_bonus(scores: DataFrame, published: DataFrame) -> DataFrame:
     given = published.select("fixture", "element", F.col("bonus").alias("given"))
     both = allocate_bonus(scores).join(given, ["fixture", "element"], "left").withColumn("given", F.coalesce("given", F.lit(0)))
     return both.groupBy("fixture").agg(F.count("*").alias("players"), F.bool_and(F.col("bonus") == F.col("given")).alias("agrees"))
+
+
+def reconcile_rosters(elements: DataFrame) -> DataFrame:
+    """Per fixture: players and whether allocated bonus is the published one, over whole rosters of live documents.
+
+    elements: id, minutes, bps and explain (a list of fixtures with their bonus). Fixture
+    statistics leave out who scored 0; here everyone with minutes stands in each of their fixtures.
+    """
+    rows = elements.where("minutes > 0").select(F.col("id").alias("element"), "bps", F.explode("explain").alias("x")).select("x.fixture", "element", "bps", F.col("x.bonus").alias("given"))
+    return allocate_bonus(rows).groupBy("fixture").agg(F.count("*").alias("players"), F.bool_and(F.col("bonus") == F.coalesce("given", F.lit(0))).alias("agrees"))

@@ -94,6 +94,16 @@ def recommended_lambda(points_behind: float, remaining: int, base: float = 0.15,
     return base if points_behind <= 0 else min(base + scale * urgency(points_behind, remaining), base + 1.0)
 
 
+def urgency_of(behind: Column, remaining: Column) -> Column:
+    """urgency() of columns."""
+    return F.when(remaining > 0, behind / F.nullif(remaining, F.lit(0))).when(behind > 0, float("inf")).otherwise(0.0)
+
+
+def appetite_of(behind: Column, remaining: Column, base: float = 0.15, scale: float = 0.08) -> Column:
+    """recommended_lambda() of columns."""
+    return F.when(behind <= 0, base).otherwise(F.least(base + scale * urgency_of(behind, remaining), F.lit(base + 1.0)))
+
+
 def plain_objective(projections: DataFrame, out: str = "objective_score") -> DataFrame:
     return projections.withColumn(out, F.col("ep"))
 

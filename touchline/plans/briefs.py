@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import league
 from ..operators.order import quantile
@@ -35,6 +35,12 @@ def deadline(events: DataFrame, gw: int) -> DataFrame:
     return events.where(F.col("id") == gw).agg(F.min(F.try_to_timestamp("deadline_time")).alias("deadline"))
 
 
+def countdown(seconds: Column) -> Column:
+    """report.countdown() of a column of whole seconds."""
+    part = lambda size, of=None: F.floor((seconds % of if of else seconds) / size).cast("string")
+    return F.when(seconds <= 0, "passed").when(seconds >= 86400, F.concat(part(86400), F.lit("d "), part(3600, 86400), F.lit("h"))).otherwise(F.concat(part(3600), F.lit("h "), part(60, 3600), F.lit("m")))
+
+
 def overview(standings: DataFrame, user: int, remaining: int) -> DataFrame:
     """One row: managers, the totals of leader, median, mean and last, and the user's place and total."""
     mine = standings.where(F.col("entry") == user).agg(F.max("rank").alias("user_rank"), F.max("total").alias("user_total"))

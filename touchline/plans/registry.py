@@ -466,4 +466,4 @@ def movers(s: Star) -> DataFrame:
     return monitor.movers(frame, 40.0).select("event_id", "player_id", F.round("proj_pct_today", 4).alias("pct"), "direction")
 
 
-from . import engine_queries as _engine, more_queries as _more, source_queries as _sources, squad_queries as _squads  # noqa: E402,F401  register the rest
+from . import check_queries as _checks, engine_queries as _engine, more_queries as _more, source_queries as _sources, squad_queries as _squads  # noqa: E402,F401  register the rest

@@ -167,6 +167,15 @@ def gameweeks_played(events: DataFrame) -> DataFrame:
     return events.where(flag("finished") | flag("data_checked") | flag("is_current")).select(F.col("id").alias("gw")).distinct().orderBy("gw")
 
 
+def event_marks(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Per keys (a season, of which the calendar bounds the gameweeks): current, next, and the finished gameweeks in order, those whose data are checked and all."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("id"))))
+    return events.groupBy(*keys).agg(
+        F.min(F.when(flag("is_current"), F.col("id"))).alias("current"), F.min(F.when(flag("is_next"), F.col("id"))).alias("next"), ids(flag("finished") & flag("data_checked")).alias("finished"), ids(flag("finished")).alias("finished_unchecked")
+    )
+
+
 def marked_event(events: DataFrame, mark: str) -> int | None:
     """The id of the first event with is_current or is_next."""
     row = events.where(mark).agg(F.min("id").alias("id")).first()
