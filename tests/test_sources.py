@@ -136,3 +136,14 @@ def test_paged_standings(tmp_path):
     page = [{"standings": {"has_next": True, "results": [{"entry": 1}]}}, {"standings": {"has_next": False, "results": [{"entry": 2}]}}]
     client = fetch.Client(str(tmp_path), spacing=0.0, transport=lambda *a: (200, json.dumps(page.pop(0)).encode(), {}))
     assert [r["entry"] for r in fetch.GameApi(client, "http://example.test").all_standings(5)] == [1, 2]
+
+
+def test_a_table_is_found_while_it_is_replaced(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    path = catalog.save(spark.range(3), "a/t")
+    # A writer lost between the renames: only what was set aside is there, beside an older leftover.
+    (tmp_path / "a" / "t.parquet").rename(tmp_path / "a" / "t.parquet.old-20")
+    spark.range(9).write.parquet(f"{path}.old-7")
+    assert catalog.exists("a/t") and catalog.load("a/t").count() == 3 and catalog.names() == ["a/t"] and catalog.age_days("a/t") < 1
+    catalog.save(spark.range(5), "a/t")
+    assert catalog.load("a/t").count() == 5 and not catalog.exists("a/other")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -61,7 +63,7 @@ def stream_window(s: Star) -> DataFrame:
     stream = s.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{s.sf_dir}/events.parquet*")
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.tumbling(timed, "1 day", ["event_type"], late="2 hours", n=F.count("*"), total=F.sum("value"))
-    return windows.drain(out, f"stream_window_{abs(hash(s.sf_dir)) % 10**9}").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return windows.drain(out, f"stream_window_{zlib.crc32(s.sf_dir.encode())}").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scoring
 from ..operators import backtest, league, matches, minutes, monitor, optimise, rates, simulate, state
-from . import briefs
+from . import briefs, projection
 from .registry import CONTENTION, GW, LINES, SETTLED, STATUS, SWINGS, USER, Star, _matches, _settled, _weights, query, r4
 from .registry import MATCHES, PRIORS
 
@@ -248,6 +248,35 @@ def blended_rates(s: Star) -> DataFrame:
     return rates.posterior_rates(players, priors, edges, provider).select("player_id", *[F.round(f"{c}_p90", 6).alias(f"{c}_p90") for c in rates.STATS])
 
 
+#: What a projection is given before it draws. Seasons are 25 years later, so that the archive has defensive actions from 2000 on; rates look six seasons back, cards four.
+INPUT_PRIORS = PRIORS.replace("(stat = 'saves') GROUP", "(stat = 'saves') AND season >= CASE WHEN stat IN ('goals_scored', 'assists', 'saves') THEN 1996 ELSE 2000 END GROUP")
+INPUT_MINUTES = (ESTIMATES % (
+    FALLBACK, "CASE WHEN games IS NULL THEN pr.pp ELSE games / (games + 6.0) * po + (1 - games / (games + 6.0)) * pr.pp END", "CASE WHEN games IS NULL THEN pr.ps ELSE games / (games + 6.0) * so + (1 - games / (games + 6.0)) * pr.ps END"
+)).replace("gw <= 6", "gw <= 2").replace("gw > 6", "gw > 2").replace("season = 2000", "season = 2001")
+SO_FAR = {"goals_scored": 5, "assists": 4, "clearances_blocks_interceptions": 30, "tackles": 20, "recoveries": 25, "saves": 15}
+
+
+@query(f"""SELECT t.player_id, t.position, p_play, p_start, exp_minutes, {", ".join(f"{c}_p90" for c in SO_FAR)}, yellow_p90, red_p90, own_goal_p90 FROM ({INPUT_MINUTES}) AS t JOIN (WITH {INPUT_PRIORS},
+    ev AS (SELECT p_partkey AS player_id, p_partkey % 4 + 1 AS position, 40 + p_partkey % 90 AS price, p_partkey % 200 AS minutes, unnest([{", ".join(f"'{c}'" for c in SO_FAR)}]) AS stat, unnest([{", ".join(f"p_partkey % {n}" for n in SO_FAR.values())}]) AS e FROM part),
+    k AS (SELECT ev.*, CASE WHEN price >= e2 THEN 2 WHEN price >= e1 THEN 1 ELSE 0 END AS tier FROM ev JOIN edges USING (position)),
+    f AS (SELECT player_id, k.stat, CASE WHEN (k.position = 1) = (k.stat = 'saves') THEN (n0 * mu + e) / (n0 + minutes / 90.0) ELSE 0.0 END AS rate FROM k LEFT JOIN priors AS p ON k.position = p.position AND k.tier = p.tier AND k.stat = p.stat)
+    SELECT player_id, {", ".join(f"round(max(rate) FILTER (WHERE stat = '{c}'), 6) AS {c}_p90" for c in SO_FAR)} FROM f GROUP BY player_id) AS r ON t.player_id = r.player_id
+    LEFT JOIN (SELECT position, round(sum(yellow_cards) / (sum(minutes) / 90.0), 6) AS yellow_p90, round(sum(red_cards) / (sum(minutes) / 90.0), 6) AS red_p90, round(sum(own_goals) / (sum(minutes) / 90.0), 6) AS own_goal_p90 FROM {{history}} WHERE minutes > 0 AND season >= 1998 GROUP BY 1) AS c ON t.position = c.position""")
+def player_inputs(s: Star) -> DataFrame:
+    """Minutes, rates and cards of every player, joined as a projection takes them."""
+    key, shirt = F.col("p_partkey"), lambda c: F.concat(F.lit("Player-"), (F.col(c) % 700).cast("string"))
+    label = F.element_at(F.array(*map(F.lit, ("GK", "DEF", "MID", "FWD"))), (F.col("element") % 4 + 1).cast("int"))
+    season = F.concat((F.col("season") + 25).cast("string"), F.lit("-"), F.lpad(((F.col("season") + 26) % 100).cast("string"), 2, "0"))
+    history = s.history.withColumns({"season": season, "name": shirt("element"), "position": label})
+    elements = s.part.select(
+        key.alias("id"), shirt("p_partkey").alias("full_name"), (key % 4 + 1).alias("element_type"), F.col("p_brand").alias("team"), (40 + key % 90).alias("now_cost"), F.lit("a").alias("status"), F.lit(None).cast("int").alias("chance_of_playing_next_round"),
+        (key % 200).alias("minutes"), *[(key % n).alias(c) for c, n in SO_FAR.items()],
+    )
+    out = projection.player_table(elements, s.history.where("season = 2001 and gw <= 2"), history, 2)
+    six = ["p_play", "p_start", *[f"{c}_p90" for c in SO_FAR], "yellow_p90", "red_p90", "own_goal_p90"]
+    return out.select("player_id", "position", F.round("exp_minutes", 4).alias("exp_minutes"), *[F.round(c, 6).alias(c) for c in six])
+
+
 @query("SELECT id, row_id FROM (SELECT c_custkey AS id, p_partkey AS row_id, row_number() OVER (PARTITION BY c_custkey ORDER BY p_partkey) AS r FROM customer JOIN part ON c_custkey % 900 = p_partkey % 900 AND c_custkey % 7 = p_partkey % 7 WHERE p_partkey % 4 <> 0) AS x WHERE r = 1")
 def provider_match(s: Star) -> DataFrame:
     """Rows of a provider whose club is a list, of a player who moved, match nobody."""

@@ -31,8 +31,9 @@ class Catalog:
     def save(self, df: DataFrame, name: str) -> str:
         """Write under a name of its own, then rename.
 
-        A failed write leaves the old table. Between the two renames there is
-        none for a moment; the old one can then be found beside it as NAME.parquet.old-TIME.
+        A failed write leaves the old table. Between the two renames, or
+        where a writer was lost there, the old one stands beside it as
+        NAME.parquet.old-TIME, which readers then take.
         """
         path = self.path_for(name)
         fresh, old = f"{path}.new-{time.time_ns()}", f"{path}.old-{time.time_ns()}"
@@ -43,7 +44,8 @@ class Catalog:
             fs.rename(target, jpath(old))
         if not fs.rename(jpath(fresh), target):
             raise OSError(f"could not put {path} in place")
-        fs.delete(jpath(old), True)
+        for s in fs.globStatus(jpath(f"{path}.old-*")) or []:
+            fs.delete(s.getPath(), True)
         return path
 
     def append(self, df: DataFrame, name: str, **part: str) -> str:
@@ -68,16 +70,24 @@ class Catalog:
     def load(self, name: str) -> DataFrame:
         if not self.exists(name):
             raise FileNotFoundError(f"no table {name!r} under {self.root}")
-        return self.spark.read.parquet(self.path_for(name))
+        return self.spark.read.parquet(self._current(name))
+
+    def _current(self, name: str) -> str | None:
+        """Where the table lies: in its place, or set aside by a save that is not done."""
+        path = self.path_for(name)
+        fs, p = self._fs(path)
+        if fs.exists(p):
+            return path
+        aside = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*")) or []
+        return max((s.getPath().toString() for s in aside), key=lambda a: int(a.rsplit("-", 1)[1]), default=None)
 
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(self.path_for(name))
-        return fs.exists(p)
+        return self._current(name) is not None
 
     def age_days(self, name: str) -> float | None:
         if not self.exists(name):
             return None
-        fs, p = self._fs(self.path_for(name))
+        fs, p = self._fs(self._current(name))
         return max(0.0, time.time() - fs.getFileStatus(p).getModificationTime() / 1000.0) / 86400.0
 
     def names(self) -> list[str]:
@@ -89,11 +99,11 @@ class Catalog:
             at, prefix = todo.pop()
             for s in fs.listStatus(at):
                 leaf = s.getPath().getName()
-                if leaf.endswith(".parquet"):
-                    found.append(prefix + leaf.removesuffix(".parquet"))
+                if leaf.endswith(".parquet") or ".parquet.old-" in leaf:
+                    found.append(prefix + leaf.partition(".parquet")[0])
                 elif s.isDirectory() and ".parquet." not in leaf:
                     todo.append((s.getPath(), f"{prefix}{leaf}/"))
-        return sorted(found)
+        return sorted(set(found))
 
     def describe(self) -> list[tuple[str, int, int]]:
         """(name, rows, columns) of every table."""
