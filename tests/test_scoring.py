@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import reconcile
 from touchline.functions import rules as R, scoring
 from touchline.operators.bonus import allocate_bonus, bonus_from_fixture_stats
 from touchline.operators.reconcile import reconcile_bonus, reconcile_points
@@ -96,3 +97,12 @@ def test_reconciliation(spark):
     published = spark.createDataFrame([(0, "minutes", 2, 0)], "n int, identifier string, points int, points_modification int")
     row = reconcile_points(df, published, ["n"]).first()
     assert (row.engine, row.published, row.agrees) == (2, 2, True)
+
+
+def test_lines_that_one_side_lacks(spark):
+    rows = spark.createDataFrame([(1, 3, 90, 1), (2, 3, 90, 0), (3, 3, 0, 2)], "fixture long, position int, minutes int, goals_scored int")
+    lines = [(1, "minutes", 2, None), (1, "goals_scored", 5, None), (1, "clean_sheets", 1, 0), (2, "minutes", 1, 1), (2, "assists", 3, None), (4, "minutes", 2, None), (4, "luck", 0, None), (5, "luck", 1, -1), (6, "luck", 1, 0)]
+    published = spark.createDataFrame(lines, "fixture long, identifier string, points int, points_modification int")
+    got = {r.fixture: (r.engine, r.published, r.agrees) for r in reconcile.reconcile_points(rows, published, ["fixture"]).collect()}
+    # Fixture 3 has no line on either side; a name that the rules lack agrees if it is worth nothing.
+    assert got == {1: (8, 8, True), 2: (3, 5, False), 4: (0, 2, False), 5: (0, 0, True), 6: (0, 1, False)}

@@ -80,6 +80,22 @@ def points(stats: Mapping[str, Column], position: Column, *, include_bonus: bool
     return _total(_point_terms(stats, R.checked(position), include_bonus), _whole(stats, "minutes"))
 
 
+def term_sums(rows: DataFrame, keys: list[str], position: str = "position", *, include_bonus: bool = True) -> tuple[DataFrame, list[str]]:
+    """(keys, and for each term n_<name>, lines that are not 0, and s_<name>, their points), and the names: one aggregation of columns, whatever the number of lines."""
+    terms = _point_terms(stat_columns(rows), R.checked(F.col(position)), include_bonus)
+    plays = _whole(stat_columns(rows), "minutes") > 0
+    flat = rows.select(*keys, *[F.when(plays, points).otherwise(0).cast("int").alias(f"__{name}") for name, _, points in terms])
+    names = [name for name, _, _ in terms]
+    return flat.groupBy(*keys).agg(*[x for n in names for x in (F.sum(f"__{n}").alias(f"s_{n}"), F.count_if(F.col(f"__{n}") != 0).alias(f"n_{n}"))]), names
+
+
+def line_totals(rows: DataFrame, keys: list[str], position: str = "position", *, include_bonus: bool = True) -> DataFrame:
+    """(keys, identifier, lines, points): the lines of point_lines() by name, how many and their sum; names without a line have no row."""
+    sums, names = term_sums(rows, keys, position, include_bonus=include_bonus)
+    every = F.array(*[F.struct(F.lit(n).alias("identifier"), F.col(f"n_{n}").alias("lines"), F.col(f"s_{n}").alias("points")) for n in names])
+    return sums.select(*keys, F.explode(every).alias("l")).select(*keys, "l.*").where("lines > 0")
+
+
 def gameweek_points(matches: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
     """Points over several matches: scored match by match (the rules start anew in each), then summed."""
     return matches.withColumn("__p", points(stat_columns(matches), F.col(position))).groupBy(*keys).agg(F.sum("__p").alias("points"))

@@ -17,12 +17,21 @@ def rebuilt_points(explain: DataFrame, live: DataFrame) -> DataFrame:
 def reconcile_points(stat_lines: DataFrame, published: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
     """Per row of keys: engine and published totals, and whether both and every line (identifier, points) agree.
 
-    The lines of both sides meet in one full outer join; a line that one side lacks counts as 0.
+    Lines are summed as columns by keys on either side, before anything is shuffled. A line that
+    one side lacks counts as 0; a published line of a name that the rules do not know agrees only if it is worth nothing.
     """
-    lines = stat_lines.select(*keys, F.explode(scoring.point_lines(scoring.stat_columns(stat_lines), F.col(position))).alias("l")).groupBy(*keys, F.col("l.identifier").alias("identifier")).agg(F.sum("l.points").alias("mine"))
-    theirs = published.groupBy(*keys, "identifier").agg(F.sum(F.col("points") + F.coalesce("points_modification", F.lit(0))).alias("theirs"))
-    both = lines.join(theirs, [*keys, "identifier"], "full_outer").na.fill(0, ["mine", "theirs"])
-    return both.groupBy(*keys).agg(F.sum("mine").alias("engine"), F.sum("theirs").alias("published"), F.bool_and(F.col("mine") == F.col("theirs")).alias("agrees"))
+    mine, names = scoring.term_sums(stat_lines, keys, position)
+    known, worth = F.coalesce(F.col("identifier").isin(names), F.lit(False)), F.col("points") + F.coalesce("points_modification", F.lit(0))
+    theirs = published.select(*keys, "identifier", worth.cast("bigint").alias("__p")).groupBy(*keys).agg(
+        F.sum("__p").alias("published"), F.coalesce(F.bool_and(known | (F.col("__p") == 0)), F.lit(True)).alias("__known"), *[F.sum(F.when(F.col("identifier") == n, F.col("__p"))).alias(f"t_{n}") for n in names]
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    shown = F.exists(F.array(*[F.col(f"n_{n}") for n in names]), lambda n: n > 0) | F.col("published").isNotNull()
+    total, same = F.lit(0).cast("bigint"), F.coalesce("__known", F.lit(True))
+    for n in names:
+        total, same = total + zero(f"s_{n}"), same & (zero(f"s_{n}") == zero(f"t_{n}"))
+    both = mine.join(theirs, keys, "full_outer").where(shown)
+    return both.select(*keys, total.alias("engine"), zero("published").alias("published"), same.alias("agrees"))
 
 
 def reconcile_bonus(scores: DataFrame, published: DataFrame) -> DataFrame:

@@ -191,15 +191,16 @@ def bonus_allocation(s: Star) -> DataFrame:
     return bonus.allocate_bonus(s.line, bps="q").groupBy("bonus").agg(F.count("*").alias("players"))
 
 
-LINES = """scored AS (SELECT *, CASE WHEN minutes > 0 THEN 1 ELSE 0 END AS plays, CASE position WHEN 1 THEN 10 WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 4 END AS g, CASE position WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS cs,
-    clearances_blocks_interceptions + tackles + CASE WHEN position = 2 THEN 0 ELSE recoveries END AS dc FROM {stats}),
-    l AS (SELECT fixture, 'minutes' AS identifier, plays * CASE WHEN minutes >= 60 THEN 2 ELSE 1 END AS points FROM scored
-    UNION ALL SELECT fixture, 'goals_scored', plays * goals_scored * g FROM scored UNION ALL SELECT fixture, 'assists', plays * assists * 3 FROM scored
-    UNION ALL SELECT fixture, 'clean_sheets', plays * CASE WHEN minutes >= 60 AND goals_conceded = 0 THEN cs ELSE 0 END FROM scored
-    UNION ALL SELECT fixture, 'goals_conceded', -plays * CASE WHEN position <= 2 THEN goals_conceded // 2 ELSE 0 END FROM scored UNION ALL SELECT fixture, 'saves', plays * (saves // 3) FROM scored
-    UNION ALL SELECT fixture, 'penalties_saved', plays * penalties_saved * 5 FROM scored UNION ALL SELECT fixture, 'penalties_missed', -plays * penalties_missed * 2 FROM scored
-    UNION ALL SELECT fixture, 'own_goals', -plays * own_goals * 2 FROM scored UNION ALL SELECT fixture, 'yellow_cards', -plays * yellow_cards FROM scored UNION ALL SELECT fixture, 'red_cards', -plays * red_cards * 3 FROM scored
-    UNION ALL SELECT fixture, 'defensive_contribution', plays * CASE WHEN position = 2 AND dc >= 10 OR position > 2 AND dc >= 12 THEN 2 ELSE 0 END FROM scored UNION ALL SELECT fixture, 'bonus', plays * bonus FROM scored)"""
+SCORED = """scored AS (SELECT *, CASE WHEN minutes > 0 THEN 1 ELSE 0 END AS plays, CASE position WHEN 1 THEN 10 WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 4 END AS g, CASE position WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS cs,
+    clearances_blocks_interceptions + tackles + CASE WHEN position = 2 THEN 0 ELSE recoveries END AS dc FROM {stats})"""
+#: The points of a row's lines in plain SQL.
+WORTH = {
+    "minutes": "plays * CASE WHEN minutes >= 60 THEN 2 ELSE 1 END", "goals_scored": "plays * goals_scored * g", "assists": "plays * assists * 3", "clean_sheets": "plays * CASE WHEN minutes >= 60 AND goals_conceded = 0 THEN cs ELSE 0 END",
+    "goals_conceded": "-plays * CASE WHEN position <= 2 THEN goals_conceded // 2 ELSE 0 END", "saves": "plays * (saves // 3)", "penalties_saved": "plays * penalties_saved * 5", "penalties_missed": "-plays * penalties_missed * 2",
+    "own_goals": "-plays * own_goals * 2", "yellow_cards": "-plays * yellow_cards", "red_cards": "-plays * red_cards * 3",
+    "defensive_contribution": "plays * CASE WHEN position = 2 AND dc >= 10 OR position > 2 AND dc >= 12 THEN 2 ELSE 0 END", "bonus": "plays * bonus",
+}
+LINES = SCORED + ", l AS (" + " UNION ALL ".join(f"SELECT fixture, '{name}' AS identifier, {worth} AS points FROM scored" for name, worth in WORTH.items()) + ")"
 
 
 @query(f"WITH {LINES} SELECT fixture, CAST(sum(points) AS BIGINT) AS points FROM l GROUP BY fixture")
@@ -209,8 +210,7 @@ def points_score(s: Star) -> DataFrame:
 
 @query(f"WITH {LINES} SELECT identifier, count(*) AS lines, CAST(sum(points) AS BIGINT) AS points FROM l WHERE points <> 0 GROUP BY identifier")
 def points_lines(s: Star) -> DataFrame:
-    lines = s.stats.select(F.explode(scoring.point_lines(scoring.stat_columns(s.stats), F.col("position"))).alias("l"))
-    return lines.groupBy("l.identifier").agg(F.count("*").alias("lines"), F.sum("l.points").alias("points"))
+    return scoring.line_totals(s.stats, [])
 
 
 @query("""SELECT fixture, CAST(sum(CASE WHEN minutes > 0 THEN CASE WHEN minutes >= 60 THEN 6 ELSE 3 END + goals_scored * CASE position WHEN 3 THEN 18 WHEN 4 THEN 24 ELSE 12 END + assists * 9
@@ -228,8 +228,10 @@ PUBLISHED = f"""{LINES}, published AS (SELECT fixture, identifier, points, CASE
     SELECT fixture, CAST(sum(mine) AS BIGINT) AS engine, CAST(sum(theirs) AS BIGINT) AS published, bool_and(mine = theirs) AS agrees FROM b GROUP BY fixture""")
 def points_reconcile(s: Star) -> DataFrame:
     """Against lines that the rules' plain SQL publishes, one point modified for each playing row of every eleventh fixture."""
-    text = f"WITH {PUBLISHED} SELECT * FROM published".replace("//", "div")
-    published = s.spark.sql(text, stats=s.stats)
+    worth = ", ".join(f"'{name}', CAST({sql.replace('//', 'div')} AS INT)" for name, sql in WORTH.items())
+    lines = s.spark.sql(f"WITH {SCORED} SELECT fixture, stack({len(WORTH)}, {worth}) AS (identifier, points) FROM scored", stats=s.stats)
+    late = F.when((F.col("fixture") % 11 == 0) & (F.col("identifier") == "minutes"), 1).otherwise(0)
+    published = lines.where("points <> 0").withColumn("points_modification", late)
     return reconcile.reconcile_points(s.stats, published, ["fixture"])
 
 
