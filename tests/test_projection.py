@@ -78,5 +78,9 @@ def test_commands(spark, tmp_path, capsys):
     assert run("refresh") == 0
     for command, mark in (("tables", "game/elements"), ("movers", "rise"), ("risks", "injured"), ("reconcile", "yes"), ("brief", "<html>")):
         assert run(command) == 0 and mark in capsys.readouterr().out, command
+    assert run("brief", "--entry", "8") == 0
+    page = capsys.readouterr().out
+    # The squad that was picked, the fixtures of the gameweeks asked for, and when the first one closes.
+    assert "2026-08-21 17:30:00" in page and page.count("<td>ARS</td>") >= 1 and "<h2>Fixtures</h2><table>" in page and "<h2>Squad</h2><table>" in page
     assert run("league", "--entry", "8") == 0 and "125.00" not in capsys.readouterr().out
     assert Catalog(spark, root).exists("prices/history")

@@ -72,7 +72,17 @@ def main(argv: list[str] | None = None) -> int:
         })
     elif a.command == "brief":
         panel = lambda name, f: f(store.load(name)) if store.exists(name) else None
+        as_text = lambda df, c: df.withColumn(c, P.F.col(c).cast("string"))
+        coming = lambda df: df.where(P.F.col("event").isin(*gws)) if gws else df
+        squad = None
+        if a.entry and glob.glob(f"{a.landed}/picks-{a.entry}-*.json") and store.exists("game/elements"):
+            held = P.league_tables(P.read_json(spark, f"{a.landed}/picks-{a.entry}-*.json", P.PICKS), P.read_json(spark, f"{a.landed}/history-*.json", P.HISTORY), P.read_json(spark, f"{a.landed}/standings.json", P.STANDINGS))["picks"]
+            last = held.where(P.F.col("entry") == a.entry).agg(P.F.max("gw").alias("gw")).first()["gw"]
+            squad = briefs.squad_rows(held, store.load("game/elements"), store.load("game/teams"), a.entry, last)
         text = report.html_report("Brief", {
+            "Deadline": panel("game/events", lambda df: briefs.deadline(as_text(df, "deadline_time"), min(gws)) if gws else None),
+            "Squad": squad,
+            "Fixtures": panel("game/fixtures", lambda df: briefs.fixture_rows(as_text(coming(df), "kickoff_time"), store.load("game/teams"))),
             "Price movers": panel("prices/history", lambda df: monitor.movers(monitor.latest_snapshot(df)).select("web_name", "now_cost", "proj_pct_today", "direction")),
             "Risks": panel("game/elements", lambda df: monitor.scan_risks(df.withColumn("team", P.F.col("team_short")), len(gws)).select("severity", "web_name", "team", "kind", "detail").limit(20)),
             "Projections": panel(store.newest("projections") or "projections/none", lambda df: df.orderBy(P.F.desc("ep"), "player_id").limit(25)),
