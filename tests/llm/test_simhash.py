@@ -39,7 +39,9 @@ def components(fps):
     return [find(i) for i in range(len(fps))]
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("paired", [2, simhash.PAIRED, 10_000])
+def test_links_lose_nothing(spark, paired):
+    """Whether lists are tallied by pairs or go by places."""
     rng = random.Random(7)
     fps = set()
     for _ in range(25):
@@ -51,7 +53,10 @@ def test_links_lose_nothing(spark):
     fps |= {(1 << 63) | x for x in range(512)}  # a list of hundreds that share seven bytes
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    longest = simhash.postings(nodes).groupBy("list", "free").count().agg(F.max("count")).first()[0]
+    assert longest >= 512 and simhash.postings(nodes).count() == 6 * len(fps)
+    edges = simhash.links(nodes, paired=paired)
     assert all(bin((r.a ^ r.b) % 2**64).count("1") <= 2 for r in edges.collect())
     found = {r.node: r.component for r in connected_components(edges).collect()}
     root = components(fps)
@@ -62,6 +67,17 @@ def test_links_lose_nothing(spark):
     assert found == want
 
 
+def test_the_tally_rejects(spark):
+    """Two that share a list but only four or five byte positions, and two that share six but differ in three bits, are no pair."""
+    fps = [0, 0x0101, 0x01010101, 0x010101, 0x0300000000000000, 0x0700000000000000]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    want = {(x, y) for x, y in itertools.combinations(sorted(fps), 2) if bin(x ^ y).count("1") <= 2}
+    assert got == want and (0, 0x010101) not in got
+    tally = {(x, y): sum((x >> 8 * i & 255) == (y >> 8 * i & 255) for i in range(8)) for x, y in itertools.combinations(fps, 2)}
+    pairs = spark.createDataFrame([(*k, v) for k, v in tally.items()], "a long, b long, n int")
+    assert pairs.where(simhash.shared_bytes(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(1)
     names = rng.sample(range(10**9), 300)

@@ -14,6 +14,8 @@ from .common import connected_components, materialise, quoted, shared_dir
 
 #: Shingles hashed at a time, that a very long text needs no more memory.
 BLOCK = 1 << 16
+#: Fingerprints of a list up to which each two of it are tallied; longer lists go by places of one turned bit.
+PAIRED = 16
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -53,48 +55,54 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return tally
 
 
-def postings(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """The index: (list, free, fp), a row for each fingerprint and each choice of the 8 - max_bits byte positions that must agree.
+def postings(nodes: DataFrame) -> DataFrame:
+    """The index: (list, free, fp), a row for each fingerprint and each choice of two of the four pairs of neighbouring byte positions.
 
-    list is the bytes at the chosen positions, the others zero; free is a mask of the others.
+    list is the bytes at the chosen positions, the others zero; free is a mask of the other positions.
     """
     fp, kept = F.col("fp"), []
-    for others in combinations(range(8), max_bits):
-        mask = sum(0xFF << 8 * i for i in range(8) if i not in others)
+    for chosen in combinations(range(4), 2):
+        mask = sum(0xFFFF << 16 * i for i in chosen)
         own = F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
-        kept.append(F.struct(fp.bitwiseAND(own).alias("list"), F.lit(sum(1 << i for i in others)).alias("free")))
+        kept.append(F.struct(fp.bitwiseAND(own).alias("list"), F.lit(sum(3 << 2 * i for i in range(4) if i not in chosen)).alias("free")))
     return nodes.select(fp, F.explode(F.array(*kept)).alias("p")).select("p.list", "p.free", "fp")
 
 
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 2, paired: int = PAIRED) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints from nodes(fp) that link all at most max_bits apart, and no others.
 
-    At most max_bits bytes differ, so a pair agrees in at least
-    8 - max_bits byte positions. A list of one position holds one in 256 of all
-    fingerprints and would pair their square, so the index lists a fingerprint under each
-    choice of that guaranteed minimum of positions: two in a list have a tally of 6 shared
-    bytes at least, and a tally below it meets in none. The lists are only counted; a
-    fingerprint alone in all of its lists is out, and for the others is known
-    at which positions a partner may differ. At those, each is listed
-    again with every single bit turned: two differ in two bits or fewer exactly
-    if they meet there, and all who meet at a place are within two bits, so they are linked
-    to the least of the 65 at most. Every list costs its length, however long
-    it is, and every link is a pair of the result or a path of two. The tally of shared bytes and the
-    bits of each pair are checked once more before it is given.
+    Two bits lie in two bytes at most, so that a pair agrees in at least 6 of
+    the 8 byte positions and in two of their four pairs whole. A list of one
+    position holds one in 256 of all fingerprints and would pair their square; a list
+    of two pairs of positions holds one in 2**32 of evenly spread ones. Within a list of
+    at most paired fingerprints the shared positions of each two are tallied, those with
+    fewer than 6 are left out before they become rows, and the bits of the others are compared.
+
+    A longer list is not paired. Its members may differ from a partner in
+    the other positions only, and there each is listed again with every single bit
+    turned: two differ in two bits or fewer exactly if they meet at a place,
+    and all who meet at one are within two bits, so that they are linked to the least of
+    the 65 at most. So a list of any length costs a multiple of its length, and every link
+    is a pair of the result or a path of two. Tally and bits of these pairs are checked as well.
     """
     if max_bits != 2:
         raise ValueError("places of one turned bit are exact for two bits only")
-    fp, a, b = F.col("fp"), F.col("a"), F.col("b")
-    listed = postings(nodes, max_bits)
-    # Sums of counts and hashes tell who is alone: no list is gathered, and a long one is two partial sums a task.
-    shared = materialise(listed.groupBy("list", "free").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lists")
-    partners = listed.join(shared, ["list", "free"]).groupBy("fp").agg(F.bit_or("free").alias("free"))
+    fp, a, b, m = F.col("fp"), F.col("a"), F.col("b"), F.col("m")
+    close = lambda x, y: (shared_bytes(x, y) >= 8 - max_bits) & (F.bit_count(x.bitwiseXOR(y)) <= max_bits)
+    listed = postings(nodes)
+    # Lists are counted before any is gathered, so that none longer than paired ever is.
+    counts = materialise(listed.groupBy("list", "free").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    met = listed.join(counts, ["list", "free"])
+    short = met.where(F.col("n") <= paired).groupBy("list", "free").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    first = short.select("m", F.posexplode("m").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.filter(F.slice(m, F.col("i") + 2, paired), lambda y: close(a, y))).alias("b"))
     bit = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
+    members = met.where(F.col("n") > paired).groupBy("fp").agg(F.bit_or("free").alias("free"))
     turned = [F.when(F.col("free").bitwiseAND(F.lit(1 << i // 8)) != 0, fp.bitwiseXOR(bit(i))) for i in range(64)]
-    places = partners.select(fp, F.explode(F.array_compact(F.array(fp, *turned))).alias("place"))
-    met = places.groupBy("place").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
-    stars = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 64)).alias("b")).distinct()
-    return stars.where(shared_bytes(a, b) >= 8 - max_bits).where(F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+    places = members.select(fp, F.explode(F.array_compact(F.array(fp, *turned))).alias("place"))
+    there = places.groupBy("place").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
+    stars = there.select(m[0].alias("a"), F.explode(F.slice("m", 2, 64)).alias("b")).where(close(a, b))
+    return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(
