@@ -47,6 +47,25 @@ def test_viterbi_equals_all_paths():
         at += n
 
 
+@pytest.mark.parametrize("cells", [1, 7, 60, 1000])
+def test_blocks_give_the_same_path(cells):
+    rng = np.random.default_rng(5)
+    scores = -rng.gamma(1, 2, (50, 4)).astype(np.float32)
+    lengths = np.array([400, 90, 90, 31, 7, 1, 1])
+    index = rng.integers(0, 50, lengths.sum())
+    assert (langid.viterbi(scores, index, lengths, 2.5, cells) == langid.viterbi(scores, index, lengths, 2.5)).all()
+
+
+def test_a_text_longer_than_a_block(model, monkeypatch):
+    """More words times languages than are held at a time, with a change of language in the middle of a block."""
+    monkeypatch.setattr(langid, "CELLS", 1 << 16)
+    label = langid.Labeller(model, langid.SWITCH)
+    n = 3000
+    (lang, score, spans), (other, _, _) = label.label([f"{EN} " * 2 * n + f"{DE} " * n, RU])
+    assert lang == "en" and 0 <= score <= 1 and other == "ru"
+    assert spans == [("en", 0, 32 * n - 1), ("de", 32 * n, 47 * n - 1)]
+
+
 def test_every_label_is_learned(spark):
     """Rare labels too, and more than fit a byte."""
     rng = np.random.default_rng(1)

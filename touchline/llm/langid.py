@@ -40,6 +40,8 @@ UNKNOWN, LETTER = "und", r"\p{L}"
 REMEMBERED, GROUP_CHARS = 250_000, 3 << 20
 #: New words scored at a time.
 LEARNED = 1 << 14
+#: Back pointers and word scores (words times languages) in memory at a time.
+CELLS = 1 << 24
 
 
 def script_of(word: str) -> int:
@@ -136,39 +138,60 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return Model(languages, weights, letters >= np.maximum(SCRIPT_SHARE * letters.sum(0), 1e-9))
 
 
-def viterbi(scores: np.ndarray, index: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
-    """Best language of each word: word j has scores[index[j]]; documents lie one after the other with these lengths (none 0), longest first."""
+def viterbi(scores: np.ndarray, index: np.ndarray, lengths: np.ndarray, switch: float, cells: int = CELLS) -> np.ndarray:
+    """Best language of each word: word j has scores[index[j]]; documents lie one after the other with these lengths (none 0), longest first.
+
+    Back pointers are kept for about cells words times languages at a time. Where there
+    are more, the steps are cut into blocks: the scores at each block's start are kept, and the blocks
+    are run once more from the last to the first for their pointers. The path is the same.
+    """
     n_docs, n_lang = len(lengths), scores.shape[1]
     starts = np.cumsum(lengths) - lengths
     steps = int(lengths[0]) if n_docs else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # documents longer than step t
     kind = np.min_scalar_type(max(n_lang - 1, 0))
-    back = np.empty((len(index), n_lang), kind)
     own = np.arange(n_lang, dtype=kind)
-    v = np.zeros((n_docs, n_lang), np.float32)
     last = np.empty(n_docs, np.int64)
-    for t in range(steps):
-        a = active[t]
-        at = starts[:a] + t
-        if t:
+    path = np.empty(len(index), kind)
+    before = np.concatenate([[0], np.cumsum(active)])  # words in the steps before t
+    rows = max(1, cells // max(1, n_lang))
+    cuts = [0]
+    while cuts[-1] < steps:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(before, before[cuts[-1]] + rows, side="right")) - 1))
+
+    def forward(lo: int, hi: int, v: np.ndarray, back: np.ndarray | None) -> np.ndarray:
+        for t in range(lo, hi):
+            a = active[t]
+            at = starts[:a] + t
+            if not t:
+                v = scores[index[at]].copy()
+                continue
             if a < len(v):
                 last[a : len(v)] = v[a:].argmax(1)
                 v = v[:a]
             best = v.argmax(1)
             jump = v[np.arange(a), best] - np.float32(switch)
-            moved = jump[:, None] > v
-            back[at] = np.where(moved, best[:, None].astype(kind), own)
+            if back is not None:
+                back[before[t] - before[lo] : before[t + 1] - before[lo]] = np.where(jump[:, None] > v, best[:, None].astype(kind), own)
             v = np.maximum(v, jump[:, None]) + scores[index[at]]
-        else:
-            v = scores[index[at]].copy()
-    last[: len(v)] = v.argmax(1)
-    path = np.empty(len(index), kind)
-    for t in range(steps - 1, -1, -1):
-        a = active[t]
-        at = starts[:a] + t
-        path[at] = last[:a]
-        if t:
-            last[:a] = back[at, last[:a]]
+        return v
+
+    kept, v = [], np.zeros((n_docs, n_lang), np.float32)
+    for lo, hi in zip(cuts, cuts[1:-1]):
+        kept.append(v)
+        v = forward(lo, hi, v, None)
+    kept.append(v)
+    for k in range(len(cuts) - 2, -1, -1):
+        lo, hi = cuts[k], cuts[k + 1]
+        back = np.empty((before[hi] - before[lo], n_lang), kind)
+        v = forward(lo, hi, kept.pop(), back)
+        if hi == steps:
+            last[: len(v)] = v.argmax(1)
+        for t in range(hi - 1, lo - 1, -1):
+            a = active[t]
+            path[starts[:a] + t] = last[:a]
+            if t:
+                last[:a] = back[np.arange(a) + before[t] - before[lo], last[:a]]
     return path
 
 
@@ -212,7 +235,7 @@ class Labeller:
         get = self.at.__getitem__
         index = np.fromiter((i for d in order for i in map(get, words[d])), np.int64, int(lengths.sum()))
         del words
-        path = viterbi(self.scores, index, lengths[order], self.switch)
+        path = viterbi(self.scores, index, lengths[order], self.switch, CELLS)
         n_lang = self.scores.shape[1]
         ends = np.cumsum(lengths[order])
         doc = np.repeat(np.arange(len(order)), lengths[order])
@@ -223,7 +246,8 @@ class Labeller:
             if not letters:
                 continue
             lo, hi = ends[k] - lengths[d], ends[k]
-            total = self.scores[index[lo:hi]].sum(0, dtype=np.float64)
+            step = max(1, CELLS // max(1, n_lang))
+            total = sum(self.scores[index[x : min(x + step, hi)]].sum(0, dtype=np.float64) for x in range(lo, hi, step))
             best = int(share[k].argmax())
             sure = 1.0 / np.exp(np.clip(total - total[best], -700, 700)).sum()
             cuts = np.flatnonzero(np.diff(path[lo:hi])) + 1
@@ -240,7 +264,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch: f
     change labels spans; the language with most letters is the
     document's, its score that share times the probability of the language among all by all words.
     Null text, text without a letter (empty ones too), or a model without languages: und,
-    score 0, no spans. Ties go to the language that comes first by name. Repeated rows and null ids: labelled each. Very long texts are labelled whole.
+    score 0, no spans. Ties go to the language that comes first by name. Repeated rows and null ids: labelled each. Very long texts are labelled whole, their paths in blocks of words.
     Empty table: no rows. All other columns are carried, whatever their names. Nothing is shuffled; only one group of texts is held in memory.
     """
     spark = docs.sparkSession
