@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.llm import mixing
 from touchline.llm.mixing import mix, mixed, water_fill
 
 
@@ -80,3 +81,17 @@ def test_clashing_names(spark):
     out = mixed(df)
     assert out.columns == df.columns and sorted(set(map(str, out.collect()))) == sorted(str(r) for r in df.collect() if r.doc_id in {x.doc_id for x in out.select("doc_id").collect()})
     assert mix(df).where("reps > 0").count() == out.select("doc_id").distinct().count()
+
+
+def test_copies_are_numbered_alike_however_dealt(spark):
+    """Copies of one row get a place each, the same ones from any partitioning, and no task numbers more than a partition's."""
+    rows = spark.createDataFrame([(None, "one two", s) for s in ("a", None) for _ in range(300)] + [(1, "x", "a"), (1, "x", "b"), (2, "y", "a")], "doc_id long, text string, source string")
+    found = []
+    for n in (1, 7, 40):
+        own = rows.repartition(n).select(*mixing._rows(rows, "doc_id", "text", "source", 1))
+        again = mixing._repeats(own)
+        out = mixing._apart(own, again)
+        assert out.columns == own.columns and out.count() == 603
+        assert out.groupBy("__source").agg(F.count_distinct("__h").alias("n"), F.count("*").alias("m")).where("n <> m").count() == 0
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] == found[2]

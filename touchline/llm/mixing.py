@@ -61,14 +61,24 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
 
 def _apart(rows: DataFrame, repeats: DataFrame) -> DataFrame:
-    """rows, those of equal id and text numbered and each given a place of its own; the others are not shuffled."""
+    """rows, those of equal id and text numbered by source and each given a place of its own; the others are not shuffled.
+
+    Numbers count on from one input partition to the next, so that all copies
+    of one row are never in one task. They run without gaps, so that a source's
+    copies have the same places whenever and however dealt they are numbered.
+    """
     if repeats.isEmpty():
         return rows
-    marked = rows.join(repeats, F.col("__h") == F.col("__again"), "left")
-    # By source, that a source's copies have the same places whenever they are numbered.
-    copy = F.row_number().over(W.partitionBy("__again", "__source").orderBy("__again"))
-    many = marked.where("__again is not null").withColumn("__h", seeded_hash(0, F.col("__h"), copy))
-    return marked.where("__again is null").unionByName(many).drop("__again")
+    marked = rows.withColumn("__part", F.spark_partition_id()).join(repeats, F.col("__h") == F.col("__again"), "left")
+    key = ("__again", "__source", "__part")
+    own = F.row_number().over(W.partitionBy(*key).orderBy("__again"))
+    many = materialise(marked.where("__again is not null").withColumn("__copy", own), "mix-copies")
+    counts = many.groupBy(*key).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(W.partitionBy("__again", "__source").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select(F.col("__again").alias("k0"), F.col("__source").alias("k1"), F.col("__part").alias("k2"), F.coalesce(earlier, F.lit(0)).alias("__before"))
+    same = (F.col("__again") == F.col("k0")) & F.col("__source").eqNullSafe(F.col("k1")) & (F.col("__part") == F.col("k2"))
+    placed = many.join(before, same).withColumn("__h", seeded_hash(0, F.col("__h"), (F.col("__before") + F.col("__copy")).cast("int")))
+    return marked.where("__again is null").drop("__again", "__part").unionByName(placed.select(*rows.columns))
 
 
 def _bin(h: Column, turn: Column, bins: Column) -> Column:
