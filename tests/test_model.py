@@ -144,3 +144,20 @@ def test_backtest(spark):
     actual = spark.createDataFrame([("a", 1, 1, 4.0), ("a", 2, 1, 2.0), ("b", 1, 1, 9.0), ("b", 2, 1, 1.0)], "season string, gw int, element int, actual double")
     base = {(r.season, r.gw): r.baseline for r in backtest.season_mean_baseline(actual, actual.select("season", "gw").distinct()).collect()}
     assert base == {("a", 2): 4.0, ("b", 1): 3.0, ("b", 2): 9.0}
+
+
+def test_simulated_counts_are_drawn_in_columns(spark):
+    """No lambda follows a distribution row by row."""
+    fixtures = spark.createDataFrame([(1, 1, 1, 2, 1.6, 1.1), (1, 2, 2, 1, 1.2, 1.2)], "gw int, fixture int, home_id int, away_id int, lambda_home double, lambda_away double")
+    filled = cast(spark).na.fill({"yellow_p90": 0.08, "red_p90": 0.003, "own_goal_p90": 0.002})
+    cells = simulate.simulate_cells(fixtures, filled, simulate.scorelines(fixtures, -0.1, 20, 3), 0.8, 3, 1.35, 20)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "ArrowEvalPython" in plan
+
+
+def test_counts_of_columns_are_those_of_rows(spark):
+    rate = [0.0, -1.0, 0.003, 0.4, 1.7, 9.0, 40.0, 120.0, float("nan")]
+    pdf = pd.DataFrame([(r, (i + 0.5) / 50) for r in rate[:-1] for i in range(50)] + [(0.5, 1 - 2**-53)], columns=["rate", "u"])
+    want = [r.k for r in spark.createDataFrame(pdf).select(simulate.poisson_draw(F.col("rate"), F.col("u")).alias("k")).collect()]
+    assert simulate.poisson_counts(pdf["rate"].to_numpy(), pdf["u"].to_numpy()).tolist() == want
+    assert simulate.poisson_counts(np.array([float("nan")]), np.array([0.5])).tolist() == [0]
