@@ -161,3 +161,13 @@ def test_counts_of_columns_are_those_of_rows(spark):
     want = [r.k for r in spark.createDataFrame(pdf).select(simulate.poisson_draw(F.col("rate"), F.col("u")).alias("k")).collect()]
     assert simulate.poisson_counts(pdf["rate"].to_numpy(), pdf["u"].to_numpy()).tolist() == want
     assert simulate.poisson_counts(np.array([float("nan")]), np.array([0.5])).tolist() == [0]
+
+
+def test_names_that_many_share_are_not_paired(spark):
+    """Rows joined stay as many as the left side has, however many rows share a name and team on the right."""
+    left = spark.range(300).select(F.col("id"), F.lit("a").alias("name_key"), F.lit("t").alias("team_key"))
+    right = spark.range(400).select((F.col("id") + 5).alias("row_id"), F.lit("a").alias("name_key"), F.lit("t").alias("team_key"))
+    for by_name in (True, False):
+        got = rates.name_match(left, right, by_name=by_name)
+        assert {tuple(r) for r in got.collect()} == {(i, 5) for i in range(300)}
+        assert "min(row_id" in got._jdf.queryExecution().optimizedPlan().toString() and "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
