@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from touchline.operators import league
+from pyspark.sql import functions as F
+
+from touchline.operators import league, rates
 from touchline.plans import registry, star
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +62,32 @@ def test_gameweeks_repeated_or_absent(spark):
         for rows in (picks, league.with_live(picks, live)):
             got = league.gameweek_scores(league.effective_multipliers(rows, subs, live, gws), live)
             assert {(r.entry, r.gw): r.score for r in got.collect()} == want
+
+
+def test_planned_views_are_those_of_their_sql(spark):
+    for name in star.PLANNED:
+        plain = spark.sql(star.VIEWS[name], **{n: star.view(spark, SF, n) for n in star._needs(star.VIEWS[name])})
+        got = star.derived(spark, SF, name)
+        assert got.schema.simpleString() == plain.schema.simpleString() and got.count() == plain.count()
+        assert got.exceptAll(plain).isEmpty(), name
+
+
+def test_unsettled_scores_do_not_exchange_picks(spark, no_broadcast):
+    plan = exchanges(registry.QUERIES["unsettled_scores"](spark, SF))
+    assert {re.sub(r"#\d+L?", "", e) for e in plan} <= {"gw"}
+
+
+def test_rates_are_made_where_a_players_history_lies(spark, no_broadcast):
+    """Only sums by position, tier and statistic are shuffled; a row per player and statistic is not."""
+    s = registry.Star(spark, SF)
+    edges = rates.price_edges(s.history)
+    priors = rates.rate_priors(rates.player_seasons(s.history), edges)
+    assert not [e for e in exchanges(priors) if "element" in e or "season" in e]
+    players = s.history.groupBy(F.col("element").alias("player_id"), "position").agg(F.max("value").alias("price"), F.sum("minutes").alias("minutes"), *[F.sum(c).alias(c) for c in rates.STATS])
+    assert not [e for e in exchanges(rates.posterior_rates(players, priors, edges)) if "element" in e or "player_id" in e]
+
+
+def test_null_statistics_count_for_nothing(spark):
+    rows = spark.createDataFrame([(1, 7, 2, 50, 90, 3, None), (1, 7, 2, 60, 30, None, None), (1, 8, 1, 40, 90, 1, 4)], "season int, element int, position int, value int, minutes int, assists int, saves int")
+    got = {tuple(r) for r in rates.player_seasons(rows, ("assists", "saves")).collect()}
+    assert got == {(1, 7, 2, "assists", 3, 90, 50.0), (1, 8, 1, "saves", 4, 90, 40.0)}
