@@ -96,6 +96,26 @@ def test_keyed_state_over_restarts(spark, tmp_path):
     ]
 
 
+def test_keyed_state_lies_by_buckets_of_users(spark, tmp_path):
+    """Users share a call and a row of state; nobody is one of them; who is quiet to the millisecond when the watermark comes is quiet."""
+    at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    landed, target, check = (str(tmp_path / x) for x in ("landed", "target", "check"))
+    take = lambda: keyed.take_readings(spark, f"{landed}/*", "user_id bigint, event_id bigint, ts timestamp, value double", target, check, late="2 hours", quiet_ms=10 * 3600000)
+    users = [*range(1500), None]
+    landed_readings(spark, landed, 0, [(u, 2 * k + i, at(i), float(k + i)) for k, u in enumerate(users) for i in (0, 1)])
+    run = take()
+    run.awaitTermination()
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * keyed.BUCKETS
+    # The watermark comes to 11 h, which is 10 h after the last reading of everyone but user 3.
+    landed_readings(spark, landed, 1, [(3, 10000, at(13), 5.0), (None, 10001, at(12), None)])
+    take().awaitTermination()
+    rows = spark.read.schema(keyed.OUT).parquet(target).collect()
+    assert sorted(r.user_id for r in rows if r.kind == "quiet") == [u for u in users[:-1] if u != 3] and all(r.event_id % 2 == 1 and r.previous is None for r in rows if r.kind == "quiet")
+    got = {r.event_id: (r.user_id, r.value, r.previous) for r in rows if r.kind == "reading"}
+    assert len(got) == 2 * len(users) + 2 and got[10000] == (3, 5.0, 4.0) and got[10001][0] is None and got[10001][2] == 1501.0
+    assert all(got[2 * k] == (u, float(k), None) and got[2 * k + 1] == (u, float(k + 1), float(k)) for k, u in enumerate(users))
+
+
 def page(folder, n, entries):
     (folder / f"page-{n:03d}.json").write_text(json.dumps({"standings": {"page": n, "has_next": True, "results": [{"entry": e, "rank": e, "total": 10 * e} for e in entries]}}))
 
