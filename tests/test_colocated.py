@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from touchline.operators import league, rates
+from touchline.operators import league, rates, reconcile
 from touchline.plans import registry, star
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +77,40 @@ def test_unsettled_scores_do_not_exchange_picks(spark, no_broadcast):
     assert {re.sub(r"#\d+L?", "", e) for e in plan} <= {"gw"}
 
 
+def test_picks_take_points_without_live(spark, no_broadcast, monkeypatch):
+    """Lines are joined once for settled picks, and what they carry is all that swings need."""
+    monkeypatch.setattr(star, "_tables", {})
+    got = registry.QUERIES["player_swings"](spark, SF)
+    assert "live" not in {k[2] for k in star._tables}
+    assert not [e for e in exchanges(star.derived(spark, SF, "settled_picks")) if "season" in e and "element" not in e]
+    assert len([e for e in exchanges(star.derived(spark, SF, "settled_picks")) if "l_orderkey" in e]) == 1
+    s = registry.Star(spark, SF)
+    plain = league.player_swings(registry._settled(s).drop("points"), s.live, registry._weights(s), s.standings, registry.USER).drop("ever_used").withColumns(registry.r4("swing", "w_swing"))
+    rows = lambda df: {r.element: (r.swing, r.w_swing, r.user_points) for r in df.collect()}
+    want = rows(plain)
+    assert rows(got).keys() == want.keys() and all(v == pytest.approx(want[k], abs=2e-4) for k, v in rows(got).items())
+
+
+def test_fixtures_are_made_in_as_many_tasks_as_their_size_asks(spark, no_broadcast, monkeypatch):
+    """By fixture alone, lines once a use, however few partitions a session shuffles into."""
+    monkeypatch.setattr(star, "BUCKET_BYTES", 1 << 9)
+    n = star._buckets(spark, SF)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, lines in (("bonus_reconcile", 2), ("player_shots", 1), ("match_shots", 1), ("fixture_bonus", 1)):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        found = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)\)", plan)
+        assert len(found) == plan.count("Exchange ") and {k for k, _ in found} == {"l_orderkey", "o_orderkey"} and {p for _, p in found} == {str(n)}, name
+        assert len([k for k, _ in found if k == "l_orderkey"]) == lines, name
+
+
+def test_published_bonus_that_is_absent_or_repeated(spark):
+    scores = spark.createDataFrame([(1, 7, 30), (1, 8, 20), (2, 7, 9), (2, 7, 9), (3, None, 5)], "fixture int, element int, bps int")
+    given = spark.createDataFrame([(1, 7, 3), (1, 8, 2), (1, 8, 1), (1, 9, 3), (2, 7, 3), (3, None, 3)], "fixture int, element int, bonus int")
+    plain = reconcile.allocate_bonus(scores).join(given.withColumnRenamed("bonus", "given"), ["fixture", "element"], "left").na.fill(0, ["given"])
+    want = plain.groupBy("fixture").agg(F.count("*"), F.bool_and(F.col("bonus") == F.col("given")))
+    assert sorted(map(tuple, reconcile.reconcile_bonus(scores, given).collect())) == sorted(map(tuple, want.collect())) == [(1, 3, False), (2, 2, True), (3, 1, False)]
+
+
 def test_rates_are_made_where_a_players_history_lies(spark, no_broadcast):
     """Only sums by position, tier and statistic are shuffled; a row per player and statistic is not."""
     s = registry.Star(spark, SF)
