@@ -35,9 +35,13 @@ def reconcile_points(stat_lines: DataFrame, published: DataFrame, keys: list[str
 
 
 def reconcile_bonus(scores: DataFrame, published: DataFrame) -> DataFrame:
-    """Per fixture: players and whether allocated bonus is the published (fixture, element, bonus), absent being 0."""
-    given = published.select("fixture", "element", F.col("bonus").alias("given"))
-    both = allocate_bonus(scores).join(given, ["fixture", "element"], "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    """Per fixture: players and whether allocated bonus is the published (fixture, element, bonus), absent being 0.
+
+    A fixture's published bonus is one list, of no more than its players, so that both meet by fixture, where the ranks lie.
+    """
+    given = published.groupBy("fixture").agg(F.collect_list(F.struct("element", "bonus")).alias("all"))
+    own = F.filter("all", lambda g: g["element"] == F.col("element"))
+    both = allocate_bonus(scores).join(given, "fixture", "left").withColumn("own", F.explode_outer(own)).withColumn("given", F.coalesce("own.bonus", F.lit(0)))
     return both.groupBy("fixture").agg(F.count("*").alias("players"), F.bool_and(F.col("bonus") == F.col("given")).alias("agrees"))
 
 

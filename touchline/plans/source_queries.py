@@ -97,7 +97,7 @@ def _fixtures(s: Star, event: str = "CAST(year(o_orderdate) * 100 + month(o_orde
     stats = s.line.groupBy("fixture").agg(
         F.array(*[F.struct(F.lit(name).alias("identifier"), items(False).alias("a"), items(True).alias("h")) for name in ("bps", "threat")]).alias("stats")
     )
-    heads = s.orders.select(
+    heads = s.heads.select(
         key.alias("id"), F.expr(event).alias("event"), (key % 4 != 0).alias("finished"), _some(key % 8 == 0, "o_orderkey", 12).alias("finished_provisional"),
         F.when(key % 7 == 0, "to be fixed").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00Z'")).alias("kickoff_time"), (F.col("o_custkey") % 20).cast("int").alias("team_h"), (key % 20).cast("int").alias("team_a"),
         _some((key % 4).cast("int"), "o_orderkey", 5).alias("team_h_score"), (key % 3).cast("int").alias("team_a_score"),

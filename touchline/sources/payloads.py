@@ -122,9 +122,13 @@ def provider_fixtures(payload: DataFrame, season: str, league: str) -> DataFrame
 
 def shots_frame(payload: DataFrame, match_id: str | None = None) -> DataFrame:
     """22 columns, a row per shot of either side; no shots give no rows of the same columns."""
-    side = lambda s: payload.select(F.explode(s).alias("s"), F.lit(s).alias("side"))
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("shots"))
+    return _shot_rows(payload.select(F.explode(F.array(side("h"), side("a"))).alias("x")).select(F.explode("x.shots").alias("s"), "x.side"), match_id)
+
+
+def _shot_rows(s: DataFrame, match_id: str | None) -> DataFrame:
+    """The columns of shots_frame() from rows (s, side)."""
     number = lambda c: F.col(f"s.{c}").try_cast("double")
-    s = side("h").unionByName(side("a"))
     return s.select(
         "s.season", F.coalesce("s.match_id", F.lit(match_id)).alias("match_id"), F.col("s.id").alias("shot_id"), F.col("s.date").try_cast("timestamp_ntz").alias("date"), number("minute").alias("minute"),
         "s.player_id", "s.player", F.when(F.col("s.h_a") == "h", F.col("s.h_team")).otherwise(F.col("s.a_team")).alias("team"), F.coalesce("s.h_a", "side").alias("h_a"), "s.h_team", "s.a_team",
@@ -143,8 +147,7 @@ def player_matches(payload: DataFrame) -> DataFrame:
 
 def player_shots(payload: DataFrame, match_id: str | None = None) -> DataFrame:
     """shots_frame() of documents (shots), which are not parted by side."""
-    none = F.array().cast(payload.schema["shots"].dataType)
-    return shots_frame(payload.select(F.coalesce("shots", none).alias("h"), none.alias("a")), match_id)
+    return _shot_rows(payload.select(F.explode("shots").alias("s"), F.lit("h").alias("side")), match_id)
 
 
 def team_matches(payload: DataFrame, team: str, season: str) -> DataFrame:
