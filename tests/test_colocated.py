@@ -103,6 +103,13 @@ def test_fixtures_are_made_in_as_many_tasks_as_their_size_asks(spark, no_broadca
         assert len([k for k, _ in found if k == "l_orderkey"]) == lines, name
 
 
+def test_players_are_dealt_before_their_minutes_and_rates(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(star, "BUCKET_BYTES", 1 << 9)
+    for name in ("player_inputs", "estimated_minutes"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"Exchange hashpartitioning\(p_partkey#\d+L?, {star._buckets(spark, SF)}\)", plan), name
+
+
 def test_published_bonus_that_is_absent_or_repeated(spark):
     scores = spark.createDataFrame([(1, 7, 30), (1, 8, 20), (2, 7, 9), (2, 7, 9), (3, None, 5)], "fixture int, element int, bps int")
     given = spark.createDataFrame([(1, 7, 3), (1, 8, 2), (1, 8, 1), (1, 9, 3), (2, 7, 3), (3, None, 3)], "fixture int, element int, bonus int")
