@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions import scoring
 from touchline.operators import backtest, matches, minutes, rates, simulate, strength
 
 
@@ -171,3 +172,72 @@ def test_names_that_many_share_are_not_paired(spark):
         got = rates.name_match(left, right, by_name=by_name)
         assert {tuple(r) for r in got.collect()} == {(i, 5) for i in range(300)}
         assert "min(row_id" in got._jdf.queryExecution().optimizedPlan().toString() and "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def squads(spark, n):
+    """Two teams of n players."""
+    line = cast(spark).where("player_id in (10, 11, 13, 15)")
+    return line.crossJoin(spark.range(n // 2).withColumnRenamed("id", "k")).withColumns({"player_id": F.col("k") * 20 + F.col("position"), "team": (F.col("position") % 2 + 1).cast("int")}).drop("k")
+
+
+MATCHES_OF_TWO = [(1, 1, 1, 2, 1.6, 1.1), (1, 2, 2, 1, 1.2, 1.2), (2, 3, 1, 2, 1.6, 1.1)], "gw int, fixture int, home_id int, away_id int, lambda_home double, lambda_away double"
+
+
+def shuffled_rows(spark, run):
+    """Rows that all stages of a run shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (x.apply(i) for x in [store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)] for i in range(x.size()))}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_simulated_players_are_not_shuffled(spark):
+    fixtures, players, sims = spark.createDataFrame(*MATCHES_OF_TWO), squads(spark, 300), 40
+    rows = shuffled_rows(spark, lambda: simulate.simulate(fixtures, players, rho=-0.1, assisted=0.8, n_sims=sims, seed=3).collect())
+    assert 0 < rows < 600 * 3 * sims / 2
+
+
+@pytest.mark.parametrize("kind", ("int", "bigint"))
+def test_chunks_of_players_give_what_their_rows_give(spark, monkeypatch, kind):
+    """Whole numbers equal those of simulate_cells(), however players are cut into chunks and simulations into blocks."""
+    fixtures = spark.createDataFrame(*MATCHES_OF_TWO)
+    unlikely = F.when(F.col("player_id") == 23, 0.01).otherwise(F.col("p_play"))
+    # Rates that are missing or below 0 draw nothing.
+    players = squads(spark, 24).withColumns({"player_id": F.col("player_id").cast(kind), "p_play": unlikely, "tackles_p90": F.when(F.col("player_id") % 3 > 0, F.col("tackles_p90")), "assists_p90": F.when(F.col("player_id") == 4, -1.0).otherwise(F.col("assists_p90"))})
+    filled = players.na.fill({"yellow_p90": 0.08, "red_p90": 0.003, "own_goal_p90": 0.002})
+    cells = simulate.simulate_cells(fixtures, filled, simulate.scorelines(fixtures, -0.1, 30, 3), 0.8, 3, 1.35, 30)
+    table = lambda df: {(r.player_id, r.gw): (r.ep, round(r.sd, 9), r.p10, r.p25, r.p50, r.p75, r.p90) for r in df.collect()}
+    want = table(simulate.summarise(cells, fixtures, players, 30))
+    assert len(want) == 96 and want[23, 1] == (0.0,) * 7 and want[4, 1][0] > 0
+    for chunk, held in ((500, 1 << 16), (5, 16), (1, 4)):
+        monkeypatch.setattr(simulate, "CHUNK", chunk)
+        monkeypatch.setattr(simulate, "CELLS", held)
+        assert table(simulate.simulate(fixtures, players, rho=-0.1, assisted=0.8, n_sims=30, seed=3)) == want
+    assert table(simulate.simulate(fixtures, players.where("false"), rho=-0.1, assisted=0.8, n_sims=30, seed=3)) == {}
+
+
+def test_hashes_of_arrays_are_those_of_columns(spark):
+    values = [0, 1, -1, 7, 2**31 - 1, -(2**31)]
+    df = spark.createDataFrame([(v, v * 2**31 + 5) for v in values], "i int, l bigint")
+    rows = df.select(F.xxhash64(F.lit(7), F.lit("play")).alias("k"), F.xxhash64(F.lit(7), F.lit("play"), "i").alias("i"), F.xxhash64(F.lit(7), F.lit("play"), "i", "l").alias("l"), simulate.uniform(7, "play", F.col("i"), F.col("l")).alias("u")).collect()
+    state = np.array([r.k for r in rows]).view(np.uint64)
+    narrow = simulate.hashed(np.array(values), state, False)
+    wide = simulate.hashed(np.array([v * 2**31 + 5 for v in values]), narrow, True)
+    assert narrow.view(np.int64).tolist() == [r.i for r in rows] and wide.view(np.int64).tolist() == [r.l for r in rows]
+    assert simulate.uniforms(wide).tolist() == [r.u for r in rows]
+
+
+def test_scores_of_arrays_are_those_of_columns(spark):
+    rng = np.random.default_rng(5)
+    names = [s for s in scoring.R.API_STATS if not s.startswith("penalties")] + ["bonus"]
+    lines = pd.DataFrame({s: rng.integers(0, {"minutes": 97, "recoveries": 14}.get(s, 7), 400) * (rng.random(400) < 0.8) for s in names}).assign(position=rng.integers(1, 5, 400), k=range(400))
+    df = spark.createDataFrame(lines)
+    stats = scoring.stat_columns(df)
+    want = df.select(scoring.points(stats, F.col("position")).alias("p"), scoring.bps(stats, F.col("position")).alias("b")).orderBy("k").collect()
+    arrays = {s: lines[s].to_numpy() for s in names}
+    assert scoring.points_of(arrays, lines["position"].to_numpy()).tolist() == [r.p for r in want]
+    assert scoring.bps_of(arrays, lines["position"].to_numpy()).tolist() == [r.b for r in want]
+    with pytest.raises(ValueError):
+        scoring.bps_of(arrays, np.full(400, 5))
