@@ -195,6 +195,23 @@ def candidate_pool(projections: DataFrame, per_position: int, owned: DataFrame |
     return kept.unionByName(rows.join(owned.select("player_id").distinct(), "player_id", "left_semi").join(kept.select(*ids), ids, "left_anti"))
 
 
+def planning_pool(projections: DataFrame, *, weeks: list[int]) -> DataFrame:
+    """(player_id): every player that a plan over the weeks may need, however many there are; projections have position, team, price and ep.
+
+    Of one club, at most min(CLUB_LIMIT, a position's places) players of a position are in a squad at a time, so a plan that
+    buys one holds fewer than that beside it in a week: `others` at most in all weeks. If more than these cost no
+    more and are expected no less in every week (ties to the smaller player_id), one of them is free to be bought instead, at no
+    loss: club, position, money and transfers stay as good. So players whom more than `others` beat can go, and
+    the best plan, with any transfers and chips, is kept. Who is owned has to be added. Several rows of a week add up, a week without a row counts 0.
+    """
+    others = (min(CLUB_LIMIT, max(SQUAD.values())) - 1) * len(weeks)
+    by_week = F.array(*[F.coalesce(F.sum(F.when(F.col("gw") == g, F.col("ep"))), F.lit(0.0)) for g in weeks])
+    rows = projections.where(F.col("gw").isin(*weeks)).groupBy("player_id").agg(
+        F.min_by("position", "gw").alias("position"), F.min_by("team", "gw").alias("team"), F.min_by("price", "gw").alias("price"), by_week.alias("eps")
+    )
+    return skyline(rows, ["team", "position"], [-F.col("price"), *[F.col("eps")[k] for k in range(len(weeks))]], ["player_id"], most=others + 1, tie=-F.col("player_id"))
+
+
 def ep_gap(projections: DataFrame, player_in: int, player_out: int) -> DataFrame:
     """Per gameweek what a transfer is expected to add."""
     of = lambda p: F.coalesce(F.max(F.when(F.col("player_id") == p, F.col("ep"))), F.lit(0.0))
